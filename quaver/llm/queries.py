@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quaver.llm import decontamination, quality, sharding, urls
+from quaver.llm import decontamination, lines, packing, quality, sharding, tokenfile, urls
 
 QUERIES = {
     "op2_benchmark_decontamination": decontamination.query,
     "op3_url_filters": urls.query,
     "op4_sharding": sharding.query,
+    "op6_best_fit_packing": packing.query,
+    "op7_line_dedup": lines.query,
+    "op8_token_id_output": tokenfile.query,
     "op10_quality_rules": quality.query,
 }
 
@@ -15,4 +18,5 @@ SQL = {
     "op2_benchmark_decontamination": decontamination.SQL,
     "op3_url_filters": urls.SQL,
     "op4_sharding": sharding.SQL,
+    "op7_line_dedup": lines.SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quaver.llm import decontamination, lines, packing, quality, sharding, tokenfile, urls
+from quaver.llm import decontamination, lines, ngram_join, packing, quality, sharding, tokenfile, urls
 
 QUERIES = {
     "op2_benchmark_decontamination": decontamination.query,
     "op3_url_filters": urls.query,
     "op4_sharding": sharding.query,
+    "op5_ngram_jaccard_join": ngram_join.query,
     "op6_best_fit_packing": packing.query,
     "op7_line_dedup": lines.query,
     "op8_token_id_output": tokenfile.query,

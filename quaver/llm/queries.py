@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quaver.llm import decontamination, lines, ngram_join, packing, quality, sharding, tokenfile, urls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_benchmark_decontamination": decontamination.query,
     "op3_url_filters": urls.query,
     "op4_sharding": sharding.query,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quaver.llm import decontamination, lines, ngram_join, packing, quality, sharding, tokenfile, urls
+from quaver.llm import decontamination, lines, ngram_join, packing, quality, sharding, substrings, tokenfile, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_line_dedup": lines.query,
     "op8_token_id_output": tokenfile.query,
+    "op9_substring_dedup": substrings.query,
     "op10_quality_rules": quality.query,
 }
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import FOLD, SPACES, Scratch, gram_hashes, mix, small, text_bytes, word_hashes, word_spans
+from quaver.llm.common import FOLD, SPACES, Scratch, gram_hashes, mix, small, word_blocks
 from quaver.llm.components import components
 
 #: The count sketch has 2**BITS cells, sent in CHUNKS parts.
@@ -33,21 +33,19 @@ SKETCH = 16
 
 def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow array."""
-    raw, start, end = text_bytes(texts)
-    w_start, w_end, first = word_spans(raw, start, end, SPACES)
-    words = word_hashes(raw, w_start, w_end, FOLD)
-    grams, ok = gram_hashes(words, first, k)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        n = b - a
-        if n >= k:
-            yield np.unique(grams[a : b - k + 1])
-        elif n:
-            short = np.array([n], np.uint64)
-            for w in words[a:b]:
-                short = mix(short * np.uint64(0x9E3779B97F4A7C15) + w)
-            yield short
-        else:
-            yield np.zeros(0, np.uint64)
+    for _, _, words, first, _ in word_blocks(texts, SPACES, FOLD):
+        grams, _ = gram_hashes(words, first, k)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            n = b - a
+            if n >= k:
+                yield np.unique(grams[a : b - k + 1])
+            elif n:
+                short = np.array([n], np.uint64)
+                for w in words[a:b]:
+                    short = mix(short * np.uint64(0x9E3779B97F4A7C15) + w)
+                yield short
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def _cell(h: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm import common
-from quaver.llm.common import SPACES, Scratch, gram_hashes, mix, small, text_bytes, word_hashes, word_spans
+from quaver.llm.common import Scratch, gram_hashes, mix, small, word_blocks
 
 #: Words of a gram.
 GRAM = 6
@@ -39,17 +39,6 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(acc[: len(acc) - rest], acc[rest:]) if rest else acc
 
 
-def _blocks(texts, block: int = 4 << 20):
-    """(first text, last text, words as hashes, first word of each text) of an Arrow array, by blocks of bytes."""
-    raw, start, end = text_bytes(texts)
-    i, n = 0, len(start)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(end, start[i] + block, side="right")))
-        w_start, w_end, first = word_spans(raw, start[i:j], end[i:j], SPACES)
-        yield i, j, word_hashes(raw, w_start, w_end), first, (raw, w_start, w_end)
-        i = j
-
-
 def _range_hash(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     p, q = common._power_table(len(words) + 1)
     acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * p[: len(words)], dtype=np.uint64)])
@@ -93,7 +82,7 @@ def segments_of(words: np.ndarray, first: np.ndarray, size: int):
 def _segment(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, words, first, _ in _blocks(batch.column("text")):
+            for i, j, words, first, _ in word_blocks(batch.column("text")):
                 text, start, count, key, content, own = segments_of(words, first, size)
                 rows = pa.array(text + i)
                 yield pa.RecordBatch.from_pydict(
@@ -117,7 +106,7 @@ def _deal(size: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column("segments")
-            for i, j, words, first, _ in _blocks(batch.column("text")):
+            for i, j, words, first, _ in word_blocks(batch.column("text")):
                 rows, starts, shard, held = [], [], [], []
                 for d in range(i, j):
                     base = int(first[d - i])
@@ -195,7 +184,7 @@ def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column("repeats")
-            for i, j, words, first, (raw, w_start, w_end) in _blocks(batch.column("text")):
+            for i, j, words, first, (raw, w_start, w_end) in word_blocks(batch.column("text")):
                 data = memoryview(raw)
                 counts, removed, kept, spans = [], [], [], []
                 for d in range(i, j):

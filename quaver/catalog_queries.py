@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from quaver import queries_search
+
+QUERIES = {**queries_search.QUERIES}
+SQL = {**queries_search.SQL}

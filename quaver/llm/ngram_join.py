@@ -56,15 +56,9 @@ def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            held, size = [], 0
-            for s in shingle_sets(batch.column("text"), k):
-                held.append(_cell(s))
-                size += len(s)
-                if size > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << BITS)
-                    held, size = [], 0
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=1 << BITS)
+            for _, _, words, first, _ in word_blocks(batch.column("text"), SPACES, FOLD):
+                grams, ok = gram_hashes(words, first, k)
+                counts += np.bincount(_cell(grams[ok]), minlength=1 << BITS)
         parts = counts.astype(np.uint32).reshape(CHUNKS, -1)  # a task has fewer than 2**32 shingles
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
@@ -83,7 +77,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """For each cell of the sketch, the rounded logarithm of its count over all documents: 2**BITS bytes."""
+    """For each cell of the sketch, the rounded logarithm of its occurrences in all documents: 2**BITS bytes."""
     partial = docs.select("text").mapInArrow(_count(k), "chunk int, counts binary")
     summed = partial.repartition(min(CHUNKS, 12), "chunk").mapInArrow(_add_up, "chunk int, ranks binary")
     out = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.uint8)
@@ -101,14 +95,15 @@ def _describe(k: int, percent: int, shared):
             for i, s in enumerate(shingle_sets(batch.column("text"), k)):
                 size = len(s)
                 n.append(size)
-                fa.append(int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)) if size else 0)
-                fb.append(int(mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if size else 0)
+                m = mix(s)
+                fa.append(int(np.bitwise_xor.reduce(m).astype(np.int64)) if size else 0)
+                fb.append(int(m.sum(dtype=np.uint64).astype(np.int64)) if size else 0)
                 # sharing no shingle among the first size - ceil(percent * size) + 1 makes the threshold unreachable
                 p = size - -(-percent * size // 100) + 1 if size else 0
-                order = np.argsort((ranks[_cell(s)].astype(np.uint64) << np.uint64(56)) | (mix(s) >> np.uint64(8)), kind="stable")[:p]
-                prefixes.append(s[order].view(np.int64))
-                bits = (mix(s ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(54)).astype(np.int64)  # 0 to 1023
-                odd = np.bincount(bits, minlength=64 * SKETCH) & 1
+                order = (ranks[_cell(s)].astype(np.uint64) << np.uint64(56)) | (m >> np.uint64(8))
+                front = np.argpartition(order, p - 1)[:p] if p < size else np.arange(size)
+                prefixes.append(np.sort(s[front].view(np.int64)))
+                odd = np.bincount((m & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketch[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             columns = {
                 "doc_id": batch.column("doc_id"),
@@ -191,9 +186,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     post = scratch.table(post.select("token", "node").join(nodes.select("node", "n", *_SKETCHES), "node"), "post")
     for name in ("held", "common"):
         scratch.drop(name)
-
-    wanted = post.select(F.col("node").alias("place")).distinct()
-    sets = scratch.table(source.join(small(wanted, 1_000_000), "place").select("place", "text").mapInArrow(_full_sets(k), "node long, set array<long>"), "sets")
+    spark._jvm.System.gc()
 
     comps = None
     for r in range(rounds + 1):
@@ -213,13 +206,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         order = F.col("x_comp") < F.col("y_comp") if r == rounds else F.col("x_comp") != F.col("y_comp")
         met = heads.join(_sided(mine, "y"), "token").filter(order & _may_link(percent))
         pairs = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+        pairs = scratch.table(pairs, f"pairs-{r}")
+        # only sets that take part in a pair are made
+        ends = pairs.select(F.col("a").alias("place")).unionByName(pairs.select(F.col("b").alias("place"))).distinct()
+        asked = source.join(small(ends, 1_000_000), "place").select("place", "text")
+        sets = scratch.table(asked.mapInArrow(_full_sets(k), "node long, set array<long>"), f"sets-{r}")
         found = scratch.table(_verified(pairs, sets, percent), f"links-{r}")
+        for name in (f"sets-{r}", f"pairs-{r}", f"open-{r}"):
+            scratch.drop(name)
+        spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is written
         if comps is None:
             links = found
         else:
             links = found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).filter("a <> b"))
         comps = components(links, scratch, f"components-{r}")
-    for name in ("post", "sets", "nodes"):
+    for name in ("post", "nodes"):
         scratch.drop(name)
 
     known = equal.join(small(comps, 200_000), "node", "left").select("n", "fa", "fb", "low", F.coalesce("comp", F.col("node")).alias("comp"))

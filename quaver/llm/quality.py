@@ -100,15 +100,8 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0)))
 
 
-def _candidates(rows: list[dict], feature: str, bins: int) -> list[float]:
-    """Thresholds halfway between the values next to each quantile."""
-    values = sorted(r[feature] for r in rows)
-    cuts = {values[min(len(values) - 1, len(values) * i // bins)] for i in range(bins)}
-    distinct = sorted(set(values))
-    return [(v + w) / 2 for v, w in zip(distinct, distinct[1:]) if v in cuts]
-
-
-def _grow(rows: list[dict], bins: int, max_conditions: int) -> list[Condition]:
+def _grow(rows: list[dict], max_conditions: int) -> list[Condition]:
+    """Add the threshold of the highest gain, halfway between two neighbouring values, while there is one."""
     rule: list[Condition] = []
     while len(rule) < max_conditions:
         p0 = sum(r["bad"] for r in rows)
@@ -117,19 +110,15 @@ def _grow(rows: list[dict], bins: int, max_conditions: int) -> list[Condition]:
             break
         best, best_gain = None, 1e-9
         for feature in FEATURES:
-            ordered = sorted(rows, key=lambda r: r[feature])
-            below_p, below = [0], 0
-            for r in ordered:
-                below += r["bad"]
-                below_p.append(below)
-            i = 0
-            for cut in _candidates(rows, feature, bins):
-                while i < len(ordered) and ordered[i][feature] <= cut:
-                    i += 1
-                p, n = below_p[i], i - below_p[i]
-                for above, p1, n1 in ((True, p0 - p, n0 - n), (False, p, n)):
+            ordered = sorted((r[feature], r["bad"]) for r in rows)
+            p = 0
+            for i, ((value, bad), (above, _)) in enumerate(zip(ordered, ordered[1:]), 1):
+                p += bad
+                if value == above:
+                    continue
+                for over, p1, n1 in ((True, p0 - p, n0 - i + p), (False, p, i - p)):
                     if (g := _gain(p0, n0, p1, n1)) > best_gain:
-                        best, best_gain = Condition(feature, above, cut), g
+                        best, best_gain = Condition(feature, over, (value + above) / 2), g
         if best is None:
             break
         rule.append(best)
@@ -143,7 +132,7 @@ def _worth(rule: list[Condition], rows: list[dict]) -> tuple[float, int, int]:
     return ((2 * p - len(hit)) / len(hit) if hit else -1.0), p, len(hit)
 
 
-def learn_rules(rows: list[dict], bins: int = 64, max_rules: int = 12, max_conditions: int = 3, precision: float = 0.95, least: int = 5) -> list[list[Condition]]:
+def learn_rules(rows: list[dict], max_rules: int = 12, max_conditions: int = 3, precision: float = 0.95, least: int = 5) -> list[list[Condition]]:
     """Rules for bad rows by sequential covering; ``rows`` have the features and bad (0 or 1).
 
     A rule is kept if at least ``precision`` of the rows it covers in the pruning third, and of those in all rows,
@@ -153,7 +142,7 @@ def learn_rules(rows: list[dict], bins: int = 64, max_rules: int = 12, max_condi
     prune = [r for i, r in enumerate(rows) if i % 3 == 0]
     rules: list[list[Condition]] = []
     while len(rules) < max_rules:
-        rule = _grow(grow, bins, max_conditions)
+        rule = _grow(grow, max_conditions)
         if not rule:
             break
         shorter = [rule[:k] for k in range(1, len(rule) + 1)]

@@ -5,23 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """The suffix array by prefix doubling."""
+def suffix_array(seq: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array by prefix doubling, and the rank of each position's first ``seed`` symbols (a power of two)."""
     n = len(seq)
     rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
+    seeds = rank if seed == 1 else None
     h = 1
     while True:
         second = np.zeros(n, np.int64)
         second[: n - h] = rank[h:] + 1 if h < n else 0
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         rank = new
-        if n == 0 or rank[order[-1]] == n - 1:
-            return order
         h *= 2
+        if h == seed:
+            seeds = rank
+        if n == 0 or rank[order[-1]] == n - 1:
+            return order, rank if seeds is None else seeds
 
 
 class _Bits:
@@ -45,9 +48,11 @@ class _Bits:
 class FMIndex:
     """Index of a sequence of symbols; 0 to sigma - 1 after ranking."""
 
-    def __init__(self, seq: np.ndarray):
-        self.n = len(seq)
-        self.sa = suffix_array(seq)
+    def __init__(self, seq: np.ndarray, seed: int = 1):
+        """``seed``: the length, a power of two, of the strings whose intervals are kept from the construction."""
+        self.n, self.seed = len(seq), seed
+        self.sa, self.seed_class = suffix_array(seq, seed)
+        self.seed_start = np.concatenate([[0], np.cumsum(np.bincount(self.seed_class))])
         bwt = seq[self.sa - 1]
         self.sigma = int(seq.max(initial=0)) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=self.sigma))])
@@ -92,9 +97,10 @@ class FMIndex:
 def repeated_windows(index: FMIndex, seq: np.ndarray, start: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
     """Positions of the windows of ``size`` symbols that also start earlier in the text.
 
-    Segment k has ``windows[k]`` windows from ``start[k]``. Each lane matches one segment: it reads a
-    window backwards for as long as the string occurs more than once. Where it no longer does, no
-    window that holds the string can match, so the next one starts behind its first symbol.
+    Segment k has ``windows[k]`` windows from ``start[k]``. Each lane matches one segment: the interval of a
+    window's last ``index.seed`` symbols is known, and the window is read backwards from there for as
+    long as the string occurs more than once. Where it no longer does, no window that holds the string can
+    match, so the next one starts behind its first symbol.
     """
     s, stop = start.astype(np.int64), (start + windows).astype(np.int64)
     live = s < stop
@@ -102,33 +108,28 @@ def repeated_windows(index: FMIndex, seq: np.ndarray, start: np.ndarray, windows
     found: list[np.ndarray] = []
 
     def begin(s: np.ndarray):
-        c = seq[s + size - 1]
-        return s + size - 2, index.first[c], index.first[c + 1]
+        at = s + size - index.seed
+        c = index.seed_class[at]
+        return at - 1, index.seed_start[c], index.seed_start[c + 1]
 
     j, left, right = begin(s) if len(s) else (s, s, s)
     while len(s):
         many = right - left > 1
         read = many & (j >= s)
-        if read.all():
-            left, right = index.extend(seq[j], left, right)
-            j = j - 1
-            continue
-        if read.any():
-            a, b = index.extend(seq[j[read]], left[read], right[read])
-            left[read], right[read] = a, b
         full = many & ~read
         if full.any():
             at = s[full]
             found.append(at[index.earliest(left[full], right[full]) < at])
+        if read.any():
+            a, b = index.extend(seq[j[read]], left[read], right[read])
+            left[read], right[read] = a, b
         # j is one before the string that was read last
         s = np.where(full, s + 1, np.where(many, s, j + 2))
         j = np.where(read, j - 1, j)
-        again = ~read
         live = s < stop
-        again &= live
+        again = ~read & live
         if again.any():
-            nj, nl, nr = begin(s[again])
-            j[again], left[again], right[again] = nj, nl, nr
+            j[again], left[again], right[again] = begin(s[again])
         if not live.all():
             s, stop, j, left, right = s[live], stop[live], j[live], left[live], right[live]
     return np.concatenate(found) if found else np.zeros(0, np.int64)

@@ -105,37 +105,36 @@ def _deal(size: int, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column("segments")
+            lists = batch.column("segments")
+            offsets, listed = lists.offsets.to_numpy(), lists.values
+            start, windows, key, hot = (listed.field(f).to_numpy(zero_copy_only=False) for f in ("start", "windows", "key", "hot"))
             for i, j, words, first, _ in word_blocks(batch.column("text")):
-                rows, starts, shard, held = [], [], [], []
-                for d in range(i, j):
-                    base = int(first[d - i])
-                    for g in listed[d].as_py():
-                        a = base + g["start"]
-                        if g["hot"]:
-                            at = np.arange(a, a + g["windows"])
-                            h = _range_hash(words[a : a + g["windows"] + size - 1], at - a, at - a + size)
-                            for w, x in zip(at.tolist(), h.tolist()):
-                                rows.append(d)
-                                starts.append(w - base)
-                                shard.append(x % shards)
-                                held.append(words[w : w + size].view(np.int64))
-                        else:
-                            rows.append(d)
-                            starts.append(g["start"])
-                            shard.append((g["key"] & 0xFFFFFFFFFFFFFFFF) % shards)
-                            held.append(words[a : a + g["windows"] + size - 1].view(np.int64))
-                if rows:
-                    of = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "shard": pa.array(shard, pa.int32()),
-                            "doc_id": batch.column("doc_id").take(of),
-                            "place": batch.column("place").take(of),
-                            "start": pa.array(starts, pa.int32()),
-                            "words": pa.array(held, pa.list_(pa.int64())),
-                        }
-                    )
+                own = slice(offsets[i], offsets[j])
+                doc = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]))
+                n, is_hot = windows[own].astype(np.int64), hot[own].astype(bool)
+                # a hot segment becomes one piece for each window
+                times = np.where(is_hot, n, 1)
+                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                doc, from_ = np.repeat(doc, times), np.repeat(start[own].astype(np.int64), times) + step
+                size_ = np.repeat(np.where(is_hot, 1, n), times) + size - 1
+                if not len(doc):
+                    continue
+                at = first[doc - i] + from_
+                by_key = np.repeat(key[own].view(np.uint64), times)
+                by_window = _range_hash(words, at, at + size_)
+                shard = np.where(np.repeat(is_hot, times), by_window, by_key) % np.uint64(shards)
+                ends = np.cumsum(size_)
+                flat = words[np.arange(ends[-1]) + np.repeat(at - ends + size_, size_)]
+                of = pa.array(doc)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "shard": pa.array(shard.astype(np.int32)),
+                        "doc_id": batch.column("doc_id").take(of),
+                        "place": batch.column("place").take(of),
+                        "start": pa.array(from_.astype(np.int32)),
+                        "words": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int64))),
+                    }
+                )
 
     return run
 
@@ -162,7 +161,7 @@ def _search(size: int):
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         seq = np.zeros(len(flat) + len(sizes), np.int64)  # 0 ends every segment
         seq[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols
-        index = FMIndex(seq)
+        index = FMIndex(seq, 1 << (size.bit_length() - 1))
         at = np.sort(repeated_windows(index, seq, begin, sizes - size + 1, size))
         of = np.searchsorted(begin, at, side="right") - 1
         # neighbouring windows as one row
@@ -180,34 +179,54 @@ def _search(size: int):
     return run
 
 
+def _joined(raw: np.ndarray, w_start: np.ndarray, w_end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text joined by one space: Arrow offsets and bytes. ``first`` is each text's first word, one longer."""
+    count = np.diff(first)
+    if not len(w_start):
+        return np.zeros(len(count) + 1, np.int32), np.zeros(0, np.uint8)
+    base = int(w_start[0])
+    part = raw[base : int(w_end[-1]) + 1].copy()
+    begins, ends = np.zeros(len(part) + 1, np.int8), np.zeros(len(part) + 1, np.int8)
+    begins[w_start - base] = 1
+    ends[w_end - base] = 1
+    inside = np.cumsum(begins - ends, dtype=np.int8)[: len(part)].astype(bool)
+    # the byte behind every word but a text's last separates it from the next
+    last = np.zeros(len(w_start), bool)
+    last[first[1:][count > 0] - 1] = True
+    gap = w_end[~last] - base
+    part[gap] = 0x20
+    inside[gap] = True
+    sizes = np.concatenate([[0], np.cumsum(w_end - w_start)])
+    bytes_of = sizes[first[1:]] - sizes[first[:-1]] + np.maximum(count - 1, 0)
+    return np.concatenate([[0], np.cumsum(bytes_of)]).astype(np.int32), part[inside]
+
+
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column("repeats")
-            for i, j, words, first, (raw, w_start, w_end) in word_blocks(batch.column("text")):
-                data = memoryview(raw)
-                counts, removed, kept, spans = [], [], [], []
-                for d in range(i, j):
-                    a, b = int(first[d - i]), int(first[d - i + 1])
-                    keep = np.ones(b - a, bool)
+            for i, j, _, first, (raw, w_start, w_end) in word_blocks(batch.column("text")):
+                counts = np.diff(first)
+                keep = np.ones(len(w_start), bool)
+                spans: list[list[dict]] = [[] for _ in range(i, j)]
+                for d in np.flatnonzero(np.asarray(listed.slice(i, j - i).is_valid())).tolist():
                     merged: list[list[int]] = []
-                    for g in sorted((g["start"], g["start"] + g["windows"] + size - 1) for g in listed[d].as_py() or ()):
-                        keep[g[0] : g[1]] = False
+                    for g in sorted((g["start"], g["start"] + g["windows"] + size - 1) for g in listed[i + d].as_py()):
+                        keep[first[d] + g[0] : first[d] + g[1]] = False
                         if merged and g[0] <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], g[1])
                         else:
                             merged.append(list(g))
-                    own = np.flatnonzero(keep) + a
-                    counts.append(b - a)
-                    removed.append(b - a - len(own))
-                    kept.append(b" ".join([data[x:y] for x, y in zip(w_start[own].tolist(), w_end[own].tolist())]))
-                    spans.append([{"start": x, "end": y} for x, y in merged])
+                    spans[d] = [{"start": x, "end": y} for x, y in merged]
+                before = np.concatenate([[0], np.cumsum(keep)])
+                left = before[first[1:]] - before[first[:-1]]
+                offsets, data = _joined(raw, w_start[keep], w_end[keep], np.concatenate([[0], np.cumsum(left)]))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").slice(i, j - i),
-                        "n_words": pa.array(counts, pa.int64()),
-                        "n_removed": pa.array(removed, pa.int64()),
-                        "kept": pa.array(kept, pa.binary()).cast(pa.string()),
+                        "n_words": pa.array(counts.astype(np.int64)),
+                        "n_removed": pa.array((counts - left).astype(np.int64)),
+                        "kept": pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
                         "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     }
                 )

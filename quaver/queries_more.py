@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaver import schema
+from quaver.functions.bpe import Tokeniser, byte_letters
 from quaver.functions.text import fold_text
-from quaver.operators import graph, lookup, search, tiles
+from quaver.operators import governance, graph, lookup, search, tiles
 from quaver.plans.engine import credit_article
 from quaver.queries_search import _CODED, D, FOLDED
 from quaver.scratch import shared_folder
 from quaver.sources import release
+from quaver.streaming import admission
 
 QUERIES, SQL = {}, {}
 T, X = schema.TRACKS_SQL, schema.TEXTS_SQL
@@ -202,3 +205,53 @@ def _(spark, d):
     old, new = t.filter("row <= 100").alias("o"), t.alias("n")
     differs = ~(F.col("o.title").eqNullSafe(F.col("n.title")) & F.col("o.id").eqNullSafe(F.col("n.id")))
     return old.join(new, F.col("o.row") == F.col("n.row"), "left").filter(differs).agg(F.count("*").alias("differences"))
+
+
+@query("a01_filtered_counts", f"WITH {T} SELECT count(*) AS n, count(*) FILTER (WHERE license = 'L1') AS one FROM tracks")
+def _(spark, d):
+    return schema.tracks(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("license") == "L1").alias("one"))
+
+
+@query("a05_sum_or_zero", f"WITH {T} SELECT count(*) AS n, coalesce(sum(audio_bytes), 0)::BIGINT AS bytes FROM tracks WHERE license = 'none'")
+def _(spark, d):
+    return schema.tracks(spark, d).filter("license = 'none'").agg(F.count("*").alias("n"), F.coalesce(F.sum("audio_bytes"), F.lit(0)).alias("bytes"))
+
+
+@query("f17_notice_kinds", f"WITH {T} SELECT row, CASE row % 3 WHEN 0 THEN 'NC,SA' WHEN 1 THEN 'ND' ELSE '' END AS kinds FROM tracks")
+def _(spark, d):
+    kinds = F.when(F.col("row") % 3 == 0, F.array(F.lit("SA+NC"), F.lit("NC"))).when(F.col("row") % 3 == 1, F.array(F.lit("ND"))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_sort(F.array_distinct(F.flatten(F.transform(kinds, lambda k: F.split(k, r"\+")))))
+    return schema.tracks(spark, d).select("row", F.array_join(parts, ",").alias("kinds"))
+
+
+@query("f14_bpe_tokens")
+def _(spark, d):
+    letters = list(byte_letters().values())
+    merges = [("t", "h"), ("th", "e</w>"), ("i", "n"), ("a", "n"), ("an", "d</w>")]
+    names = letters + [x + "</w>" for x in letters] + [a + b for a, b in merges]
+    coder = Tokeniser(merges, {s: i for i, s in enumerate(names)}, len(names), len(names) + 1)
+
+    @F.pandas_udf("array<int>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: coder.encode(t or ""))
+
+    return schema.table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", tokens("text").alias("tokens"))
+
+
+@query("j08_evidence_by_path", "SELECT source AS path, lang, count(*) AS n FROM documents JOIN (SELECT DISTINCT source AS s FROM documents WHERE source <> 'src3') ON s = source GROUP BY ALL")
+def _(spark, d):
+    docs = schema.table(spark, d, "documents").select(F.col("source").alias("path"), "lang")
+    evidence = docs.filter("path <> 'src3'").select("path").distinct()
+    return docs.groupBy("path", "lang").agg(F.count("*").alias("n")).join(evidence, "path")
+
+
+@query("q05_quarantine_clear", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def _(spark, d):
+    docs = schema.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("audio_sha256"))
+    bad = schema.table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("remove").alias("action"))
+    return governance.quarantine(docs, docs.join(bad, "id"))[0].select("id")
+
+
+@query("w04_bounded_queue")
+def _(spark, d):
+    return admission.queue_table(schema.table(spark, d, "events"), 2, 7200.0)

@@ -15,7 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quaver_tables"
     app = spark.sparkContext.applicationId
     if app not in _local:

@@ -55,6 +55,21 @@ class DualAllowance:
         return 0
 
 
+class BoundedQueue:
+    """At most ``pending`` requests are under way, each for ``seconds``; a further one is refused until one ends."""
+
+    def __init__(self, pending: int, seconds: float):
+        self.pending, self.seconds, self.ends = pending, seconds, deque()
+
+    def admit(self, now: float) -> int:
+        while self.ends and self.ends[0] <= now:
+            self.ends.popleft()
+        if len(self.ends) >= self.pending:
+            return max(1, math.ceil(self.ends[0] - now))
+        self.ends.append(now + self.seconds)
+        return 0
+
+
 def _by_key(events: DataFrame, columns: list[str], make, judge) -> DataFrame:
     """Judge events by key in time order, batch by batch, so a hot key needs no more memory than any other."""
 
@@ -87,6 +102,11 @@ def admit_dual_table(events: DataFrame, searches: int, controls: int, hourly: in
     return _by_key(events, ["user_id", "event_id", "ts", "search"], make, lambda rule, row: rule.admit(row.ts.timestamp(), bool(row.search)))
 
 
+def queue_table(events: DataFrame, pending: int = 8, seconds: float = 1.0) -> DataFrame:
+    """The bounded queue over events (user_id, event_id, ts), by key."""
+    return _by_key(events, ["user_id", "event_id", "ts"], lambda: BoundedQueue(pending, seconds), lambda rule, row: rule.admit(row.ts.timestamp()))
+
+
 def admit_stream(events: DataFrame, limit: int, window: float = 60.0, delay: str = "1 minute") -> DataFrame:
     """The same rule over a stream: late events beyond ``delay`` are dropped, idle keys leave the state."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

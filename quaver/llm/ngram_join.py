@@ -27,8 +27,8 @@ from quaver.llm.components import components
 
 #: The count sketch has 2**BITS cells, sent in CHUNKS parts.
 BITS, CHUNKS = 20, 64
-#: Words of the odd sketch.
-SKETCH = 16
+#: 64-bit words of the odd sketch, a power of two.
+SKETCH = 8
 
 
 def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
@@ -220,6 +220,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         else:
             links = found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).filter("a <> b"))
         comps = components(links, scratch, f"components-{r}")
+        spark._jvm.System.gc()
     for name in ("post", "nodes"):
         scratch.drop(name)
 

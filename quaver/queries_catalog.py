@@ -328,7 +328,7 @@ def _(spark, d):
 
 @query("q10_display_agreement", "SELECT 0::BIGINT AS n")
 def _(spark, d):
-    return gov.display_problems(lookup.with_folds(schema.texts(spark, d))).agg(F.count("*").alias("n"))
+    return gov.display_problems(lookup.with_folds(schema.lines(spark, d))).agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ admission

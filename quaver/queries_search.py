@@ -129,10 +129,10 @@ def _(spark, d):
     return schema.texts(spark, d).select("row", F.size(words(F.col("title"))).cast("long").alias("n"))
 
 
-def _sql_page(words_, refine=(), genre="", rest="SELECT row FROM r ORDER BY (ft = '{q}') DESC, row LIMIT 12 OFFSET 12", served=""):
+def _sql_page(words_, refine=(), genre="", rest="SELECT row FROM r ORDER BY (ft = '{q}') DESC, row LIMIT 12 OFFSET 12", served="", view=schema.TEXTS_SQL):
     base = " AND ".join([f"contains(fta, '{w}')" for w in words_] + ([served] if served else []) or ["true"])
     more = " AND ".join([f"contains(fx, '{w}')" for w in refine] + ([f"genre = '{genre}'"] if genre else []) or ["true"])
-    return f"WITH {schema.TEXTS_SQL}, {FOLDED}, b AS (SELECT * FROM f WHERE {base}), r AS (SELECT * FROM b WHERE {more}) " + rest.format(q=" ".join(words_))
+    return f"WITH {view}, {FOLDED}, b AS (SELECT * FROM f WHERE {base}), r AS (SELECT * FROM b WHERE {more}) " + rest.format(q=" ".join(words_))
 
 
 @query("p02_all_words", _sql_page((), ("th", "an"), rest="SELECT row FROM r"))
@@ -187,6 +187,46 @@ def _(spark, d):
     return lookup.trigrams(_folded(spark, d, accents=False)).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+# ------------------------------------------------------------------ names: whole first lines
+
+
+def _folded_lines(spark, d):
+    return lookup.with_folds(schema.lines(spark, d))
+
+
+@query("f01_fold_lines", f"WITH {schema.LINES_SQL} SELECT row, lower(strip_accents(coalesce(title, ''))) AS folded FROM tracks")
+def _(spark, d):
+    return schema.lines(spark, d).select("row", fold(F.col("title")).alias("folded"))
+
+
+@query("f02_words_lines", f"WITH {schema.LINES_SQL} SELECT row, len(list_filter(regexp_split_to_array(trim(title), '\\s+'), lambda w: w <> '')) AS n FROM tracks")
+def _(spark, d):
+    return schema.lines(spark, d).select("row", F.size(words(F.col("title"))).cast("long").alias("n"))
+
+
+@query("p02_all_words_lines", _sql_page((), ("th", "an"), rest="SELECT row FROM r", view=schema.LINES_SQL))
+def _(spark, d):
+    return lookup.page_query(_folded_lines(spark, d), refine="th AN", limit=1 << 30).rows.select("row")
+
+
+@query("l01_page_totals_lines", _sql_page(("é",), ("la",), "fr", rest="SELECT (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM b) AS base_total", view=schema.LINES_SQL).replace("'é'", "'e'"))
+def _(spark, d):
+    page = lookup.page_query(_folded_lines(spark, d), query="É", refine="la", genre="fr")
+    return page.total.crossJoin(page.base_total.withColumnRenamed("total", "base_total"))
+
+
+@query("l05_facets_lines", f"WITH {schema.LINES_SQL}, {FOLDED} SELECT genre, count(*) AS n FROM f WHERE contains(fta, 'on') AND trim(genre) <> '' GROUP BY genre")
+def _(spark, d):
+    return lookup.page_query(_folded_lines(spark, d), query="on", refine="zz").genres
+
+
+@query("l09_trigram_lookup_lines", _sql_page((), ("tion", "ther"), rest="SELECT row FROM r", view=schema.LINES_SQL))
+def _(spark, d):
+    folded = _folded_lines(spark, d)
+    found, _used = lookup.indexed_lookup(folded, lookup.trigrams(folded), "tion ther", folded.count())
+    return found.select("row")
+
+
 # ------------------------------------------------------------------ ranks
 
 _CAND = f"c AS (SELECT row_number() OVER (ORDER BY {D}, e.vec_id) AS rank, e.vec_id::VARCHAR AS id, 1 - {D} AS similarity, e.label::VARCHAR AS artist FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY rank LIMIT 16)"

@@ -284,6 +284,11 @@ def shard_edges(vectors: DataFrame, shards: int, m: int = 12, ef: int = 100, see
     return dealt.groupBy("shard").applyInArrow(run, "shard int, src long, level int, pos int, dst long, entry long")
 
 
+def shard_count(vectors: DataFrame, rows: int = 10_000) -> int:
+    """Shards of about ``rows`` rows, two at least."""
+    return max(2, -(-vectors.count() // rows))
+
+
 def shard_search(vectors: DataFrame, queries: DataFrame, shards: int, k: int, ef: int, m: int = 12, construction: int = 100, seed: int = 43) -> DataFrame:
     """(query, rank, row, distance): the k best of a graph search in every shard.
 

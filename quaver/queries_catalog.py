@@ -8,7 +8,7 @@ from quaver import schema
 from quaver.functions import text
 from quaver.functions.text import PATTERNS
 from quaver.operators import governance as gov
-from quaver.operators import graph, lookup
+from quaver.operators import graph, lookup, search
 from quaver.sources import release
 from quaver.streaming import admission
 
@@ -30,7 +30,7 @@ E, T = schema.EDGES_SQL, schema.TRACKS_SQL
 # ------------------------------------------------------------------ graphs
 
 
-def _queries(v, step=100):
+def _queries(v, step=20):
     return v.filter(F.col("row") % step == 0).select(F.col("row").alias("query"), F.col("embedding").alias("q"))
 
 
@@ -43,7 +43,14 @@ def _(spark, d):
 @query("g02_sharded_graph_search")
 def _(spark, d):
     v = schema.vectors(spark, d)
-    return graph.shard_search(v, _queries(v), shards=2, k=8, ef=64, construction=40)
+    return graph.shard_search(v, _queries(v), graph.shard_count(v), k=8, ef=64)
+
+
+@query("v21_graph_recall")
+def _(spark, d):
+    v = schema.vectors(spark, d)
+    found = graph.shard_search(v, _queries(v), graph.shard_count(v), k=8, ef=64)
+    return search.recall(found.select("query", "row"), search.batch_top_k(v, _queries(v), 8).select("query", "row"), 8)
 
 
 @query("g05_stored_links", f"WITH {E} SELECT level, string_agg(dst::VARCHAR, ',' ORDER BY pos) AS links FROM edges WHERE src = 10 AND dst % 7 <> 0 GROUP BY level")

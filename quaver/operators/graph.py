@@ -153,8 +153,34 @@ def trace_rows(trace: DataFrame, limit: int = 48) -> DataFrame:
     return each.withColumn("seq", nth).filter(F.col("seq") <= limit).select("query", "row", "seq")
 
 
+def beats(trace: DataFrame) -> DataFrame:
+    """(query, sequence, kind, duration): the events that explain a trace, in order.
+
+    The entry, the first expansion with an accepted candidate, the descent to the lowest level of such expansions, the
+    first, middle and last of these at that level, and the last event as results; the later kind of an event wins.
+    """
+    accepts = lambda e: (e["type"] == "expand") & F.exists(F.coalesce(e["considered"], F.array().cast("array<boolean>")), lambda a: a)
+    event = F.struct("sequence", "type", "level", F.transform("considered", lambda c: c["accepted"]).alias("considered"))
+    # a trace has a bounded number of events
+    t = trace.groupBy("query").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    t = t.withColumn("x", F.filter("e", accepts))
+    t = t.withColumn("lowest", F.array_min(F.transform("x", lambda e: e["level"]))).withColumn("entry", F.get(F.filter("e", lambda e: e["type"] == "enter"), F.lit(0))["sequence"])
+    t = t.withColumn("local", F.filter("x", lambda e: e["level"] == F.col("lowest")))
+    down = F.filter("e", lambda e: (e["type"] == "enter") & (e["level"] == F.col("lowest")) & (e["sequence"] > F.col("entry")))
+    at = lambda a, i: F.get(a, i)["sequence"]
+    n = F.size("local")
+    put = [
+        (F.col("entry"), "entry", 800), (at(F.col("x"), F.lit(0)), "branch", 540), (at(down, F.lit(0)), "descent", 440),
+        (at(F.col("local"), F.lit(0)), "branch", 540), (at(F.col("local"), F.floor((n - 1) / 2).cast("int")), "branch", 540), (at(F.col("local"), n - 1), "branch", 540),
+        (at(F.col("e"), F.size("e") - 1), "results", 1600),
+    ]
+    each = t.select("query", F.posexplode(F.array(*(F.struct(s.alias("sequence"), F.lit(kind).alias("kind"), F.lit(ms).alias("duration")) for s, kind, ms in put))).alias("p", "b"))
+    last = each.filter("b.sequence is not null").groupBy("query", "b.sequence").agg(F.max_by("b", "p").alias("b"))
+    return last.select("query", "b.sequence", "b.kind", "b.duration")
+
+
 def beat_edges(trace: DataFrame) -> DataFrame:
-    """The three nearest accepted candidates of each expansion."""
+    """The three nearest accepted candidates of each expansion; for beats' edges, join with ``beats``."""
     top = F.slice(F.array_sort(F.transform(F.filter("considered", lambda c: c["accepted"]), lambda c: F.struct(c["distance"].alias("distance"), c["id"].alias("id"), c["via"].alias("via")))), 1, 3)
     return trace.filter("type = 'expand'").select("query", "sequence", F.inline(top)).select("query", "sequence", F.col("via").alias("a"), F.col("id").alias("b"), "distance")
 

@@ -9,6 +9,7 @@ from quaver.functions import text
 from quaver.functions.text import PATTERNS
 from quaver.operators import governance as gov
 from quaver.operators import graph, lookup, search
+from quaver.scratch import scratch_table
 from quaver.sources import release
 from quaver.streaming import admission
 
@@ -91,7 +92,13 @@ def _(spark, d):
 
 @query("g11_beat_edges")
 def _(spark, d):
-    return graph.beat_edges(QUERIES["g01_traced_search"](spark, d))
+    trace = scratch_table(QUERIES["g01_traced_search"](spark, d), "trace")
+    return graph.beat_edges(trace).join(graph.beats(trace).select("query", "sequence"), ["query", "sequence"], "left_semi")
+
+
+@query("g10_trace_beats")
+def _(spark, d):
+    return graph.beats(QUERIES["g01_traced_search"](spark, d))
 
 
 @query("g12_served_trace")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quaver import schema
 from quaver.functions.bpe import Tokeniser, byte_letters
 from quaver.functions.text import fold_text
+from quaver.functions.vectors import cosine_distance
 from quaver.operators import governance, graph, lookup, search, tiles
 from quaver.plans.engine import credit_article
 from quaver.queries_search import _CODED, D, FOLDED
@@ -69,6 +70,27 @@ def _(spark, d):
 
 @query("v18_projection_recall", f"WITH {schema.LAYOUT_SQL}, a AS (SELECT q.vec_id AS query, e.vec_id AS row, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D}, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id), b AS (SELECT q.row AS query, e.row, row_number() OVER (PARTITION BY q.row ORDER BY pow(e.x - q.x, 2) + pow(e.y - q.y, 2), e.row) AS r FROM layout e, layout q WHERE q.row % 20 = 0 AND q.row <> e.row), h AS (SELECT a.query, count(*) AS n FROM a JOIN b USING (query, row) WHERE a.r <= 8 AND b.r <= 8 GROUP BY a.query) SELECT round(coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) / 8, 6) AS mean FROM h")
 def _(spark, d):
+    high, low = _projected(spark, d)
+    return search.recall(low.select("query", "row"), high.select("query", "row"), 8).agg(F.round(F.avg("recall"), 6).alias("mean"))
+
+
+@query("v18_projection_quality")
+def _(spark, d):
+    v = schema.vectors(spark, d)
+    high, low = _projected(spark, d)
+    recall = search.recall(low.select("query", "row"), high.select("query", "row"), 8).agg(F.avg("recall").alias("mean"), F.min("recall").alias("minimum"))
+    q = F.broadcast(v.filter("row % 20 = 0").select(F.col("row").alias("query"), F.col("embedding").alias("q")))
+    pairs = v.join(q, F.col("row") != F.col("query")).select("query", "row", cosine_distance(F.col("q"), F.col("embedding")).alias("distance"))
+    ranks = pairs.withColumn("high", F.row_number().over(Window.partitionBy("query").orderBy("distance", "row")))
+    # how far the map's neighbours are beyond the 8th of the vectors, over the stated query set
+    beyond = low.select("query", "row").join(ranks, ["query", "row"]).agg(F.sum(F.greatest(F.col("high") - 8, F.lit(0))).alias("beyond"), F.countDistinct("query").alias("m"))
+    n = v.agg(F.count("*").alias("n"))
+    trust = 1 - 2 * F.col("beyond") / (F.col("m") * 8 * (2 * F.col("n") - 3 * 8 - 1))
+    return recall.crossJoin(beyond).crossJoin(n).select("mean", "minimum", trust.alias("trustworthiness"))
+
+
+def _projected(spark, d):
+    """The 8 nearest of the stated query set by vectors and by positions."""
     v, p = schema.vectors(spark, d), schema.layout(spark, d)
     asked = v.filter("row % 20 = 0")
     high = search.batch_top_k(v, asked.select(F.col("row").alias("query"), F.col("embedding").alias("q")), 8, exclude_self=True)
@@ -76,7 +98,7 @@ def _(spark, d):
     q = F.broadcast(p.filter("row % 20 = 0").select(F.col("row").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy")))
     near = p.join(q, F.col("row") != F.col("query")).select("query", "row", (F.pow(F.col("x") - F.col("qx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("qy"), F.lit(2.0))).alias("d"))
     low = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "row"))).filter("r <= 8")
-    return search.recall(low.select("query", "row"), high.select("query", "row"), 8).agg(F.round(F.avg("recall"), 6).alias("mean"))
+    return high, low
 
 
 @query("v22_parity", "SELECT 0::BIGINT AS differences")

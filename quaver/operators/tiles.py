@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaver.scratch import scratch_table
+
 BITS = 16
 CAP = 1024
 MAX_LEVEL = 12
@@ -118,33 +120,78 @@ def density(points: DataFrame, size: int, alpha: float) -> DataFrame:
     return points.groupBy(cell("qx").alias("px"), cell("qy").alias("py")).agg((1 - F.exp(F.count("*") * F.log1p(F.lit(-alpha)))).alias("opacity"))
 
 
-def kmeans_regions(layout: DataFrame, k: int, seed: int = 7, steps: int = 80, sample: int = 200_000) -> DataFrame:
-    """(row, cluster) by k-means++ and Lloyd's steps; centres are fitted on a bounded sample by a hash of the row."""
+def kmeans_regions(layout: DataFrame, k: int, seed: int = 7, steps: int = 80) -> DataFrame:
+    """(row, cluster) by k-means++ and Lloyd's steps over all points.
+
+    Each draw and each step is a pass over the rows that returns sums by cell of 65,536 rows or by task and centre.
+    """
+    import pandas as pd
     import pyarrow as pa
 
-    fitted = layout.orderBy(F.xxhash64("row"), "row").limit(sample).select("row", "x", "y").toPandas().sort_values("row")
-    xy = fitted[["x", "y"]].to_numpy(float)
+    points = scratch_table(layout.select("row", "x", "y", F.floor(F.col("row") / 65536).alias("cell")), "points")
     rng = np.random.default_rng(seed)
-    k = min(k, len(xy))
-    centres = xy[[rng.integers(len(xy))]]
+    sizes = dict(sorted((r["cell"], r["n"]) for r in points.groupBy("cell").agg(F.count("*").alias("n")).collect()))
+    n = sum(sizes.values())
+    k = min(k, n)
+
+    def squared(p: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return ((p[:, None] - centres[None]) ** 2).sum(2)
+
+    def point_of(weights: dict[int, float], at: float, weigh) -> np.ndarray:
+        """The point at which the running sum of weights, in row order, passes ``at``."""
+        cells = list(weights)
+        ends = np.cumsum([weights[c] for c in cells])
+        i = min(int(np.searchsorted(ends, at, side="right")), len(cells) - 1)
+        while weights[cells[i]] <= 0:
+            i -= 1
+        own = points.filter(F.col("cell") == cells[i]).orderBy("row").select("x", "y").toPandas().to_numpy(float)  # one cell
+        inside = np.cumsum(weigh(own))
+        return own[min(int(np.searchsorted(inside, at - (ends[i] - weights[cells[i]]), side="right")), len(own) - 1)]
+
+    def spread_by_cell(centres: np.ndarray) -> dict[int, float]:
+        def run(batches):
+            for b in batches:
+                p = np.column_stack([b.column("x").to_numpy(), b.column("y").to_numpy()])
+                yield pa.RecordBatch.from_pydict({"cell": b.column("cell"), "d": pa.array(squared(p, centres).min(1))})
+
+        each = points.mapInArrow(run, "cell long, d double").groupBy("cell").agg(F.sum("d").alias("d"))
+        return dict(sorted((r["cell"], r["d"]) for r in each.collect()))
+
+    ones = lambda p: np.ones(len(p))
+    centres = point_of(sizes, int(rng.integers(n)), ones)[None] if n else np.zeros((0, 2))
     while len(centres) < k:
-        d = ((xy[:, None] - centres[None]) ** 2).sum(2).min(1)
-        total = d.sum()
-        centres = np.vstack([centres, xy[rng.choice(len(xy), p=d / total) if total > 0 else rng.integers(len(xy))]])
-    for _ in range(steps):
-        own = ((xy[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        new = np.array([xy[own == c].mean(0) if (own == c).any() else centres[c] for c in range(k)])
-        if np.allclose(new, centres):
+        spread = spread_by_cell(centres)
+        total = sum(spread.values())
+        c = centres
+        new = point_of(spread, rng.random() * total, lambda p: squared(p, c).min(1)) if total > 0 else point_of(sizes, int(rng.integers(n)), ones)
+        centres = np.vstack([centres, new])
+
+    def sums(centres: np.ndarray) -> pd.DataFrame:
+        def run(batches):
+            s = np.zeros((len(centres), 3))
+            for b in batches:
+                p = np.column_stack([b.column("x").to_numpy(), b.column("y").to_numpy()])
+                own = squared(p, centres).argmin(1)
+                for i, w in enumerate((p[:, 0], p[:, 1], None)):
+                    s[:, i] += np.bincount(own, w, len(centres))
+            yield pa.RecordBatch.from_pydict({"c": pa.array(range(len(centres)), pa.int32()), "x": s[:, 0], "y": s[:, 1], "n": s[:, 2]})
+
+        return points.mapInArrow(run, "c int, x double, y double, n double").groupBy("c").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas()
+
+    for _ in range(steps if k else 0):
+        t = sums(centres).sort_values("c")
+        held = t["n"].to_numpy()
+        new = np.where(held[:, None] > 0, t[["x", "y"]].to_numpy() / np.maximum(held, 1)[:, None], centres)
+        if np.allclose(new, centres, rtol=0, atol=1e-12):
             break
         centres = new
-    shared = layout.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches):
         for b in batches:
             p = np.column_stack([b.column("x").to_numpy(), b.column("y").to_numpy()])
-            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "cluster": pa.array(((p[:, None] - shared.value[None]) ** 2).sum(2).argmin(1).astype(np.int32), pa.int32())})
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "cluster": pa.array(squared(p, centres).argmin(1).astype(np.int32), pa.int32())})
 
-    return layout.select("row", "x", "y").mapInArrow(assign, "row long, cluster int")
+    return points.mapInArrow(assign, "row long, cluster int")
 
 
 def region_names(clustered: DataFrame, majority: float = 0.4) -> DataFrame:

@@ -320,6 +320,11 @@ def _(spark, d):
     return tiles.kmeans_regions(schema.layout(spark, d), 12)
 
 
+@query("t09_kmeans_regions_48")
+def _(spark, d):
+    return tiles.kmeans_regions(schema.layout(spark, d), 48)
+
+
 @query("t12_density", f"WITH {_CODED} SELECT least(floor(qx / 65536 * 32), 31)::BIGINT AS px, least(floor(qy / 65536 * 32), 31)::BIGINT AS py, round(1 - exp(count(*) * ln(0.3)), 6) AS opacity FROM m GROUP BY ALL")
 def _(spark, d):
     p = tiles.density(tiles.coded(schema.layout(spark, d)), 32, 0.7)

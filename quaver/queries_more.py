@@ -104,8 +104,11 @@ def _projected(spark, d):
 @query("v22_parity", "SELECT 0::BIGINT AS differences")
 def _(spark, d):
     v = schema.vectors(spark, d)
-    one = search.ranked(search.exact_top_k(v, search.row_vector(v, 20), 8), 8).select(F.lit(20).cast("long").alias("query"), F.col("rank").cast("int").alias("rank"), "row", "distance")
-    many = search.batch_top_k(v, v.filter("row = 20").select(F.col("row").alias("query"), F.col("embedding").alias("q")), 8)
+    asked = v.filter("row % 20 = 0").select(F.col("row").alias("query"), F.col("embedding").alias("q"))
+    # exact_top_k's distances of the stated query set, against the blocks'
+    pairs = v.join(F.broadcast(asked)).select("query", "row", cosine_distance(F.col("q"), F.col("embedding")).alias("distance"))
+    one = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "row"))).filter("rank <= 8").select("query", "rank", "row", "distance")
+    many = search.batch_top_k(v, asked, 8)
     many = many.select("query", F.col("rank").cast("int").alias("rank"), "row", "distance")
     return one.exceptAll(many).unionByName(many.exceptAll(one)).agg(F.count("*").alias("differences"))
 
@@ -230,9 +233,12 @@ def _(spark, d):
 @query("set_prefix_equality", f"WITH {T} SELECT count(*) AS differences FROM tracks WHERE row <= 100 AND false")
 def _(spark, d):
     t = schema.tracks(spark, d)
-    old, new = t.filter("row <= 100").alias("o"), t.alias("n")
-    differs = ~(F.col("o.title").eqNullSafe(F.col("n.title")) & F.col("o.id").eqNullSafe(F.col("n.id")))
-    return old.join(new, F.col("o.row") == F.col("n.row"), "left").filter(differs).agg(F.count("*").alias("differences"))
+    # every row of a written release against the catalog
+    path = f"{shared_folder(spark)}/releases/{uuid.uuid4().hex}"
+    pin = release.write_release({"tracks": t}, path, "demo")
+    old, new = release.open_release(spark, path, pin)["tracks"].alias("o"), t.alias("n")
+    differs = F.col("n.row").isNull() | F.col("o.row").isNull() | ~(F.col("o.title").eqNullSafe(F.col("n.title")) & F.col("o.id").eqNullSafe(F.col("n.id")))
+    return old.join(new, F.col("o.row") == F.col("n.row"), "full").filter(differs).agg(F.count("*").alias("differences"))
 
 
 @query("a01_filtered_counts", f"WITH {T} SELECT count(*) AS n, count(*) FILTER (WHERE license = 'L1') AS one FROM tracks")

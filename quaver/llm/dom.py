@@ -18,6 +18,8 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript textarea template iframe svg math title object select".split())
+#: Of RAW, those that are ordinary elements if no closing tag follows.
+CONTAINERS = frozenset("select object svg math template".split())
 IMPLIED = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
     "option": {"option"}, "thead": {"p"}, "tbody": {"thead", "tr", "td", "th", "p"}, "tfoot": {"tbody", "tr", "td", "th", "p"},
@@ -71,6 +73,8 @@ def parse(page: str | None) -> list[Node]:
 
     page = page or ""
     lowered = None
+    unclosed: set[str] = set()
+    deep: dict[str, int] = {}  # open elements that are too deep to be nodes
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -93,11 +97,17 @@ def parse(page: str | None) -> list[Node]:
         if closing:
             if tag == "head":
                 continue
+            if deep.get(tag):
+                flush()
+                links = 0
+                deep[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == tag:
                     flush()
                     links = 0
                     del stack[k:]
+                    deep.clear()
                     break
             else:
                 if tag not in RAW:
@@ -110,13 +120,15 @@ def parse(page: str | None) -> list[Node]:
                 lowered = page.lower()
                 if len(lowered) != n:  # a few letters change length
                     lowered = "".join(c if len(c.lower()) != 1 else c.lower() for c in page)
-            end = lowered.find(f"</{tag}", at)
-            if end < 0:
-                at = n
-            else:
+            end = -1 if tag in unclosed else lowered.find(f"</{tag}", at)
+            if end >= 0:
                 close = page.find(">", end)
                 at = n if close < 0 else close + 1
-            continue
+                continue
+            unclosed.add(tag)
+            if tag not in CONTAINERS:
+                at = n
+                continue
         flush()
         if tag in VOID or tag in ("html", "head"):
             continue
@@ -138,5 +150,8 @@ def parse(page: str | None) -> list[Node]:
         if nodes[top].depth < 200:  # deeper elements are read as part of the one that holds them
             nodes.append(Node(tag, _names(m[3] or m[6] or ""), top, nodes[top].depth + 1))
             stack.append(len(nodes) - 1)
+            deep.clear()
+        else:  # one of several open p or li may lack its closing tag
+            deep[tag] = 1 if tag in IMPLIED or tag == "p" else deep.get(tag, 0) + 1
     flush()
     return nodes

@@ -32,38 +32,69 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/quaver/{spark.sparkContext.applicationId}"
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_root(spark)}/quaver/{name}-{uuid.uuid4().hex}"
+        self.spark, self.schemas = spark, {}
+        self.base = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        self.schemas[name] = df.schema
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(self.path(name))
 
     def drop(self, name: str | None = None) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path(name) if name else self.base)
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these, which a result still reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        for status in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if status.getPath().getName() not in names:
+                self.drop(status.getPath().getName())
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this library; call it when no result is needed any more."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/quaver")
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table that this session's application wrote; call it when no result is needed any more."""
+    _delete(spark, _own_folder(spark))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted), else ``df``."""
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted), else ``df``.
+
+    ``df`` is a written table, or columns or distinct values of one, so that counting it repeats no work.
+    """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add to ``df`` that it doesn't have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def pinned(c: Column) -> Column:
     """``c``, in a projection below which no filter is pushed.
 

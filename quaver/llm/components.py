@@ -13,7 +13,7 @@ BROADCAST_ROWS = 200_000
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) of all nodes of ``edges`` (a, b); comp is the least node that can be reached.
 
-    Each round gives a node the least label among its neighbours and then that label's own label, so the
+    Each round gives a node the least of its own label, its neighbours' labels and its label's label, so the
     number of rounds grows with the logarithm of the longest path in the usual case. Every round is written
     to the shared folder; neighbours' labels are combined before the shuffle, so a hub is no hot key.
     """
@@ -22,14 +22,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     k = 0
     while True:
         k += 1
-        of = labels.select(F.col("node").alias("b"), F.col("comp").alias("other"))
-        near = both.join(small(of, BROADCAST_ROWS), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        hooked = labels.join(small(near, BROADCAST_ROWS), "node").select("node", F.col("comp").alias("was"), F.least("comp", "other").alias("comp"))
-        hooked = scratch.table(hooked, f"{name}-hooked-{k}")
-        up = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        jumped = hooked.join(small(up, BROADCAST_ROWS), "comp").select("node", "was", F.least("comp", "top").alias("comp"))
-        jumped = scratch.table(jumped, f"{name}-{k}")
-        scratch.drop(f"{name}-hooked-{k}")
-        labels = jumped.select("node", "comp")
-        if not jumped.filter("was <> comp").limit(1).count():
+        of = small(labels, BROADCAST_ROWS)
+        near = both.join(of.select(F.col("node").alias("b"), F.col("comp").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        up = of.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        step = labels.join(near, "node").join(up, "comp").select("node", F.col("comp").alias("was"), F.least("comp", "other", "top").alias("comp"))
+        step = scratch.table(step, f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}")
+        labels = step.select("node", "comp")
+        if not step.filter("was <> comp").limit(1).count():
+            scratch.drop(f"{name}-edges")
             return labels

@@ -2,19 +2,25 @@
 
 Every text becomes a set of shingle hashes, ordered by how common a shingle is in the corpus (a count
 sketch of fixed size over all documents gives the order; any order is correct, a rare-first one is fast).
-Two sets that reach the threshold share a shingle among the first few of both, their prefixes. Documents
-with the same prefix and size form one group; groups that share no prefix shingle with another are done.
-The others are expanded to their members, and pairs of members are filtered by size and by an odd
-sketch, whose distance never exceeds that of the sets, before an exact check.
-
-Components need no full list of pairs. A few leaders of every shared shingle are checked against all that
-hold it; what they join counts as one afterwards, and the last pass looks only at pairs between different
-components. Nothing is left out: a link between two components is found there, and pairs inside a
-component can't change it.
+Two sets that reach the threshold share a shingle among the first few of both, their prefixes.
+
+1. Equal sets are one node; nodes of equal prefix and size are one group.
+2. Only groups are posted under their prefix shingles, as narrow rows (shingle, group, size, position).
+   Group pairs meet at a shingle and pass if sizes and positions still allow the threshold; they are made distinct.
+3. Group pairs are expanded to members, whose odd sketches (parities of shingles, with a distance that never
+   exceeds that of the sets) are compared once for each pair, and the sets of the rest are compared exactly.
+
+Components need no full list of pairs, and a large group of near copies must not become all its pairs. So
+leaders go first: a few groups of each shingle, those of the least hashes, meet all others there, and each member
+keeps two of the leaders that it may link with. What they join counts as one afterwards. Rounds of leaders follow as long as the pairs that are left
+outnumber the postings by far and each round cuts them down. The last round looks at all group pairs between different
+components, the smaller set through a shorter prefix and within size bands. Nothing is left out: a link
+between two components is found there, and pairs inside a component can't change it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import FOLD, SPACES, Scratch, gram_hashes, mix, small, word_blocks
+from quaver.llm.common import FOLD, SPACES, Scratch, free_names, gram_hashes, mix, small, word_blocks
 from quaver.llm.components import components
 
 #: The count sketch has 2**BITS cells, sent in CHUNKS parts.
-BITS, CHUNKS = 20, 64
+BITS, CHUNKS = 22, 64
+#: Leaders of a shingle in a round.
+LEADERS = 4
+#: Groups that make a shingle a crowded one.
+CROWD = 16
 #: 64-bit words of the odd sketch, a power of two.
 SKETCH = 8
 
@@ -54,13 +64,15 @@ def _cell(h: np.ndarray) -> np.ndarray:
 
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(1 << BITS, np.uint32)  # a task has fewer than 2**32 shingles
         for batch in batches:
             for _, _, words, first, _ in word_blocks(batch.column("text"), SPACES, FOLD):
                 grams, ok = gram_hashes(words, first, k)
-                counts += np.bincount(_cell(grams[ok]), minlength=1 << BITS)
-        parts = counts.astype(np.uint32).reshape(CHUNKS, -1)  # a task has fewer than 2**32 shingles
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+                np.add.at(counts, _cell(grams[ok]), np.uint32(1))
+        for c, part in enumerate(counts.reshape(CHUNKS, -1)):
+            top = part.max()
+            narrow = part.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([narrow.tobytes()], pa.binary())})
 
     return run
 
@@ -69,7 +81,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, b in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(b, np.uint32)
+            part = np.frombuffer(b, f"u{len(b) * CHUNKS >> BITS}")
             sums[c] = sums[c] + part if c in sums else part.astype(np.int64)
     if sums:
         ranks = [np.ceil(np.log2(s + 1.0)).astype(np.uint8).tobytes() for s in sums.values()]
@@ -90,156 +102,271 @@ def _describe(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in batches:
-            n, fa, fb, prefixes, lows = [], [], [], [], []
+            n, fa, fb, ga, gb, prefixes = [], [], [], [], [], []
             sketch = np.zeros((batch.num_rows, SKETCH), np.int64)
             for i, s in enumerate(shingle_sets(batch.column("text"), k)):
                 size = len(s)
                 n.append(size)
                 m = mix(s)
-                fa.append(int(np.bitwise_xor.reduce(m).astype(np.int64)) if size else 0)
-                fb.append(int(m.sum(dtype=np.uint64).astype(np.int64)) if size else 0)
+                fa.append(_xor(m))
+                fb.append(_sum(m))
                 # sharing no shingle among the first size - ceil(percent * size) + 1 makes the threshold unreachable
                 p = size - -(-percent * size // 100) + 1 if size else 0
                 order = (ranks[_cell(s)].astype(np.uint64) << np.uint64(56)) | (m >> np.uint64(8))
                 front = np.argpartition(order, p - 1)[:p] if p < size else np.arange(size)
-                prefixes.append(np.sort(s[front].view(np.int64)))
+                front = front[np.argsort(order[front])]
+                ga.append(_xor(m[front]))
+                gb.append(_sum(m[front]))
+                prefixes.append(s[front].view(np.int64))
                 odd = np.bincount((m & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketch[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-            columns = {
-                "doc_id": batch.column("doc_id"),
-                "place": batch.column("place"),
-                "n": pa.array(n, pa.int64()),
-                "fa": pa.array(fa, pa.int64()),
-                "fb": pa.array(fb, pa.int64()),
-                "prefix": pa.array(prefixes, pa.list_(pa.int64())),
-            }
+            columns = {"doc_id": batch.column("doc_id")}
+            columns |= {c: pa.array(v, pa.int64()) for c, v in zip(("n", "fa", "fb", "ga", "gb"), (n, fa, fb, ga, gb))}
+            columns["prefix"] = pa.array(prefixes, pa.list_(pa.int64()))
             columns |= {f"s{j}": pa.array(sketch[:, j]) for j in range(SKETCH)}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _full_sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, at = [], 0
-            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
-                held.append(s.view(np.int64))
-                if len(held) == 512 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_pydict({"node": batch.column("place").slice(at, len(held)), "set": pa.array(held, pa.list_(pa.int64()))})
-                    held, at = [], i + 1
+def _xor(m: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(m, initial=0).astype(np.int64))
 
-    return run
 
+def _sum(m: np.ndarray) -> int:
+    return int(m.sum(dtype=np.uint64).astype(np.int64))
 
-_SKETCHES = [f"s{j}" for j in range(SKETCH)]
 
+def _full_sets(k: int, limit: int = 1 << 20):
+    """(n, fa, fb, set) of each text, in batches of about ``limit`` shingles."""
 
-def _may_link(percent: int):
-    """Size and sketch filters of a pair whose columns are prefixed x_ and y_."""
-    sizes = F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
-    distance = " + ".join(f"bit_count(x_{s} ^ y_{s})" for s in _SKETCHES)
-    # both sets differ in at most (1 - t) / (1 + t) of the sum of their sizes
-    return sizes & F.expr(f"{100 + percent} * ({distance}) <= {100 - percent} * (x_n + y_n)")
-
-
-def _sided(df: DataFrame, side: str) -> DataFrame:
-    return df.select("token", *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "token"))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+                held.append(s)
+                size += len(s)
+                if size > limit or i + 1 == batch.num_rows:
+                    mixed = [mix(x) for x in held]
+                    columns = {"n": [len(x) for x in held], "fa": [_xor(m) for m in mixed], "fb": [_sum(m) for m in mixed]}
+                    columns = {c: pa.array(v, pa.int64()) for c, v in columns.items()}
+                    yield pa.RecordBatch.from_pydict(columns | {"set": pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))})
+                    held, size = [], 0
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("u"))
-    return shared.filter(f"100 * i >= {percent} * (u - i)").select("a", "b")
+    return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", leaders: int = 4, rounds: int = 2) -> DataFrame:
-    """Per row: doc_id, place, n_shingles and component_id, the least doc_id that links lead to.
+_SKETCHES = [f"s{j}" for j in range(SKETCH)]
+_SET = ["n", "fa", "fb"]
+
+
+def _sizes_meet(percent: int):
+    return F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+
+
+def _positions_meet(percent: int):
+    """Whether a first shared shingle at these positions leaves enough shingles behind it in both sets."""
+    return F.expr(f"{100 + percent} * least(x_n - x_pos, y_n - y_pos) >= {percent} * (x_n + y_n)")
+
+
+_DISTANCE = " + ".join(f"bit_count(x_{s} ^ y_{s})" for s in _SKETCHES)
+#: The sketch folded to half its width, for postings: parities of twice as many shingles each.
+_HALVES = [f"s{j} ^ s{j + SKETCH // 2} as t{j}" for j in range(SKETCH // 2)]
+_HALF_DISTANCE = " + ".join(f"bit_count(x_t{j} ^ y_t{j})" for j in range(SKETCH // 2))
+
+
+def _sketches_meet(percent: int, distance: str = _DISTANCE):
+    # sets that reach the threshold differ in at most (1 - t) / (1 + t) of the sum of their sizes
+    return F.expr(f"{100 + percent} * ({distance}) <= {100 - percent} * (x_n + y_n)")
+
+
+def _sided(df: DataFrame, side: str, *same: str) -> DataFrame:
+    return df.select(*(F.col(c) if c in same else F.col(c).alias(f"{side}_{c}") for c in df.columns))
+
+
+class _Join:
+    """The tables of one join and the steps over them."""
+
+    def __init__(self, source: DataFrame, kind: str, k: int, percent: int):
+        """``source``: doc_id of type ``kind``, and text."""
+        spark = source.sparkSession
+        self.source, self.k, self.percent, self.scratch = source, k, percent, Scratch(spark, "jaccard")
+        table = self.scratch.table
+        shared = spark.sparkContext.broadcast(common_ranks(source, k))
+        schema = f"doc_id {kind}, n long, fa long, fb long, ga long, gb long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES)
+        self.described = table(source.mapInArrow(_describe(k, percent, shared), schema), "described")
+
+        # equal sets are one node; node and group numbers are written once, so they never change
+        first = [F.first(c).alias(c) for c in ("ga", "gb", *_SKETCHES)]
+        equal = self.described.filter("n > 0").groupBy(*_SET).agg(F.min("doc_id").alias("low"), *first)
+        self.nodes = table(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        shapes = self.described.filter("n > 0").groupBy("n", "ga", "gb").agg(F.first("prefix").alias("prefix"))
+        self.groups = table(shapes.withColumn("g", F.monotonically_increasing_id()), "groups")
+        named = self.nodes.select("node", "n", "ga", "gb", *_SKETCHES).join(self.groups.select("n", "ga", "gb", "g"), ["n", "ga", "gb"])
+        self.members = table(named.select("node", "g", "n", *_SKETCHES), "members")
+
+    def postings(self) -> DataFrame:
+        """(token, g, n, pos) of the prefix shingles that more than one group has."""
+        all_ = self.groups.select("g", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+        shared = self.scratch.table(all_.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+        return self.scratch.table(all_.join(shared, "token").select("token", "g", "n", "pos", F.col("c").cast("int").alias("c")), "post")
+
+    def group_components(self, comps: DataFrame) -> DataFrame:
+        """(g, comp, mixed) of each group; a group whose members are of different components has a number of its own."""
+        of = self.members.select("node", "g").join(small(comps, 200_000), "node", "left")
+        own = F.coalesce("comp", "node")
+        each = of.groupBy("g").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+        mixed = F.col("lo") < F.col("hi")
+        return each.select("g", F.when(mixed, -1 - F.col("g")).otherwise(F.col("lo")).alias("comp"), mixed.alias("mixed"))
+
+    def leader_pairs(self, post: DataFrame, of_groups: DataFrame, r: int) -> DataFrame:
+        """Candidate (a, b) of nodes: each member with two of the leaders that it meets, those of the least and the greatest hash."""
+        picks = [F.min(F.struct(F.xxhash64(F.lit(r * LEADERS + j), "g").alias("h"), "g", "n", "pos", "comp")).alias(f"l{j}") for j in range(LEADERS)]
+        columns = ["g", "n", "pos", "comp"]
+        heads = post.groupBy("token").agg(*picks).select("token", F.explode(F.array(*(F.struct(*(F.col(f"l{j}.{c}") for c in columns)) for j in range(LEADERS)))).alias("l"))
+        heads = heads.select("token", *(F.col(f"l.{c}").alias(f"x_{c}") for c in columns))
+        met = heads.join(_sided(post, "y", "token"), [heads.token == post.token, F.col("x_comp") != F.col("y_comp"), _sizes_meet(self.percent), _positions_meet(self.percent)])
+        own = of_groups.filter("mixed").select(F.col("g").alias("x_g"), F.col("g").alias("y_g"))
+        pairs = self.scratch.table(met.select("x_g", "y_g").distinct().unionByName(own), f"groups-{r}")
+        # a leader is one member of its group
+        columns = ["node", "n", "comp", *_SKETCHES]
+        one = self.known.groupBy("g").agg(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), *columns)).alias("l")).select("g", *(f"l.{c}" for c in columns))
+        left = pairs.join(_sided(one, "x"), "x_g").withColumnRenamed("y_g", "with_g")
+        both = left.join(_sided(self.known, "y"), [F.col("with_g") == F.col("y_g"), F.col("x_comp") != F.col("y_comp"), _sketches_meet(self.percent)])
+        by = F.struct(F.xxhash64(F.lit(r), "x_node").alias("h"), F.col("x_node").alias("a"))
+        two = both.groupBy("y_node").agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
+        return two.select(F.explode(F.array_distinct(F.array("lo.a", "hi.a"))).alias("a"), F.col("y_node").alias("b"))
+
+    def all_pairs(self, post: DataFrame, of_groups: DataFrame) -> DataFrame:
+        """Candidate (a, b) of nodes of different components: all that groups, sizes, positions and sketches allow.
+
+        At a crowded shingle, groups of one member also bring their sketches, so that pairs that can't link aren't made there.
+        """
+        lone = self.members.groupBy("g").agg(F.count("*").alias("m"), *(F.first(s).alias(s) for s in _SKETCHES)).filter("m = 1").selectExpr("g", *_HALVES)
+        crowded = post.filter(F.col("c") > CROWD).join(lone, "g", "left")
+        rest = post.filter(F.col("c") <= CROWD)
+        post = self.scratch.table(crowded.unionByName(rest, allowMissingColumns=True).drop("c"), "sketched")
+        # a little wider than the ratio of sizes, so that rounding can't move a pair over two borders
+        band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / self.percent) * 1.0001)).cast("int") if self.percent < 100 else F.col("n")
+        y = _sided(post.withColumn("band", band), "y", "token", "band")
+        enough = F.expr(f"n - (2 * {self.percent} * n + {99 + self.percent}) div {100 + self.percent}")
+        x = post.filter(F.col("pos") <= enough).withColumn("band", F.explode(F.array(band, band + 1)))
+        x = _sided(x, "x", "token", "band")
+        order = F.expr("x_n < y_n or x_n = y_n and x_g < y_g") & (F.col("x_comp") != F.col("y_comp"))
+        met = x.join(y, [x.token == y.token, x.band == y.band, order, _sizes_meet(self.percent), _positions_meet(self.percent), F.coalesce(_sketches_meet(self.percent, _HALF_DISTANCE), F.lit(True))])
+        own = of_groups.filter("mixed").select(F.col("g").alias("x_g"), F.col("g").alias("y_g"))
+        pairs = self.scratch.table(met.select("x_g", "y_g").distinct().unionByName(own), "groups-all")
+        left = pairs.join(_sided(self.known, "x"), "x_g").withColumnRenamed("y_g", "with_g")
+        once = F.expr("x_g <> y_g or x_node < y_node")
+        both = left.join(_sided(self.known, "y"), [F.col("with_g") == F.col("y_g"), once, F.col("x_comp") != F.col("y_comp"), _sketches_meet(self.percent)])
+        return self.prefixes_meet(both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_g", "x_n", "y_g", "y_n"))
+
+    def prefixes_meet(self, pairs: DataFrame) -> DataFrame:
+        """Candidates whose prefixes share enough: what is behind the prefix that ends first adds no more than its set's rest.
+
+        Halves of the hashes do: shingles that look alike only add to what seems shared, or are added as repeats of one front.
+        """
+        pairs = self.scratch.table(pairs, "met")
+        of = self.scratch.table(pairs.select(F.col("x_g").alias("g")).unionByName(pairs.select(F.col("y_g").alias("g"))).distinct(), "met-groups")
+        fronts = self.groups.join(small(of, 200_000), "g").select("g", F.expr("transform(prefix, x -> cast((x & 4294967295) - 2147483648 as int))").alias("front"))
+        fronts = self.scratch.table(fronts, "fronts")
+        both = pairs.join(fronts.withColumnsRenamed({"g": "x_g", "front": "x_front"}), "x_g").join(fronts.withColumnsRenamed({"g": "y_g", "front": "y_front"}), "y_g")
+        behind = "greatest(x_n - size(x_front), y_n - size(y_front))"
+        return both.filter(f"{100 + self.percent} * (size(array_intersect(x_front, y_front)) + size(x_front) - size(array_distinct(x_front)) + {behind}) >= {self.percent} * (x_n + y_n)").select("a", "b")
+
+    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(node, set) of all nodes of ``pairs``, which is written."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        ends = self.scratch.table(ends.join(self.nodes.select("node", "low", *_SET), "node").withColumn("h", F.xxhash64("low")), f"ends-{name}")
+        asked = self.source.withColumn("h", F.xxhash64("doc_id")).join(small(ends.select("h").distinct(), 1_000_000), "h", "left_semi").select("text")
+        made = asked.mapInArrow(_full_sets(self.k), "n long, fa long, fb long, set array<long>")
+        # rows of equal id and text make a set more than once
+        once = made.join(small(ends.select("node", *_SET), 200_000), _SET).groupBy("node").agg(F.first("set").alias("set"))
+        return self.scratch.table(once, f"sets-{name}")
+
+    def links(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sets reach the threshold."""
+        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("u"))
+        return self.scratch.table(shared.filter(f"100 * i >= {self.percent} * (u - i)").select("a", "b"), f"links-{name}")
+
+    def look(self, comps: DataFrame, post: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int, int]:
+        """Open postings with components, groups, and how many pairs and postings are open."""
+        of_groups = self.scratch.table(self.group_components(comps), f"of-groups-{name}")
+        of = post.drop("comp", "c").join(small(of_groups.select("g", "comp"), 200_000), "g")
+        # a shingle whose holders are one component has nothing more to tell
+        each = of.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
+        each = each.agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside")).filter("comps > 1")
+        open_ = self.scratch.table(each.select("token", "c", (F.col("c") * F.col("c") - F.col("inside")).alias("pairs")), f"tokens-{name}")
+        post = self.scratch.table(of.join(open_.select("token", F.col("c").cast("int").alias("c")), "token").select("token", "g", "n", "pos", "c", "comp"), f"open-{name}")
+        sums = open_.agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
+        self.known = self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
+
+    def first_look(self) -> tuple[DataFrame, DataFrame, int, int]:
+        """The same before anything is joined: every node is a component, every group has a number of its own."""
+        post = self.postings().withColumn("comp", -1 - F.col("g"))
+        sums = self.scratch.read("shared").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"), F.sum("c").alias("rows")).first()
+        of_groups = self.scratch.table(self.members.groupBy("g").agg(F.count("*").alias("m")).select("g", (F.col("m") > 1).alias("mixed")), "of-groups")
+        self.known = self.members.withColumn("comp", F.col("node"))
+        return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
+
+    def merged(self, comps: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame:
+        """The components after the links among ``pairs``."""
+        pairs = self.scratch.table(pairs, f"pairs-{name}")
+        found = self.links(pairs, self.sets(pairs, name), name)
+        if comps is not None:
+            found = found.unionByName(comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        return components(found, self.scratch, f"components-{name}")
+
+    def components(self) -> DataFrame:
+        """(node, comp) of the nodes with links.
+
+        Leaders have another round while the pairs left are many for the postings and the last round has
+        cut them by three tenths.
+        """
+        (post, of_groups, n_pairs, n_rows), comps, before, r = self.first_look(), None, math.inf, 0
+        while n_pairs > 8 * n_rows and n_pairs <= 0.7 * before:
+            comps = self.merged(comps, self.leader_pairs(post, of_groups, r), str(r))
+            before, r = n_pairs, r + 1
+            post, of_groups, n_pairs, n_rows = self.look(comps, post, str(r))
+        return self.merged(comps, self.all_pairs(post, of_groups), "all")
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id, the least doc_id that links lead to.
 
     Rows link if 100 * shared >= percent * (all shingles of both). Shingles are ``k`` consecutive words
     (lower-cased A-Z, split at white space), or all words of a shorter text; a text without words is empty, has no
     shingles and links with nothing, and so does a null. Rows of equal id are rows of their own; a null id
-    never names a component unless all its rows have none. Other columns are ignored.
+    never names a component unless all its rows have none. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
-    shared = spark.sparkContext.broadcast(common_ranks(source, k))
-    schema = f"doc_id {kind}, place long, n long, fa long, fb long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES)
-    described = scratch.table(source.mapInArrow(_describe(k, percent, shared), schema), "described")
-
-    # equal sets are one node
-    equal = scratch.table(described.filter("n > 0").groupBy("n", "fa", "fb").agg(F.min("place").alias("node"), F.min("doc_id").alias("low")), "equal")
-    nodes = described.join(equal.select(F.col("node").alias("place")), "place").withColumnRenamed("place", "node")
-    nodes = scratch.table(nodes.select("node", "n", "prefix", *_SKETCHES).withColumn("shape", F.xxhash64("prefix")), "nodes")
-
-    # groups of equal prefix and size; their prefix shingles that another group has too
-    groups = nodes.groupBy("n", "shape").agg(F.min("node").alias("group"), F.count("*").alias("members"))
-    held = nodes.join(groups.select(F.col("group").alias("node"), "group", "members"), "node")
-    held = scratch.table(held.select("group", "members", F.explode("prefix").alias("token")), "held")
-    common = scratch.table(held.groupBy("token").agg(F.count("*").alias("c"), F.max("members").alias("m")).filter("c > 1 or m > 1").select("token"), "common")
-    member_of = nodes.join(groups, ["n", "shape"]).select("node", "group")
-    post = held.join(small(common, 500_000), "token").select("token", "group").join(member_of, "group")
-    post = scratch.table(post.select("token", "node").join(nodes.select("node", "n", *_SKETCHES), "node"), "post")
-    for name in ("held", "common"):
-        scratch.drop(name)
-    spark._jvm.System.gc()
-
-    comps = None
-    for r in range(rounds + 1):
-        if comps is None:
-            mine = post.withColumn("comp", F.col("node"))
-        else:
-            mine = post.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", F.col("node")))
-            # a shingle whose holders are one component has nothing more to tell
-            open_ = mine.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-            mine = scratch.table(mine.join(small(open_, 500_000), "token"), f"open-{r}")
-        if r < rounds:
-            picks = [F.min(F.struct(F.xxhash64(F.lit(r * leaders + j), F.col("node")).alias("h"), F.col("node").alias("node"))).alias(f"p{j}") for j in range(leaders)]
-            chosen = mine.groupBy("token").agg(*picks).select("token", F.explode(F.array_distinct(F.array(*(F.col(f"p{j}.node") for j in range(leaders))))).alias("node"))
-            heads = _sided(mine.join(chosen, ["token", "node"]), "x")
-        else:
-            heads = _sided(mine, "x")
-        order = F.col("x_comp") < F.col("y_comp") if r == rounds else F.col("x_comp") != F.col("y_comp")
-        met = heads.join(_sided(mine, "y"), "token").filter(order & _may_link(percent))
-        pairs = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        pairs = scratch.table(pairs, f"pairs-{r}")
-        # only sets that take part in a pair are made
-        ends = pairs.select(F.col("a").alias("place")).unionByName(pairs.select(F.col("b").alias("place"))).distinct()
-        asked = source.join(small(ends, 1_000_000), "place").select("place", "text")
-        sets = scratch.table(asked.mapInArrow(_full_sets(k), "node long, set array<long>"), f"sets-{r}")
-        found = scratch.table(_verified(pairs, sets, percent), f"links-{r}")
-        for name in (f"sets-{r}", f"pairs-{r}", f"open-{r}"):
-            scratch.drop(name)
-        spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is written
-        if comps is None:
-            links = found
-        else:
-            links = found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).filter("a <> b"))
-        comps = components(links, scratch, f"components-{r}")
-        spark._jvm.System.gc()
-    for name in ("post", "nodes"):
-        scratch.drop(name)
-
-    known = equal.join(small(comps, 200_000), "node", "left").select("n", "fa", "fb", "low", F.coalesce("comp", F.col("node")).alias("comp"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    join = _Join(source, docs.schema[id_col].dataType.simpleString(), k, percent)
+    comps = join.components()
+    known = join.nodes.select("node", "low", *_SET)
+    known = known.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = known.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = scratch.table(known.join(lowest, "comp").select("n", "fa", "fb", "component_id"), "named")
+    named = join.scratch.table(known.join(lowest, "comp").select(*_SET, "component_id"), "named")
+    join.scratch.keep("described", "named")
     # a set can be that of a third of all rows: plain exchanges, which AQE can split
-    out = described.select("doc_id", "place", "n", "fa", "fb").join(small(named, 200_000), ["n", "fa", "fb"], "left")
-    return out.select("doc_id", "place", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """One row of every component, that of the least doc_id (of equal ids, the first); all columns stay."""
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    comps = jaccard_components(docs, k, percent)
-    # rows of a component are combined before the shuffle
-    best = comps.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("m")).select("m.place")
-    alone = comps.filter("n_shingles = 0").select("place")
-    return placed.join(best.unionByName(alone).withColumnRenamed("place", "__place"), "__place", "left_semi").select(*docs.columns)
+    out = join.described.select("doc_id", *_SET).join(small(named, 200_000), _SET, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, that of the least id (of equal ids, the first row; null ids come last); all columns stay.
+
+    Rows without words all stay. The rows are written once with their places, so that a place names the same row
+    in every pass.
+    """
+    at, as_ = free_names(docs, "place", "key")
+    placed = Scratch(docs.sparkSession, "kept").table(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
+    keyed = placed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(at).alias("place")).alias(as_), text_col)
+    comps = jaccard_components(keyed, k, percent, as_, text_col)
+    best = comps.filter("doc_id.place = component_id.place").select(F.col("doc_id.place").alias(at))
+    return placed.join(best, at, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

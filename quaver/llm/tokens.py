@@ -26,12 +26,13 @@ class UnitEncoder:
     """Encodes texts to little-endian id bytes, equal to the tokenizer's own encoding of each whole text.
 
     ``spaced``: a token may hold the space before a word; otherwise white space only separates words.
+    ``plain_specials``: strings of special tokens in a text are ordinary text; by default they get their own ids.
     """
 
-    def __init__(self, path: str, dtype: str, spaced: bool, entries: int = 400_000):
+    def __init__(self, path: str, dtype: str, spaced: bool, entries: int = 400_000, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype(dtype)
         self.spaced = spaced
         self.entries = entries
@@ -87,13 +88,18 @@ class UnitEncoder:
         return [b"".join(map(get, g)) for g in group]
 
     def _halves(self, unit: str) -> tuple[str, str]:
-        """A word and the marks that follow it, which are always tokens of their own after a letter."""
+        """A word and the marks that follow it, which are always tokens of their own after a letter.
+
+        A letter that grows a combining mark in lower case isn't one: the mark joins those that follow.
+        """
         word = unit.rstrip(_MARKS)
-        if word and word[-1].isalpha():
+        last = word[-1:].lower()
+        if len(last) == 1 and last.isalpha():
             marks = unit[len(word) :]
         else:
             word, marks = unit, ""
-        return (word.lower() if not self.spaced and word.isascii() else word), marks
+        # a string that looks like a special token keeps its case
+        return (word.lower() if not self.spaced and word.isascii() and "<" not in word else word), marks
 
 
 @lru_cache(maxsize=2)

@@ -137,7 +137,6 @@ def test_quality_held_out(spark):
 def test_packing(odd):
     df, docs = odd
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want = {}
     for i, text in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -197,7 +196,6 @@ def test_packing_is_optimal_on_small_instances():
 def test_token_files(odd):
     df, docs = odd
     t = Tokenizer.from_file(BYTES)
-    t.encode_special_tokens = True
     at, want, stream = 0, {}, []
     for i, text in sorted(docs):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -217,6 +215,19 @@ def test_token_files(odd):
     assert back == stream
 
 
+def test_unit_ids_equal_the_tokenizers():
+    from quaver.llm.tokens import UnitEncoder, is_spaced
+
+    letters = [*"abcXYZ019 \n\t.,!?$|<>'-_", "İ", "ı", "ß", "ſ", "é", "e\u0301", "\u0307", "\u0308", "\u0345", "Σ", "ς", "ŉ", "ǰ", "ﬁ", "中", "🙂", "\u200d", "\x85", "\x1c", "\xa0", "\u2028", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "'s", "'LL", "  "]
+    r = random.Random(3)
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    for path in (WORDS, BYTES):
+        t = Tokenizer.from_file(path)
+        got = UnitEncoder(path, "<u4", is_spaced(path)).encode(texts)
+        for text, ids, e in zip(texts, got, t.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == e.ids, text
+
+
 def test_shards(odd):
     df, docs = odd
     rows = sorted(sharding.shard_by_bytes(df, 5).collect(), key=lambda r: r.doc_id)

@@ -2,8 +2,8 @@
 
 Labelled page outcomes (bad or not) are counted by host, registered domain and suffix. Every level's
 rate is shrunk to the level above with a beta-binomial prior whose strength is estimated from the
-spread of the level's own rates. A host is blocked if the lower bound of its posterior bad rate is
-over a threshold. Listed rules come before the posterior.
+spread of the level's own rates and held between two limits. A host is blocked if the lower bound of its
+posterior bad rate is over the pooled rate of all labelled pages. Listed rules come before the posterior.
 """
 
 from __future__ import annotations
@@ -93,10 +93,11 @@ def _strength(level: DataFrame, lowest: float, highest: float) -> DataFrame:
     return spread.select(F.coalesce(F.when(tau2 > 1e-9, F.least(F.greatest(raw, F.lit(lowest)), F.lit(highest))).otherwise(F.lit(highest)), F.lit(highest)).alias("m"))
 
 
-def host_posteriors(hosts: DataFrame, outcomes: DataFrame, lowest: float = 1.0, highest: float = 1000.0) -> DataFrame:
-    """Posterior mean and standard deviation of the bad rate of each host of ``hosts`` (host).
+def host_posteriors(hosts: DataFrame, outcomes: DataFrame, lowest: float = 1.0, highest: float = 20.0) -> DataFrame:
+    """Posterior mean and standard deviation of the bad rate of each host of ``hosts`` (host), and the pooled rate.
 
-    ``outcomes`` has (host, bad) per labelled page, bad 0 or 1. Without any outcome all means are 0.5.
+    ``outcomes`` has (host, bad) per labelled page, bad 0 or 1. Without any outcome all means are 0.5. A prior is
+    worth ``lowest`` to ``highest`` pages; where rates don't visibly differ it is worth the most.
     """
     by_host = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     by_host = Scratch(hosts.sparkSession, "hosts").table(by_host, "counts")
@@ -125,17 +126,18 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame, lowest: float = 1.0,
 
     mean = shrunk("h", shrunk("d", shrunk("s", F.col("p_world"))))
     total = F.coalesce(F.col("n_h"), F.lit(0)) + F.col("m_h")
-    return all_hosts.select("host", mean.alias("mean"), total.alias("total")).select(
-        "host", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1)).alias("sd")
+    return all_hosts.select("host", mean.alias("mean"), total.alias("total"), "p_world").select(
+        "host", "mean", F.col("p_world").alias("pooled"), F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1)).alias("sd")
     )
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, z: float = 1.645, broadcast_rows: int = 100_000) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, margin: float = 1.0, z: float = 1.0, broadcast_rows: int = 100_000) -> DataFrame:
     """Judge every page by rule, else by its host's posterior.
 
     ``pages`` (page_id, url), ``labels`` (doc_id, quality, toxic): a page is bad if the label of its id
     has quality 0 or toxic 1; repeated labels count once, as bad if one of them is. Returns (page_id,
-    host, path, rule, verdict). A null url, or one without ``://``, has empty host and path, fits no
+    host, path, rule, verdict). A host is blocked if its mean less ``z`` deviations is over ``margin`` times the
+    pooled rate. A null url, or one without ``://``, has empty host and path, fits no
     rule and is judged as the host ''. Repeated pages stay, other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "urls")
@@ -146,7 +148,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = R
     known = known.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
     outcomes = seen.filter(F.col("page_id").isNotNull()).select("page_id", "host").join(known, "page_id").select("host", "bad")
     posts = host_posteriors(seen.select("host").distinct(), outcomes)
-    blocked = scratch.table(posts.filter(F.col("mean") - z * F.col("sd") > threshold).select("host"), "blocked")
+    blocked = scratch.table(posts.filter(F.col("mean") - z * F.col("sd") > margin * F.col("pooled")).select("host"), "blocked")
     # a host can hold a third of all pages: broadcast where the count allows it, else AQE splits the hot host
     judged = seen.join(small(blocked, broadcast_rows).withColumn("listed", F.lit(True)), "host", "left")
     rule = match_rule(F.col("host"), F.col("path"), rules)
@@ -166,7 +168,7 @@ def _sql() -> str:
     fit = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     case = lambda f: "CASE " + " ".join(f"WHEN {fit(r)} THEN '{f(r)}'" for r in rules) + " END"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    m = lambda t: f"""(SELECT coalesce(CASE WHEN tau2 > 1e-9 THEN least(greatest(p * (1 - p) / tau2 - 1, 1.0), 1000.0) ELSE 1000.0 END, 1000.0) FROM (
+    m = lambda t: f"""(SELECT coalesce(CASE WHEN tau2 > 1e-9 THEN least(greatest(p * (1 - p) / tau2 - 1, 1.0), 20.0) ELSE 20.0 END, 20.0) FROM (
       SELECT p, s2 - p * (1 - p) * k / all_n AS tau2 FROM (SELECT any_value(p) AS p, count(*) AS k, sum(n) AS all_n, sum(n * pow(bad / n - p, 2.0)) / sum(n) AS s2
       FROM {t}, (SELECT sum(bad) / sum(n) AS p FROM {t}))))"""
     return f"""
@@ -180,10 +182,10 @@ hs AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM seen JOI
 ds AS (SELECT domain, sum(n) AS n, sum(bad) AS bad FROM hs JOIN names USING (host) GROUP BY domain),
 ss AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hs JOIN names USING (host) GROUP BY suffix),
 one AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS p, {m('hs')} AS m_h, {m('ds')} AS m_d, {m('ss')} AS m_s FROM hs),
-a AS (SELECT names.host, coalesce(hs.n, 0) + m_h AS total,
+a AS (SELECT names.host, p AS pooled, coalesce(hs.n, 0) + m_h AS total,
     (coalesce(hs.bad, 0) + m_h * ((coalesce(ds.bad, 0) + m_d * ((coalesce(ss.bad, 0) + m_s * p) / (coalesce(ss.n, 0) + m_s))) / (coalesce(ds.n, 0) + m_d))) / (coalesce(hs.n, 0) + m_h) AS mean
   FROM names LEFT JOIN hs USING (host) LEFT JOIN ds USING (domain) LEFT JOIN ss USING (suffix), one),
-b AS (SELECT host FROM a WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) > 0.5)
+b AS (SELECT host FROM a WHERE mean - sqrt(mean * (1 - mean) / (total + 1)) > pooled)
 SELECT page_id, host, path, {case(lambda r: r.name)} AS rule,
   coalesce({case(lambda r: r.verdict)}, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM seen
 """

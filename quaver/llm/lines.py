@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import Scratch, small
+from quaver.llm.common import Scratch, free_names, small
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -49,22 +49,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated lines removed from ``text_col``, and columns n_lines and n_removed.
 
     A text with fewer than ``size`` lines stays as it is; a null text has no lines and stays null; '' has one
-    line. Null ids come first; rows of equal id are ordered by their place in the input. A column of ``docs``
-    called n_lines, n_removed or place is replaced.
+    line. Null ids come first; rows of equal id are ordered by their place in the input. The rows are written once
+    with their places, so that a place names the same row in every pass. A column of ``docs`` called n_lines or
+    n_removed is replaced.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "place")]
-    placed = docs.select(*columns).withColumn("place", F.monotonically_increasing_id())
-    starts = repeated_lines(placed, id_col, text_col, size)
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    at, starts, lines, gone = free_names(docs, "place", "starts", "lines", "gone")
+    placed = docs.select(*(F.col(f"`{c}`") for c in columns)).withColumn(at, F.monotonically_increasing_id())
+    placed = Scratch(docs.sparkSession, "lines-of").table(placed, "placed")
+    keyed = placed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(at).alias("place"))
+    found = repeated_lines(keyed, "doc_id", "text", size).select(F.col("place").alias(at), F.col("__starts").alias(starts))
     covers = ", ".join(f"i + {k}" for k in range(size))
-    joined = placed.join(starts, "place", "left")
-    cut = joined.withColumn("__l", F.split(F.col(text_col), "\n")).withColumn(
-        "__gone", F.expr(f"array_distinct(flatten(transform(coalesce(__starts, array()), i -> array({covers}))))")
+    cut = placed.join(found, at, "left").withColumn(lines, F.split(F.col(f"`{text_col}`"), "\n")).withColumn(
+        gone, F.expr(f"array_distinct(flatten(transform(coalesce({starts}, array()), i -> array({covers}))))")
     )
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__l) - 1), __gone), i -> get(__l, i)), '\n')")
+    kept = F.expr(f"array_join(transform(array_except(sequence(0, size({lines}) - 1), {gone}), i -> get({lines}, i)), '\n')")
     return cut.select(
-        *(F.when(F.size("__gone") > 0, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__l")).cast("long").alias("n_lines"),
-        F.size("__gone").cast("long").alias("n_removed"),
+        *(F.when(F.size(gone) > 0, kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns),
+        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"),
     )
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import FOLD, text_bytes
+from quaver.llm.common import FOLD, Scratch, free_names, text_bytes
 
 #: Bytes of a word: not [\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased.
 WORD_BYTE = np.zeros(256, bool)
@@ -199,11 +199,12 @@ def find_contamination(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted), spans.
 
-    The benchmark is collected in blocks of about ``block_bytes`` of text (one item is never split), and each
-    block is searched in a pass of its own, so what goes to executors is bounded whatever the benchmark's size.
+    The benchmark is collected in blocks of about ``block_bytes`` of text (one item is never split). Each block
+    is searched in a pass of its own, which is written before the next block is collected, so what the driver and
+    the executors hold is bounded whatever the benchmark's size.
     Null texts have no words; items with a null id or no words are ignored; items that share an id count as
     one. Repeated documents are judged one by one if the benchmark is one block; with more blocks rows of equal
-    doc_id and text are told apart by their place. Spans are merged word ranges [start, end).
+    doc_id and text are told apart by their places, which are written once. Spans are merged word ranges [start, end).
     """
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
     spark = docs.sparkSession
@@ -211,15 +212,21 @@ def find_contamination(
     schema = schema.replace("doc_id long", f"doc_id {doc_type}", 1)
     blocks = _benchmark_blocks(benchmark, item_col, text_col, block_bytes)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if len(blocks) > 1:
-        source = source.withColumn("place", F.monotonically_increasing_id())
-    passes = []
-    for block in blocks:
+
+    def tables(block: DataFrame):
         items = sorted((r["item"], r["body"]) for r in block.collect())
-        shared = spark.sparkContext.broadcast((tables_of(items, size), [i for i, _ in items]))
-        passes.append(source.mapInArrow(_searcher(shared, len(blocks) > 1), schema + (", place long" if len(blocks) > 1 else "")))
-    if len(passes) == 1:
-        return passes[0]
+        return spark.sparkContext.broadcast((tables_of(items, size), [i for i, _ in items]))
+
+    if len(blocks) == 1:
+        return source.mapInArrow(_searcher(tables(blocks[0]), False), schema)
+    scratch = Scratch(spark, "contamination")
+    placed = scratch.table(source.withColumn("place", F.monotonically_increasing_id()), "placed")
+    passes = []
+    for k, block in enumerate(blocks):
+        shared = tables(block)
+        passes.append(scratch.table(placed.mapInArrow(_searcher(shared, True), schema + ", place long"), f"pass-{k}"))
+        shared.destroy()
+    scratch.drop("placed")
     return _combine(passes)
 
 
@@ -288,9 +295,11 @@ def _combine(passes: list[DataFrame]) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, size: int = 10) -> DataFrame:
     """The rows of ``docs`` of whose words no more than ``share`` are in benchmark windows, with all their columns."""
-    marked = docs.withColumn("__place", F.monotonically_increasing_id())
-    hits = find_contamination(marked, benchmark, size, id_col="__place").filter(F.col("n_hit") > share * F.col("n_words"))
-    return marked.join(hits.select(F.col("doc_id").alias("__place")), "__place", "left_anti").select(*docs.columns)
+    (at,) = free_names(docs, "place")
+    # written once, so that a place names the same row in both passes
+    marked = Scratch(docs.sparkSession, "marked").table(docs.withColumn(at, F.monotonically_increasing_id()), "marked")
+    hits = find_contamination(marked, benchmark, size, id_col=at).filter(F.col("n_hit") > share * F.col("n_words"))
+    return marked.join(hits.select(F.col("doc_id").alias(at)), at, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -244,7 +244,7 @@ def test_urls(spark):
         "page_id long, url string, host string",
     )
     labels = spark.createDataFrame([(8, 0, 0), (9, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, labels, threshold=0.3).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, labels, margin=0.5).collect()}
     assert got[0] == ("", "", None, got[0][3]) and got[1][:3] == ("", "", None)
     assert got[2] == ("a.example.org", "/es/1", "example.org/es/", "block")
     assert got[3] == ("example.org", "/en/12", "example.org/en/1", "block")
@@ -254,6 +254,22 @@ def test_urls(spark):
     assert {r.verdict for r in none if r.rule is None} == {"allow"}
 
 
+def test_url_posteriors_shrink_at_three_levels(spark):
+    seen = [(h, b) for h, n, b in (("a.bad.net", 30, 1), ("b.bad.net", 30, 1), ("a.good.net", 40, 0), ("x.one.zz", 30, 1), ("x.two.zz", 30, 1), ("y.fine.org", 80, 0), ("odd.fine.org", 1, 1)) for _ in range(n)]
+    hosts = [*{h for h, _ in seen}, "new.bad.net", "new.good.net", "new.three.zz", "new.four.org"]
+    df = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate([h for h, _ in seen] + hosts)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, (_, b) in enumerate(seen)], "doc_id long, quality int, toxic int")
+    got = {r.host: r.verdict for r in urls.filter_urls(df, labels).collect()}
+    blocked = {h for h, v in got.items() if v == "block"}
+    assert blocked == {"a.bad.net", "b.bad.net", "new.bad.net", "x.one.zz", "x.two.zz", "new.three.zz"}
+
+
+def test_url_posteriors_decide_on_the_tables(spark):
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "labels"))
+    own = [r.verdict for r in urls.filter_urls(pages, labels).filter("rule is null").collect()]
+    assert 0 < own.count("block") < 0.3 * len(own)
+
+
 def test_html_held_out_accuracy():
     weights, pairs = html_extraction.trained()
     rng = np.random.default_rng(12345)
@@ -292,6 +308,37 @@ def test_marginals_equal_enumeration():
     assert np.allclose(html_extraction.marginals(f, w, p)[0], ones / total)
 
 
+def test_clashing_names_and_changed_splits(spark, odd):
+    """Columns named like those used inside keep their values, and a change of file splits between passes changes nothing."""
+    df, docs = odd
+    extra = {c: f"own {c}" for c in ("place", "_place", "starts", "lines", "gone", "key", "__place", "__l", "h", "comp")}
+    from pyspark.sql import functions as F
+
+    wide = df.select("doc_id", "text", *(F.lit(v).alias(c) for c, v in extra.items()))
+    bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    for out in (lines.dedup_lines(wide), ngram_join.keep_one(wide), decontamination.remove_contaminated(wide, bench)):
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        rows = out.collect()
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert rows and all(r[c] == v for r in rows for c, v in extra.items())
+        assert len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, ""), (2, None), (3, "l\n1\n2"), (3, "l\n1\n2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=repr) == sorted(
+        [(1, 24, 1), (1, 24, 1), (None, 24, 1), (None, 0, None), (2, 0, 2), (2, 0, 2), (3, 1, 3), (3, 1, 3)], key=repr
+    )
+    kept = sorted(map(tuple, ngram_join.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, text), (None, None), (2, ""), (2, None), (3, "l\n1\n2")], key=repr)
+    cut = sorted((r.doc_id, r.n_removed) for r in lines.dedup_lines(df).collect() if r.doc_id == 3)
+    assert cut == [(3, 0), (3, 3)]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in substrings.dedup_substrings(df).collect() if r.n_words > 20)
+    assert got == [(0, 0), (1, 26), (1, 26)]  # a null id comes first
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -7,8 +7,10 @@
 4. The different segments of a key are dealt to shards by key, so equal windows meet. Each shard builds a
    compressed FM-index (wavelet matrix over the Burrows-Wheeler transform) of its segments in corpus order
    and streams them through backward search; a window is a repeat if the least position in its interval
-   is smaller than its own. Keys with very many segments are dealt by window instead, so that no key
-   has to fit in one shard.
+   is smaller than its own.
+5. A key with very many different segments must not fill one shard. Its windows are combined by hash before
+   any shuffle, down to the earliest start of each; all other starts are repeats, so a passage that a
+   third of all documents share is one row of each task.
 
 Keys and positions are shuffled, and words of segments that need a search; texts are shuffled twice.
 """
@@ -100,35 +102,32 @@ def _segment(size: int):
     return run
 
 
+def _listed(batch: pa.RecordBatch):
+    """The listed segments of each block of a batch: (row, first word in the block, words, key, start, hashes of words)."""
+    lists = batch.column("segments")
+    offsets, listed = lists.offsets.to_numpy(), lists.values
+    start, windows, key = (listed.field(f).to_numpy(zero_copy_only=False) for f in ("start", "windows", "key"))
+    for i, j, words, first, _ in word_blocks(batch.column("text")):
+        own = slice(offsets[i], offsets[j])
+        doc = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]))
+        if len(doc):
+            from_ = start[own].astype(np.int64)
+            yield doc, first[doc - i] + from_, windows[own].astype(np.int64), key[own].view(np.uint64), from_, words
+
+
 def _deal(size: int, shards: int):
-    """Words of the listed segments, one row for each; by window where the key is hot."""
+    """Words of the listed segments, one row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("segments")
-            offsets, listed = lists.offsets.to_numpy(), lists.values
-            start, windows, key, hot = (listed.field(f).to_numpy(zero_copy_only=False) for f in ("start", "windows", "key", "hot"))
-            for i, j, words, first, _ in word_blocks(batch.column("text")):
-                own = slice(offsets[i], offsets[j])
-                doc = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]))
-                n, is_hot = windows[own].astype(np.int64), hot[own].astype(bool)
-                # a hot segment becomes one piece for each window
-                times = np.where(is_hot, n, 1)
-                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                doc, from_ = np.repeat(doc, times), np.repeat(start[own].astype(np.int64), times) + step
-                size_ = np.repeat(np.where(is_hot, 1, n), times) + size - 1
-                if not len(doc):
-                    continue
-                at = first[doc - i] + from_
-                by_key = np.repeat(key[own].view(np.uint64), times)
-                by_window = _range_hash(words, at, at + size_)
-                shard = np.where(np.repeat(is_hot, times), by_window, by_key) % np.uint64(shards)
-                ends = np.cumsum(size_)
-                flat = words[np.arange(ends[-1]) + np.repeat(at - ends + size_, size_)]
+            for doc, at, windows, key, from_, words in _listed(batch):
+                n = windows + size - 1
+                ends = np.cumsum(n)
+                flat = words[np.arange(ends[-1]) + np.repeat(at - ends + n, n)]
                 of = pa.array(doc)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "shard": pa.array(shard.astype(np.int32)),
+                        "shard": pa.array((key % np.uint64(shards)).astype(np.int32)),
                         "doc_id": batch.column("doc_id").take(of),
                         "place": batch.column("place").take(of),
                         "start": pa.array(from_.astype(np.int32)),
@@ -139,6 +138,28 @@ def _deal(size: int, shards: int):
     return run
 
 
+def _windows(size: int):
+    """Two hashes and the start of every window of the listed segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, at, windows, _, from_, words in _listed(batch):
+                step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                begin = np.repeat(at, windows) + step
+                of = pa.array(np.repeat(doc, windows))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "h1": pa.array(_range_hash(words, begin, begin + size).view(np.int64)),
+                        "h2": pa.array(_range_hash(mix(words ^ np.uint64(0x5851F42D4C957F2D)), begin, begin + size).view(np.int64)),
+                        "doc_id": batch.column("doc_id").take(of),
+                        "place": batch.column("place").take(of),
+                        "start": pa.array((np.repeat(from_, windows) + step).astype(np.int32)),
+                    }
+                )
+
+    return run
+
+
 def _search(size: int):
     """All segments of a partition in one index; they come in corpus order."""
 
@@ -240,17 +261,18 @@ def dedup_substrings(docs: DataFrame, size: int = 20, id_col: str = "doc_id", te
     A word goes if it is in a window of ``size`` words of one document whose words also start earlier: at a
     smaller doc_id, or earlier in the same document. Windows are judged on the input. Null ids come first;
     rows of equal id are ordered by their place in the input. Null texts have no words; texts of fewer words
-    have no windows. A key with more than ``hot_segments`` different segments is dealt by window.
+    have no windows. The windows of a key with more than
+    ``hot_segments`` different segments are combined by hash. Rows are written once with their places.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    source = scratch.table(source, "source")
     segments = scratch.table(source.mapInArrow(_segment(size), f"key long, content long, doc_id {kind}, place long, start int, windows int, own boolean"), "segments")
     keys = scratch.table(segments.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("o")).filter("c > 1 or o").select("key"), "keys")
     cand = scratch.table(segments.join(small(keys, 200_000), "key"), "candidates")
     scratch.drop("segments")
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is written
 
     here = F.struct("doc_id", "place", "start")
     distinct = cand.groupBy("key", "content").agg(F.min(here).alias("f"), F.count("*").alias("c"), F.max("windows").alias("windows"), F.max("own").alias("own"))
@@ -263,17 +285,26 @@ def dedup_substrings(docs: DataFrame, size: int = 20, id_col: str = "doc_id", te
     wide = distinct.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("o")).filter("n > 1 or o")
     wide = scratch.table(wide.select("key", (F.col("n") > hot_segments).alias("hot")), "wide")
     asked = scratch.table(distinct.join(small(wide, 200_000), "key").select("key", "place", "start", "windows", "hot"), "asked")
-    words = asked.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.col("windows") * size).otherwise(F.col("windows") + size - 1)), F.lit(0)).alias("w")).first()["w"]
+    cold, hot = asked.filter("not hot"), asked.filter("hot")
+    words = cold.agg(F.coalesce(F.sum(F.col("windows") + size - 1), F.lit(0)).alias("w")).first()["w"]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words) // shard_words + 1)
-    by_doc = asked.groupBy("place").agg(F.collect_list(F.struct("key", "start", "windows", "hot")).alias("segments"))
-    dealt = source.join(by_doc, "place").select("doc_id", "place", "text", "segments").mapInArrow(
-        _deal(size, shards), f"shard int, doc_id {kind}, place long, start int, words array<long>"
-    )
+
+    def with_segments(some: DataFrame) -> DataFrame:
+        by_doc = some.groupBy("place").agg(F.collect_list(F.struct("key", "start", "windows")).alias("segments"))
+        return source.join(by_doc, "place").select("doc_id", "place", "text", "segments")
+
+    dealt = with_segments(cold).mapInArrow(_deal(size, shards), f"shard int, doc_id {kind}, place long, start int, words array<long>")
     met = dealt.repartition(shards, "shard").sortWithinPartitions("doc_id", "place", "start").select("place", "start", "words")
     searched = scratch.table(met.mapInArrow(_search(size), "place long, start int, windows int"), "searched")
-    spark._jvm.System.gc()
 
-    repeats = equal.unionByName(searched).groupBy("place").agg(F.collect_list(F.struct("start", "windows")).alias("repeats"))
+    each = scratch.table(with_segments(hot).mapInArrow(_windows(size), f"h1 long, h2 long, doc_id {kind}, place long, start int"), "windows")
+    earliest = each.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    earliest = scratch.table(earliest.select("h1", "h2", F.col("f.place").alias("p"), F.col("f.start").alias("q")), "earliest")
+    later = each.join(small(earliest, 100_000), ["h1", "h2"]).filter("place <> p or start <> q").select("place", "start", F.lit(1).alias("windows"))
+    later = scratch.table(later, "later")
+    scratch.keep("source", "equal", "searched", "later")
+
+    repeats = equal.unionByName(searched).unionByName(later).groupBy("place").agg(F.collect_list(F.struct("start", "windows")).alias("repeats"))
     joined = source.join(repeats, "place", "left").select("doc_id", "text", "repeats")
     return joined.mapInArrow(_cut(size), f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>")
 

@@ -6,20 +6,22 @@ import html
 import re
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"<!---?>|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S,
 )
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # How elements nest.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split()
+    "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del"
+    " math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea template iframe svg math title object select".split())
+RAW = frozenset("script style textarea template iframe svg title".split())
 #: Of RAW, those that are ordinary elements if no closing tag follows.
-CONTAINERS = frozenset("select object svg math template".split())
+CONTAINERS = frozenset("svg template".split())
 IMPLIED = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
     "option": {"option"}, "thead": {"p"}, "tbody": {"thead", "tr", "td", "th", "p"}, "tfoot": {"tbody", "tr", "td", "th", "p"},
@@ -45,6 +47,9 @@ def _names(attributes: str) -> str:
         if name in ("hidden", "aria-hidden"):
             if value.strip("\"'").lower() != "false":
                 found.append("hidden")
+        elif name == "style":
+            if _UNSEEN.search(value):
+                found.append("hidden")
         else:
             found.append(value.strip("\"'").lower())
     return " ".join(found)
@@ -74,7 +79,13 @@ def parse(page: str | None) -> list[Node]:
     page = page or ""
     lowered = None
     unclosed: set[str] = set()
-    deep: dict[str, int] = {}  # open elements that are too deep to be nodes
+    count: dict[str, int] = {}  # open elements by tag
+
+    def pop_to(k: int) -> None:
+        for i in stack[k:]:
+            count[nodes[i].tag] -= 1
+        del stack[k:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -97,24 +108,14 @@ def parse(page: str | None) -> list[Node]:
         if closing:
             if tag == "head":
                 continue
-            if deep.get(tag):
+            if tag not in RAW or count.get(tag):
                 flush()
+            if count.get(tag):
                 links = 0
-                deep[tag] -= 1
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    flush()
-                    links = 0
-                    del stack[k:]
-                    deep.clear()
-                    break
-            else:
-                if tag not in RAW:
-                    flush()
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         if tag in RAW:
-            if m[0].endswith("/>") and tag in ("svg", "math", "iframe", "object", "template"):
+            if m[0].endswith("/>") and tag in ("svg", "iframe", "template"):
                 continue
             if lowered is None:
                 lowered = page.lower()
@@ -133,25 +134,22 @@ def parse(page: str | None) -> list[Node]:
         if tag in VOID or tag in ("html", "head"):
             continue
         if tag == "body":
-            if any(nodes[s].tag == "body" for s in stack):
+            if count.get("body"):
                 continue
         closes = IMPLIED.get(tag, set()) | {"p"}
         while len(stack) > 1 and nodes[stack[-1]].tag in closes:
-            stack.pop()
+            pop_to(len(stack) - 1)
         if tag in IMPLIED:
             for k in range(len(stack) - 1, 0, -1):
                 own = nodes[stack[k]].tag
                 if own in IMPLIED[tag]:
-                    del stack[k:]
+                    pop_to(k)
                     break
                 if own in SCOPES:
                     break
         top = stack[-1]
-        if nodes[top].depth < 200:  # deeper elements are read as part of the one that holds them
-            nodes.append(Node(tag, _names(m[3] or m[6] or ""), top, nodes[top].depth + 1))
-            stack.append(len(nodes) - 1)
-            deep.clear()
-        else:  # one of several open p or li may lack its closing tag
-            deep[tag] = 1 if tag in IMPLIED or tag == "p" else deep.get(tag, 0) + 1
+        nodes.append(Node(tag, _names(m[3] or m[6] or ""), top, nodes[top].depth + 1))
+        stack.append(len(nodes) - 1)
+        count[tag] = count.get(tag, 0) + 1
     flush()
     return nodes

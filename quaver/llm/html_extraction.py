@@ -2,7 +2,8 @@
 
 Every block element and every text run is a node with a hidden label, content or not. Log-linear node
 potentials see the tag, words of the class and id, length and links; parent-child potentials tie labels
-along the edges, with weights of their own for text runs, paragraphs and other elements. Sum-product messages
+along the edges, with weights of their own for text runs, paragraphs and other elements. Potentials also see what
+needs no names: how much text and how many links a subtree holds, its share of the page, and its paragraphs. Sum-product messages
 go up the tree and down again and give each run's probability of being content; runs over one half are the
 page's text. All pages of a batch are one forest, and a depth of it is one numpy step.
 
@@ -13,6 +14,7 @@ pages are drawn by ``html_pages`` from many layouts (``pages`` and ``seed`` boun
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +28,7 @@ from quaver.llm.dom import Node, parse
 # Tags and words that the node potentials know.
 TAGS = (
     "#root #text body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption"
-    " nav header footer aside form fieldset button address details summary dialog menu"
+    " nav header footer aside form fieldset button address details summary dialog menu select option noscript object"
 ).split()
 WORDS = {
     "advert": "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner dfp",
@@ -35,7 +37,8 @@ WORDS = {
     "footer": "footer foot copyright legal colophon imprint",
     "sidebar": "sidebar side aside rail widget widgets complementary secondary",
     "comments": "comment comments reply replies respond disqus discussion thread",
-    "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay banner newsletter subscribe subscription signup paywall toast warning hidden",
+    "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay banner newsletter subscribe subscription signup paywall toast warning",
+    "hidden": "hidden d-none sr-only visually-hidden",
     "social": "share sharing social follow twitter facebook",
     "related": "related recommended recommendations more popular trending teaser teasers",
     "form": "form login search contact poll survey",
@@ -46,8 +49,13 @@ _WORD_OF = {w: i for i, g in enumerate(_GROUPS) for w in WORDS[g].split()}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _TAG_OF = {t: i for i, t in enumerate(TAGS)}
 N_TAGS, N_GROUPS = len(TAGS) + 1, len(_GROUPS)
-#: Bias, tags, words, and for runs five lengths, four link shares, and whether a sentence ends.
-N_FEATURES = 1 + N_TAGS + N_GROUPS + 5 + 4 + 2
+#: Limits of the words of a subtree, its share of the page's words outside links, and its longer paragraphs.
+SIZES, SHARES, PARAGRAPHS = (5, 20, 60, 200, 1000), (0.05, 0.2, 0.5, 0.8), (1, 2, 4)
+#: Values of a shape: four link shares beside them.
+N_SHAPE = len(SIZES) + 1 + 4 + len(SHARES) + 1 + len(PARAGRAPHS) + 1
+#: Bias, tags, words, for runs five lengths, four link shares and whether a sentence ends, the shape of elements,
+#: and for runs the shape of their parent.
+N_FEATURES = 1 + N_TAGS + N_GROUPS + 5 + 4 + 2 + 2 * N_SHAPE
 #: Kinds of edges: to a text run, to a paragraph or heading, to another element.
 KINDS = 3
 
@@ -74,6 +82,49 @@ def _features(node: Node) -> tuple[int, ...]:
     return (0, 1 + _TAG_OF["#text"], at + length, at + 5 + link, at + 9 + end)
 
 
+def _share(linked: int, all_: int) -> int:
+    share = linked / max(1, all_)
+    return 0 if share < 0.02 else 1 if share < 0.3 else 2 if share < 0.7 else 3
+
+
+def _shapes(page: list[Node]) -> list[tuple[int, ...]]:
+    """The shape of each node's subtree, as features of an element, counted from 0."""
+    n = len(page)
+    words, chars, linked, plain, long_ = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    for i in range(n - 1, -1, -1):  # children come after their parents
+        node = page[i]
+        if node.tag == "#text":
+            words[i] = node.text.count(" ") + 1
+            chars[i], linked[i] = len(node.text), node.linked
+            plain[i] = chars[i] - linked[i]
+        up = node.parent
+        if up >= 0:
+            words[up] += words[i]
+            chars[up] += chars[i]
+            linked[up] += linked[i]
+            plain[up] += plain[i]
+            if node.tag in ("p", "#text") and words[i] >= 8 and 2 * linked[i] < chars[i]:
+                long_[up] += 1
+    a, b, c = len(SIZES) + 1, len(SIZES) + 5, len(SIZES) + 6 + len(SHARES)
+    all_ = max(1, plain[0])
+    out = []
+    for i in range(n):
+        size = bisect_right(SIZES, words[i])
+        shape = (size, a + _share(linked[i], chars[i]), c + bisect_right(PARAGRAPHS, long_[i]))
+        # of a small element, the share only tells how long the page is
+        out.append((*shape, b + bisect_right(SHARES, plain[i] / all_)) if size > 2 else shape)
+    return out
+
+
+def _rows(page: list[Node]) -> list[tuple[int, ...]]:
+    shapes, out = _shapes(page), []
+    own, above = N_FEATURES - 2 * N_SHAPE, N_FEATURES - N_SHAPE
+    for i, node in enumerate(page):
+        at, shape = (above, shapes[node.parent]) if node.tag == "#text" else (own, shapes[i])
+        out.append((*_features(node), *(at + f for f in shape)))
+    return out
+
+
 class Forest:
     """The nodes of many pages, by depth."""
 
@@ -86,7 +137,7 @@ class Forest:
         self.depth = np.array([n.depth for n in self.nodes], np.int64)
         self.kind = np.array([0 if n.tag == "#text" else 1 if n.tag in ("p", "h1", "h2", "h3", "h4", "li", "blockquote", "pre") else 2 for n in self.nodes], np.int64)
         self.is_text = self.kind == 0
-        rows = [_features(n) for n in self.nodes]
+        rows = [r for p in pages for r in _rows(p)]
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.column = np.array([c for r in rows for c in r], np.int64)
         order = np.argsort(self.depth, kind="stable")
@@ -152,7 +203,7 @@ def fit(forest: Forest, labels: np.ndarray, steps: int = 200, rate: float = 0.15
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 400, seed: int = 7):
+def trained(pages: int = 600, seed: int = 7):
     """The model, trained on ``pages`` labelled pages drawn with ``seed``."""
     from quaver.llm.html_pages import labelled_page
 
@@ -182,7 +233,7 @@ def extract(pages: list[str | None], weights: np.ndarray, pairs: np.ndarray, gro
     return out
 
 
-def extract_pages(pages: DataFrame, html_col: str = "html", training_pages: int = 400, seed: int = 7) -> DataFrame:
+def extract_pages(pages: DataFrame, html_col: str = "html", training_pages: int = 600, seed: int = 7) -> DataFrame:
     """Per row: page_id, url, text, n_chars. A null page is empty; repeated rows stay; other columns are ignored."""
     model = pages.sparkSession.sparkContext.broadcast(trained(training_pages, seed))
 

@@ -49,7 +49,18 @@ class _Page:
 
     def boilerplate(self) -> str:
         r = self.rng
-        k = r.integers(9)
+        k = r.integers(11)
+        if k == 9:  # without any name
+            tag = _pick(r, "div", "section", "ul")
+            return f"<{tag}>{self.links(r.integers(3, 9))}</{tag}>"
+        if k == 10:
+            return _pick(
+                r,
+                f'<div style="display:none"><p>{_sentence(r, 4, 20)}</p></div>',
+                f"<p hidden>{_sentence(r, 3, 15)}</p>",
+                f"<noscript><p>{_sentence(r, 4, 12)}</p></noscript>",
+                f"<select><option>{_word(r)}<option>{_word(r)} {_word(r)}</select>",
+            )
         if k == 0:
             return self.named("div div aside section p", "ad ads advert advertisement ad-slot sponsored promo banner", self.blurb())
         if k == 1:
@@ -78,7 +89,8 @@ class _Page:
         blocks = []
         if r.random() < 0.85:
             blocks.append(f"<h1>{self.own(' '.join(_word(r) for _ in range(r.integers(1, 9))).capitalize())}</h1>")
-        for _ in range(r.integers(1, 3) if r.random() < 0.25 else r.integers(1, 11)):
+        n = r.random()
+        for _ in range(r.integers(1, 3) if n < 0.25 else r.integers(1, 11) if n < 0.96 else r.integers(20, 80)):
             k = r.random()
             if k < 0.75:
                 text = " ".join(_sentence(r, 1, 20) for _ in range(r.integers(1, 7)))
@@ -109,6 +121,11 @@ class _Page:
         for _ in range(r.integers(0, 2)):
             blocks.insert(int(r.integers(len(blocks) + 1)), self.boilerplate())
         inner = "".join(blocks)
+        if r.random() < 0.2 and "<p><b>" not in inner:  # paragraphs that aren't called so
+            open_, close = ("<div><span>", "</span></div>") if r.random() < 0.5 else ("<div>", "</div>")
+            inner = inner.replace("<p>", open_).replace("</p>", close)
+        if r.random() < 0.4:
+            return self.unnamed(inner)
         k = r.integers(6)
         if k <= 2:
             return f"<article>{inner}</article>"
@@ -119,6 +136,29 @@ class _Page:
         return f"<main>{inner}</main>"
 
 
+    def unnamed(self, inner: str) -> str:
+        """The article in elements whose tags and names don't tell: bare, deep, in a grid or in a table."""
+        r = self.rng
+
+        def plain() -> str:
+            return _pick(r, "", "", ' class="wrapper"', ' class="container"', ' class="row"', ' class="inner"', f' class="css-{_word(r)}"', f' id="{_word(r)}"')
+
+        k = r.integers(5)
+        if k == 0:
+            body = inner  # right in the body
+        elif k == 1:
+            body = f"<table><tr><td>{self.links(r.integers(2, 8))}</td><td>{inner}</td></tr></table>"
+        elif k == 2:
+            other = f'<div class="{_pick(r, "col-4", "col-3", "col", "right")}">{self.links(r.integers(3, 9)) if r.random() < 0.6 else self.boilerplate()}</div>'
+            parts = [f'<div class="{_pick(r, "col-8", "col-9", "col", "left")}">{inner}</div>', other]
+            body = f"<div{plain()}>" + "".join(parts if r.random() < 0.5 else parts[::-1]) + "</div>"
+        else:
+            body = f"<div{plain()}>{inner}</div>"
+        for _ in range(r.integers(0, 4) if r.random() < 0.8 else r.integers(4, 40)):
+            body = f"<div{plain()}>{body}</div>"
+        return f"<article>{body}</article>" if k > 2 and r.random() < 0.2 else body
+
+
 def labelled_page(rng) -> tuple[str, set[str]]:
     """A page and the texts of its article's blocks."""
     p = _Page(rng)

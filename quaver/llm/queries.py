@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from quaver.llm import decontamination, html_extraction, lines, ngram_join, packing, quality, sharding, substrings, tokenfile, urls
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_html_extraction": html_extraction.query,
     "op2_benchmark_decontamination": decontamination.query,
     "op3_url_filters": urls.query,

@@ -30,13 +30,13 @@ TRACKS_SQL = """tracks AS (SELECT p_partkey AS row, 'fma:' || p_partkey AS id, p
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog of ``lines`` with titles cut to 80 characters, as TEXTS_SQL states it."""
+    """A catalog whose titles are the whole first lines of ``documents``."""
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("row"), F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), F.col("source").alias("artist"), F.lit(None).cast("string").alias("album"), F.col("lang").alias("genre")
+        F.col("doc_id").alias("row"), F.split("text", "\n")[0].alias("title"), F.col("source").alias("artist"), F.lit(None).cast("string").alias("album"), F.col("lang").alias("genre")
     )
 
 
-TEXTS_SQL = """tracks AS (SELECT doc_id AS row, substr(string_split(text, chr(10))[1], 1, 80) AS title, source AS artist, NULL::VARCHAR AS album, lang AS genre FROM documents)"""
+TEXTS_SQL = """tracks AS (SELECT doc_id AS row, string_split(text, chr(10))[1] AS title, source AS artist, NULL::VARCHAR AS album, lang AS genre FROM documents)"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

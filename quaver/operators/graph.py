@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.scratch import scratch_table
+from quaver.scratch import scratch_table, shared_folder
 
 TRACE = (
     "query long, sequence int, type string, level int, id long, distance double, entries array<long>, "
@@ -220,20 +221,61 @@ def structure_problems(edges: DataFrame, nodes: DataFrame, m: int) -> DataFrame:
     return each.unionByName(many).unionByName(twice)
 
 
-def reachable(edges: DataFrame, start: int) -> DataFrame:
-    """(row, hops) from ``start`` over directed level-0 links, by frontier joins; each round is written to the shared folder."""
-    zero = scratch_table(edges.filter("level = 0").select("src", "dst").distinct(), "links")
-    spark = edges.sparkSession
-    seen = scratch_table(spark.createDataFrame([(start, 0)], "row long, hops int"), "seen")
-    frontier, hops = seen, 0
+def first_seen(edges: DataFrame) -> DataFrame:
+    """``undirected`` with the link that names a pair first, by row, level and place: first_src, first_level, first_pos."""
+    pair = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    own = pair.agg(F.max("level").alias("level"), F.min(F.struct("src", "level", "pos")).alias("first"))
+    return own.select("a", "b", "level", F.col("first.src").alias("first_src"), F.col("first.level").alias("first_level"), F.col("first.pos").alias("first_pos"))
+
+
+def reachable(edges: DataFrame, start: int, max_links: int = 2_000_000) -> DataFrame:
+    """(row, hops) from ``start`` over directed level-0 links; ``start`` alone if it has none.
+
+    Up to ``max_links`` links (counted; 32 MB) one task walks them all, as a job for each hop costs more than the
+    walk. Beyond that, each hop is a join with the frontier whose new rows alone are written to the shared folder.
+    Both give the same rows.
+    """
+    zero = scratch_table(edges.filter("level = 0 and src is not null and dst is not null").select("src", "dst").distinct(), "links")
+    if zero.limit(max_links + 1).count() <= max_links:
+        own = zero.sparkSession.createDataFrame([(start, start)], "src long, dst long")
+        return zero.unionByName(own).coalesce(1).mapInArrow(lambda batches: _walk(batches, start), "row long, hops int")
+    return _frontier_joins(zero, start)
+
+
+def _walk(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[pa.RecordBatch]:
+    """Breadth-first search over batches of (src, dst), a level at a time."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    n = sum(len(s) for s, _ in parts)
+    rows, at = np.unique(np.concatenate([s for s, _ in parts] + [d for _, d in parts]), return_inverse=True)
+    order = np.argsort(at[:n], kind="stable")
+    dst = at[n:][order]
+    first = np.searchsorted(at[:n][order], np.arange(len(rows) + 1))
+    hops = np.full(len(rows), -1, np.int32)
+    frontier, step = np.searchsorted(rows, [start]), 0
+    while len(frontier):
+        hops[frontier] = step
+        step += 1
+        counts = first[frontier + 1] - first[frontier]
+        links = np.repeat(first[frontier] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        frontier = np.unique(dst[links])
+        frontier = frontier[hops[frontier] < 0]
+    seen = hops >= 0
+    yield pa.RecordBatch.from_arrays([pa.array(rows[seen]), pa.array(hops[seen])], names=["row", "hops"])
+
+
+def _frontier_joins(zero: DataFrame, start: int) -> DataFrame:
+    spark, schema = zero.sparkSession, "row long, hops int"
+    path = f"{shared_folder(spark)}/catalog/seen-{uuid.uuid4().hex}"
+    spark.createDataFrame([(start, 0)], schema).write.parquet(path)
+    hops = 0
     while True:
-        hops += 1
-        step = frontier.select(F.col("row").alias("src")).join(zero, "src").select(F.col("dst").alias("row")).distinct()
-        step = scratch_table(step.join(seen, "row", "left_anti").withColumn("hops", F.lit(hops)), "step")
-        if not step.limit(1).count():
+        seen = spark.read.schema(schema).parquet(path)
+        frontier = seen.filter(F.col("hops") == hops).select(F.col("row").alias("src"))
+        if not frontier.limit(1).count():
             return seen
-        seen = scratch_table(seen.unionByName(step), "seen")
-        frontier = step
+        hops += 1
+        step = frontier.join(zero, "src").select(F.col("dst").alias("row")).distinct()
+        step.join(seen.select("row"), "row", "left_anti").select("row", F.lit(hops).alias("hops")).write.mode("append").parquet(path)
 
 
 def mulberry32(seed: int) -> Iterator[float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaver import queries_catalog, queries_more, queries_search
+from quaver import queries_catalog, queries_more, queries_search, queries_service
 
-QUERIES = {**queries_search.QUERIES, **queries_catalog.QUERIES, **queries_more.QUERIES}
-SQL = {**queries_search.SQL, **queries_catalog.SQL, **queries_more.SQL}
+QUERIES = {**queries_search.QUERIES, **queries_catalog.QUERIES, **queries_more.QUERIES, **queries_service.QUERIES}
+SQL = {**queries_search.SQL, **queries_catalog.SQL, **queries_more.SQL, **queries_service.SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.text import PATTERNS, is_confined, is_source_url
+from quaver.operators.lookup import credits_pages
 
 # Admitted licenses and their addresses.
 LICENSES = {
@@ -76,13 +77,17 @@ def evidence_budget(evidence: DataFrame, budget: int) -> DataFrame:
 
 
 def serving_problems(catalog: DataFrame, serving: DataFrame, codes: list[str]) -> DataFrame:
-    """(id, problem): unlisted or unknown ids, repeated ids, undefined or missing reasons. ``serving`` has (id, serve, reasons)."""
+    """(id, problem): unlisted or unknown ids, repeated ids, undefined or missing reasons; a null id if nothing is served.
+
+    ``serving`` has (id, serve, reasons).
+    """
     listed = serving.groupBy("id").agg(F.count("*").alias("n"))
     both = catalog.select("id", F.lit(True).alias("own")).join(listed, "id", "full_outer")
     ids = both.select("id", F.when(F.col("n").isNull(), "unlisted").when(F.col("own").isNull(), "unknown id").when(F.col("n") > 1, "repeated").alias("problem"))
     known = F.array(*(F.lit(c) for c in codes))
     reasons = serving.select("id", F.when(F.coalesce(F.size("reasons"), F.lit(0)) < 1, "no reason").when(F.size(F.array_except("reasons", known)) > 0, "undefined reason").alias("problem"))
-    return ids.unionByName(reasons).filter("problem is not null")
+    none = serving.agg(F.count_if("serve").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("id"), F.lit("nothing served").alias("problem"))
+    return ids.unionByName(reasons).filter("problem is not null").unionByName(none)
 
 
 def derive_serving(catalog: DataFrame, buckets: DataFrame, notices: DataFrame, reviews: DataFrame, keep: str = "KEEP") -> DataFrame:
@@ -107,6 +112,16 @@ def serving_counts(serving: DataFrame, catalog: DataFrame) -> DataFrame:
     return by_license.unionByName(by_reason)
 
 
+def keep_overlaps(catalog: DataFrame, buckets: DataFrame, notices: DataFrame, reviews: DataFrame, keep: str = "KEEP") -> DataFrame:
+    """One row: the kept bucket's size and how many of it reviews, notice kinds and both hold."""
+    tagged = notices.filter(F.size("kinds") > 0).select("id").distinct().withColumn("tagged", F.lit(True))
+    reviewed = reviews.select("id").distinct().withColumn("reviewed", F.lit(True))
+    kept = catalog.select("id").join(buckets.filter(F.col("bucket") == keep), "id").join(tagged, "id", "left").join(reviewed, "id", "left")
+    return kept.agg(
+        F.count("*").alias("keep_set"), F.count_if("reviewed").alias("held_by_review"), F.count_if("tagged").alias("held_by_tags"), F.count_if(F.col("reviewed") & F.col("tagged")).alias("held_by_both")
+    )
+
+
 def quarantine(catalog: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, alarms): removed or held ids leave; a quarantined audio hash under another id is an alarm."""
     clear = catalog.join(entries.select("id"), "id", "left_anti")
@@ -136,6 +151,36 @@ def sampled_rows(rows: DataFrame, step: int) -> DataFrame:
     return rows.crossJoin(ends).filter((F.col("row") == F.col("lo")) | (F.col("row") == F.col("hi")) | (F.col("row") % step == 0)).select("row")
 
 
+def sampled_index(rows: DataFrame, step: int) -> DataFrame:
+    """The first and last row and every ``step``-th by its place in row order, whatever the rows' numbers."""
+    last = F.broadcast(rows.agg(F.max("row").alias("last")))  # one row
+    return credits_pages(rows, size=step).crossJoin(last).filter("slot = 0 or row = last").select("row")
+
+
+def plan_problems(plan: DataFrame, catalog: DataFrame, rights: DataFrame, evidence: DataFrame, most: int = 20_000_000) -> DataFrame:
+    """(id, problem): the first rule by which a delivery plan's entry disagrees with catalog, rights and evidence.
+
+    ``plan`` (row, id, bytes, sha256, compressed_bytes, range_bytes, crc32, path), ``catalog`` (row, id, bytes, sha256),
+    ``rights`` (id, decision, path), ``evidence`` (path, bytes, crc32). A side that is missing breaks its own rule;
+    a row of the catalog without an entry, or the reverse, breaks the order.
+    """
+    p = plan.select("row", F.struct("id", "bytes", "sha256", "compressed_bytes", "range_bytes", "crc32", "path").alias("p"))
+    c = catalog.select("row", F.struct("id", "bytes", "sha256").alias("c"))
+    r = rights.select(F.col("id").alias("rid"), F.struct("decision", "path").alias("r"))
+    e = evidence.select(F.col("path").alias("epath"), F.struct("bytes", "crc32").alias("e"))
+    all_ = p.join(c, "row", "full_outer").join(r, F.col("rid") == F.col("c.id"), "left").join(e, F.col("epath") == F.col("p.path"), "left")
+    size = lambda name: F.coalesce(F.col(f"p.{name}").between(1, most), F.lit(False))
+    rules = [
+        (F.col("p.id").eqNullSafe(F.col("c.id")) & F.col("p.id").isNotNull(), "order"),
+        (F.col("r.decision").eqNullSafe(F.lit("approved")), "not approved"),
+        (F.col("p.bytes").eqNullSafe(F.col("c.bytes")) & F.col("p.sha256").eqNullSafe(F.col("c.sha256")) & F.col("p.path").eqNullSafe(F.col("r.path")), "recording"),
+        (size("bytes") & size("compressed_bytes") & F.col("p.range_bytes").eqNullSafe(F.col("p.compressed_bytes") + 512), "member bounds"),
+        (F.col("e.bytes").eqNullSafe(F.col("p.bytes")) & F.col("e.crc32").eqNullSafe(F.col("p.crc32")), "evidence"),
+    ]
+    problem = F.coalesce(*(F.when(~ok, name) for ok, name in rules))
+    return all_.select(F.coalesce("p.id", "c.id").alias("id"), problem.alias("problem")).filter("problem is not null")
+
+
 @dataclass(frozen=True)
 class Limits:
     """Limits of a release; values over the ceilings, booleans and non-positive numbers are refused."""

@@ -116,3 +116,16 @@ def result_page(total: int, requested: int, size: int = 12) -> tuple[int, int, i
     pages = -(-total // size)
     page = max(0, min(requested, max(0, pages - 1)))
     return page, pages, page * size, min(page * size + size, total)
+
+
+def credit_redirects(tracks: DataFrame, served: DataFrame | None = None, size: int = 50) -> DataFrame:
+    """(id, page, anchor): where the credit of a served id stands; ids that aren't served have no row."""
+    return tracks.select("row", "id").join(credits_pages(tracks, served, size), "row").select("id", "page", F.replace("id", F.lit(":"), F.lit("-")).alias("anchor"))
+
+
+def index_problems(folded: DataFrame, index: DataFrame) -> DataFrame:
+    """(gram, row, problem) where a stored index isn't that of the folded texts: missing, extra or repeated."""
+    want = trigrams(folded).withColumn("want", F.lit(True))
+    have = index.groupBy("gram", "row").agg(F.count("*").alias("n"))
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("n") > 1, "repeated")
+    return want.join(have, ["gram", "row"], "full_outer").select("gram", "row", problem.alias("problem")).filter("problem is not null")

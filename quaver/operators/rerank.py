@@ -60,3 +60,19 @@ def contract_problems(candidates: DataFrame) -> DataFrame:
 
 def nearest_rank(values: DataFrame, column: str, q: float) -> DataFrame:
     return values.agg(F.expr(f"percentile_disc({q}) within group (order by {column})").alias("quantile"))
+
+
+def reply_problems(replies: DataFrame, k: int) -> DataFrame:
+    """(query, rank, id, problem) of replies (query, rank, id, similarity) that break the contract, by the first rule.
+
+    At most k to a query, unique ids, finite similarities within +-1.00001 that don't rise with the rank.
+    """
+    by_rank = Window.partitionBy("query").orderBy("rank")
+    checked = replies.withColumn("at", F.row_number().over(by_rank)).withColumn("before", F.lag("similarity").over(by_rank)).withColumn("same", F.count("*").over(Window.partitionBy("query", "id")))
+    problem = (
+        F.when(F.col("at") > k, "over k")
+        .when(F.col("id").isNull() | (F.col("same") > 1), "repeated")
+        .when(F.col("similarity").isNull() | F.isnan("similarity") | (F.abs("similarity") > 1.00001), "out of range")
+        .when(F.col("similarity") > F.col("before"), "rising")
+    )
+    return checked.select("query", "rank", "id", problem.alias("problem")).filter("problem is not null")

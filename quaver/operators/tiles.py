@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaver.scratch import scratch_table
@@ -214,3 +216,35 @@ def centred(layout: DataFrame) -> DataFrame:
     return moved.crossJoin(F.broadcast(top)).select("row", (F.col("x") / F.col("top")).alias("x"), (F.col("y") / F.col("top")).alias("y"))
 
 
+
+
+def tile_level(pixels_per_unit: Column, side: float, max_level: int, tile_pixels: int) -> Column:
+    """The level whose tiles are at most ``tile_pixels`` wide on the screen, from 0 to ``max_level``."""
+    tiles = pixels_per_unit * side / tile_pixels
+    # how many powers of two are below: a ceiling of the logarithm without its rounding
+    return sum(((tiles > 2**z).cast("int") for z in range(max_level)), F.lit(0))
+
+
+def region_alpha(detail: Column, low: float, high: float) -> Column:
+    """How visible a label is at a zoom: smooth ramps of 0.2 octaves on both sides of its range; no lower end at 0."""
+    at = F.log2(F.greatest(F.lit(1e-9), detail))
+
+    def ramp(edge: float) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - math.log2(edge) + 0.2) / 0.4))
+        return t * t * (3 - 2 * t)
+
+    fall = 1 - ramp(high)
+    return F.least(ramp(low), fall) if low > 0 else fall
+
+
+def tiles_in_view(spark: SparkSession, domain: tuple[float, float, float], z: int, view: tuple[float, float, float, float]) -> DataFrame:
+    """(x, y, distance) of the tiles of level z that meet a rectangle (x0, y0, x1, y1), nearest to its centre first."""
+    (ox, oy, side), (x0, y0, x1, y1) = domain, view
+    n = 2**z
+    s = side / n
+    cell = lambda v, o: max(0, min(n - 1, math.floor((v - o) / s)))
+    outside = x1 < ox or y1 < oy or x0 > ox + side or y0 > oy + side
+    xs = spark.range(cell(x0, ox), cell(x0, ox) if outside else cell(x1, ox) + 1)
+    ys = F.sequence(F.lit(cell(y0, oy)).cast("long"), F.lit(cell(y1, oy)).cast("long"))
+    away = F.hypot(ox + (F.col("x") + 0.5) * s - (x0 + x1) / 2, oy + (F.col("y") + 0.5) * s - (y0 + y1) / 2)
+    return xs.select(F.col("id").alias("x"), F.explode(ys).alias("y")).select("x", "y", away.alias("distance")).orderBy("distance", "x", "y")

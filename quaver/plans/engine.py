@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import parse_qsl
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +69,29 @@ class Engine:
         return graph.stored_links(self.edges, row, self._served)
 
     def credits(self, page: int) -> DataFrame:
-        """The articles of a page of 50 served rows; a page beyond the last is empty."""
-        at = lookup.credits_pages(self.tracks, self._served).filter(F.col("page") == page)
+        """The articles of a page of 50 served rows, the page clamped to what there is."""
+        last = -(-self.serving().count() // 50)
+        at = lookup.credits_pages(self.tracks, self._served).filter(F.col("page") == min(max(1, page), max(1, last)))
         own = self.tracks.join(at, "row")
         return own.orderBy("slot").select("row", credit_article().alias("html"))
 
+    def credit_redirect(self, ident: str) -> DataFrame:
+        """(id, page, anchor) of an id's credit; no row if it isn't served."""
+        return lookup.credit_redirects(self.tracks, self._served).filter(F.col("id") == ident)
+
+    def replay(self, examples: DataFrame, k: int = 8, ef: int = 32) -> DataFrame:
+        """(query, verified, recall) of recorded examples (query, q, vector_sha256): the traced search against the exact one.
+
+        ``verified`` says whether the stored vector's bytes still have their digest.
+        """
+        self._bounds(k, ef)
+        from quaver.sources.release import packed
+
+        same = examples.select("query", F.sha2(F.unbase64(packed(F.col("q"))), 256).eqNullSafe(F.col("vector_sha256")).alias("verified"))
+        asked = examples.select("query", "q")
+        found = graph.results_of(graph.traced_search(self.vectors, self.edges, asked, self.entry, k, ef)).select("query", "row")
+        return same.join(search.recall(found, search.batch_top_k(self.vectors, asked, k).select("query", "row"), k), "query")
+
     def serving(self) -> DataFrame:
         return self.tracks.select("row", "id") if self._served is None else self.tracks.join(self._served.select("row"), "row", "left_semi").select("row", "id")
 
@@ -106,3 +127,23 @@ def scope_text(channel: str, catalog: int, candidates: int, start: int, end: int
     if channel == "browse":
         return f"{shown} recordings · {candidates:,} recordings in the collection. Refinements use recorded metadata."
     return f"{shown} name matches · {candidates:,} title / artist matches across {catalog:,} recordings. Refinements use recorded metadata."
+
+
+def parameters(query_string: str, allowed: set[str]) -> dict[str, str]:
+    """The parameters of a request: ASCII, at most 16, known, none twice, values of up to 2,048 bytes."""
+    if not query_string.isascii():
+        raise ValueError("Invalid query string")
+    pairs = parse_qsl(query_string, keep_blank_values=True, max_num_fields=16)
+    names = [name for name, _ in pairs]
+    if len(set(names)) < len(names) or set(names) - allowed or any(len(value.encode()) > 2048 for _, value in pairs):
+        raise ValueError("Invalid parameter")
+    return dict(pairs)
+
+
+def number(values: dict[str, str], name: str, default: int, low: int, high: int) -> int:
+    """A parameter of one to eight digits within bounds, or its default where it is absent."""
+    if name not in values:
+        return default
+    if not re.fullmatch("[0-9]{1,8}", values[name]) or not low <= int(values[name]) <= high:
+        raise ValueError(f"Invalid {name}")
+    return int(values[name])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import json
+import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from quaver.functions.text import audio_route
+from quaver.operators.lookup import trigrams, with_folds
 
 
 def _fs(spark: SparkSession, path: str):
@@ -147,3 +151,90 @@ def decode_matrix(files: DataFrame, dimensions: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"row": pa.array(range(a, a + len(part)), pa.int64()), "embedding": pa.array(part.tolist(), pa.list_(pa.float32()))})
 
     return files.select("content").mapInArrow(run, "row long, embedding array<float>")
+
+
+def write_catalog(tracks: DataFrame, path: str, release_id: str) -> str:
+    """A release of ``tracks`` with folded names, stored once, and ``grams``, their trigram index; returns its digest."""
+    folded = with_folds(tracks)
+    return write_release({"tracks": folded, "grams": trigrams(folded)}, path, release_id)
+
+
+#: Of a ZIP member's local header: its fixed part, its signature, the method bzip2, and the flags it may have.
+_LOCAL, _SIGNATURE, _BZIP2, _FLAGS = struct.Struct("<4s5H3I2H"), b"PK\x03\x04", 12, 0x0808
+
+
+def _member(data: bytes | None, want: dict) -> tuple[bytes | None, str | None]:
+    """(content, None) of one member's bytes, or (None, the first rule that they break)."""
+    if data is None or len(data) != want["range_bytes"] or len(data) < _LOCAL.size or not data.startswith(_SIGNATURE):
+        return None, "range"
+    _, _, flags, method, _, _, crc, packed_size, size, name_size, extra_size = _LOCAL.unpack_from(data)
+    body = _LOCAL.size + name_size + extra_size
+    stop = body + want["compressed_bytes"]
+    name = data[_LOCAL.size : _LOCAL.size + name_size]
+    if flags & ~_FLAGS or method != _BZIP2 or body > 512 or stop > len(data) or name != want["filename"].encode():
+        return None, "header"
+    if not flags & 8 and (crc, packed_size, size) != (want["crc32"], want["compressed_bytes"], want["bytes"]):
+        return None, "header sizes"
+    reader = bz2.BZ2Decompressor()
+    try:
+        content = reader.decompress(data[body:stop], max_length=want["bytes"] + 1)  # never more than one byte too many
+    except (OSError, ValueError):
+        return None, "compression"
+    if not reader.eof or reader.unused_data or len(content) != want["bytes"] or zlib.crc32(content) != want["crc32"] or hashlib.sha256(content).hexdigest() != want["sha256"]:
+        return None, "content"
+    return content, None
+
+
+def decode_members(members: DataFrame) -> DataFrame:
+    """(id, content, problem) of ZIP members with bzip2 content, each checked against its entry.
+
+    ``members`` (id, data, filename, bytes, compressed_bytes, range_bytes, crc32, sha256). A member that breaks a rule
+    has null content; a null in an entry breaks its rule. One member at a time is held decoded.
+    """
+    columns = ["id", "data", "filename", "bytes", "compressed_bytes", "range_bytes", "crc32", "sha256"]
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                want = {c: b.column(c)[i].as_py() for c in columns}
+                lacking = any(want[c] is None for c in columns[2:])
+                content, problem = (None, "entry") if lacking else _member(want["data"], want)
+                yield pa.RecordBatch.from_pydict({"id": pa.array([want["id"]], pa.string()), "content": pa.array([content], pa.binary()), "problem": pa.array([problem], pa.string())})
+
+    typed = members.select(F.col("id").cast("string"), "data", "filename", *(F.col(c).cast("long") for c in columns[3:7]), "sha256")
+    return typed.mapInArrow(run, "id string, content binary, problem string")
+
+
+def hydrate(members: DataFrame, path: str, budget: int) -> DataFrame:
+    """All members decoded below ``path``, or none: one problem, or more range bytes than ``budget``, and nothing is published."""
+    spark = members.sparkSession
+    asked = members.agg(F.coalesce(F.sum("range_bytes"), F.lit(0)).alias("n")).first()["n"]
+    if asked > budget:
+        raise ValueError(f"{asked} bytes are over the budget")
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        raise ValueError("A release is immutable")
+    staging = f"{path}.staging"
+    decode_members(members).write.mode("overwrite").parquet(staging)
+    failed = spark.read.parquet(staging).filter("problem is not null")
+    bad = failed.orderBy("id").select("id", "problem").first()
+    if bad:
+        fs.delete(_fs(spark, staging)[1], True)
+        raise ValueError(f"Member {bad['id']}: {bad['problem']}")
+    if not fs.rename(_fs(spark, staging)[1], target):
+        raise ValueError("The members could not be published")
+    return spark.read.parquet(path).select("id", "content")
+
+
+# The fields of a source record that count as notices.
+NOTICE_FIELDS = ("track_copyright_c", "track_copyright_p", "track_composer", "track_lyricist", "track_publisher", "track_information")
+
+
+def merged_notices(supplied: Column, record: Column, album: Column) -> Column:
+    """The map ``supplied`` with the record's notice fields (a map) and the album's information, where they say anything."""
+    own = F.map_filter(record, lambda k, v: k.isin(*NOTICE_FIELDS) & v.isNotNull() & (v != ""))
+    more = F.when(album.isNotNull() & (album != ""), F.create_map(F.lit("albumInformation"), album))
+    none = F.create_map().cast("map<string,string>")
+    added = F.map_concat(F.coalesce(own, none), F.coalesce(more, none))
+    kept = F.map_filter(F.coalesce(supplied, none), lambda k, v: ~F.map_contains_key(added, k))
+    return F.map_concat(kept, added)

@@ -157,7 +157,7 @@ def _write(base: str):
                 if sink is None:
                     store_, root = _open(name)
                     store_.create_dir(root.rpartition("/")[0], recursive=True)
-                    sink = store_.open_output_stream(root)
+                    sink = store_.open_output_stream(root, compression=None)  # the name must not compress it again
                 sink.write(gzip.compress(headers + (payload if own and payload else b"") + END, mtime=0))
                 n += 1
         if sink is not None:
@@ -184,7 +184,9 @@ def _records(stream: io.BufferedReader) -> Iterator[tuple[bytes, bytes]]:
         while lines[-1] not in (b"\r\n", b""):
             lines.append(stream.readline())
         head = b"".join(lines)
-        length = next(int(x.partition(b":")[2]) for x in lines if x.lower().startswith(b"content-length:"))
+        length = next((int(x.partition(b":")[2]) for x in lines if x.lower().startswith(b"content-length:")), None)
+        if length is None:
+            raise ValueError("A record without a length")
         block, end = stream.read(length), stream.read(4)
         if len(block) < length or end != END:
             raise ValueError(f"A record of {length} bytes is cut short")

@@ -1,7 +1,7 @@
 """A content-addressed archive of web records.
 
-Two tables make an archive. ``payloads`` holds the bytes of every distinct payload once under its SHA-256;
-merging copies checks that they agree in length and in a second hash. ``records`` holds the exact header bytes of each record
+Two tables make an archive. ``payloads`` holds the bytes of every distinct payload once, as a Zstandard frame, under
+its SHA-256; merging copies checks that they agree in length and in a second hash. ``records`` holds the exact header bytes of each record
 (WARC headers, blank line, HTTP headers, blank line), its digest, and whether the payload belongs to the record's own
 block. A join on the digest gives every record back, and the payload's digest is computed anew on reading.
 
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quaver.llm.common import Scratch, small
 
@@ -30,7 +31,7 @@ END = b"\r\n\r\n"
 
 @dataclass
 class Archive:
-    """records (headers, digest, own, and what tells them apart) and payloads (digest, payload)."""
+    """records (headers, digest, own, and what tells them apart) and payloads (digest, frame)."""
 
     records: DataFrame
     payloads: DataFrame
@@ -39,11 +40,28 @@ class Archive:
 # ---------------------------------------------------------------- storing and restoring
 
 
+@F.arrow_udf(BinaryType())
+def compressed(v: pa.Array) -> pa.Array:
+    """Each value as a Zstandard frame."""
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if x is None else coder.compress(x) for x in v.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def decompressed(v: pa.Array) -> pa.Array:
+    import zstandard
+
+    coder = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else coder.decompress(x) for x in v.to_pylist()], pa.binary())
+
+
 def store_payloads(payloads: DataFrame) -> DataFrame:
-    """(digest, payload): each distinct value of the binary column ``payload`` once; unequal bytes under one digest are an error."""
-    facts = payloads.select(F.sha2("payload", 256).alias("digest"), "payload", F.length("payload").alias("n"), F.xxhash64("payload").alias("h"))
-    once = facts.groupBy("digest").agg(F.first("payload").alias("payload"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "h") for f in (F.min, F.max)))
-    return once.select("digest", F.when(F.expr("min_n = max_n and min_h = max_h"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("Two payloads under digest "), "digest"))).alias("payload"))
+    """(digest, frame): each distinct value of the binary column ``payload`` once; unequal bytes under one digest are an error."""
+    facts = payloads.select(F.sha2("payload", 256).alias("digest"), compressed("payload").alias("frame"), F.length("payload").alias("n"), F.xxhash64("payload").alias("h"))
+    once = facts.groupBy("digest").agg(F.first("frame").alias("frame"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "h") for f in (F.min, F.max)))
+    return once.select("digest", F.when(F.expr("min_n = max_n and min_h = max_h"), F.col("frame")).otherwise(F.raise_error(F.concat(F.lit("Two payloads under digest "), "digest"))).alias("frame"))
 
 
 def store(records: DataFrame, scratch: Scratch) -> Archive:
@@ -67,8 +85,9 @@ def restore(archive: Archive) -> DataFrame:
     plain and a hot digest is split. A payload that doesn't have its digest any more is an error; one
     that the archive lacks is null.
     """
-    good = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("Damaged payload "), "digest")))
-    return archive.records.join(archive.payloads.select("digest", good.alias("payload")), "digest", "left")
+    met = archive.records.join(archive.payloads, "digest", "left").withColumn("payload", decompressed("frame")).drop("frame")
+    good = F.when(F.col("payload").isNull() | (F.sha2("payload", 256) == F.col("digest")), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("Damaged payload "), "digest")))
+    return met.withColumn("payload", good)
 
 
 # ---------------------------------------------------------------- pages

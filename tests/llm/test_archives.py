@@ -181,7 +181,8 @@ def test_foreign_file(spark, tmp_path):
 def test_damaged_payload(spark, archive):
     from pyspark.sql import functions as F
 
-    bad = warc.Archive(archive.records, archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))))
+    other = warc.compressed(F.concat(warc.decompressed("frame"), F.lit(b"!")))
+    bad = warc.Archive(archive.records, archive.payloads.withColumn("frame", other))
     with pytest.raises(Exception, match="Damaged payload"):
         warc.page_records(bad).collect()
 

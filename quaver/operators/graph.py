@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,31 +96,126 @@ class LocalGraph:
         return found, events
 
 
-def traced_search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry: int, k: int, ef: int, limit: int = 2048, max_rows: int = 200_000) -> DataFrame:
-    """Trace events of a greedy layered search for each query (query, q).
+#: Queries that one task searches in one shard.
+ASKED = 64
 
-    The expansion order depends on a heap, so a query is one task's work; the graph is broadcast, which its
-    checked size bounds. Larger graphs are searched as shards, each with a graph of its own (``shard_search``).
-    """
+_loaded: dict[tuple[str, int], LocalGraph] = {}
+
+
+def _stored_graph(path: str, shard: int) -> LocalGraph:
+    """A shard's graph, read from its files by the task that needs it; a worker keeps the last one."""
+    if (path, shard) not in _loaded:
+        _loaded.clear()
+        store, root = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        vectors, links, head = {}, {}, {}
+        for info in store.get_file_info(pafs.FileSelector(f"{root}/shard={shard}")):
+            if info.base_name.endswith(".parquet"):
+                with store.open_input_file(info.path) as f:
+                    part = pq.read_table(f)
+                values = part.column("embedding").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+                for row, v, own in zip(part.column("row").to_pylist(), values, part.column("links").to_pylist()):
+                    vectors[row] = v
+                    for level, to in enumerate(own):
+                        links.setdefault(level, {})[row] = to
+                head = {"entry": part.column("entry")[0].as_py()}
+        _loaded[path, shard] = LocalGraph(vectors, links, head["entry"])
+    return _loaded[path, shard]
+
+
+def write_graph(vectors: DataFrame, edges: DataFrame, entry: int, path: str, max_rows: int = 200_000) -> str:
+    """Store one given graph as shard 0: (row, embedding, links by level, entry). ``max_rows`` is what a worker's memory holds."""
     n = vectors.limit(max_rows + 1).count()
     if n > max_rows:
-        raise ValueError("The graph is over the broadcast bound; search shards")
-    vec = {r["row"]: np.array(r["embedding"], np.float32) for r in vectors.select("row", "embedding").toLocalIterator()}
-    links: dict[int, dict[int, list[int]]] = {}
-    for r in edges.orderBy("src", "level", "pos").toLocalIterator():
-        links.setdefault(r["level"], {}).setdefault(r["src"], []).append(r["dst"])
-    shared = vectors.sparkSession.sparkContext.broadcast(LocalGraph(vec, links, entry))
+        raise ValueError("The graph is over a worker's bound; search shards")
+    level = edges.groupBy("src", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("to"))
+    top = level.groupBy(F.col("src").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("level", "to"))).alias("by"), F.max("level").alias("top"))
+    none = F.array().cast("array<bigint>")
+    links = F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda x: F.coalesce(F.try_element_at("by", x), none))
+    stored = vectors.select("row", "embedding").join(top, "row", "left").select("row", "embedding", links.alias("links"), F.lit(entry).cast("long").alias("entry"), F.lit(0).alias("shard"))
+    stored.write.partitionBy("shard").parquet(path)
+    return path
+
+
+def write_shards(vectors: DataFrame, path: str, shards: int, m: int = 12, ef: int = 100, seed: int = 43) -> str:
+    """Build a graph for each shard of rows, in parallel, and store them below ``path`` as ``write_graph`` does."""
+
+    def run(key, part):
+        part = part.sort_by("row")
+        rows, values = part.column("row").to_pylist(), part.column("embedding").to_pylist()
+        g = build_graph(rows, values, m, ef, seed)
+        links = [[g.links[x][row] for x in range(g.top + 1) if row in g.links[x]] for row in rows]
+        return pa.table(
+            {
+                "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
+                "row": pa.array(rows, pa.int64()),
+                "embedding": pa.array(values, pa.list_(pa.float32())),
+                "links": pa.array(links, pa.list_(pa.list_(pa.int64()))),
+                "entry": pa.array([g.entry] * len(rows), pa.int64()),
+            }
+        )
+
+    dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "embedding")
+    built = dealt.groupBy("shard").applyInArrow(run, "shard int, row long, embedding array<float>, links array<array<long>>, entry long")
+    built.write.partitionBy("shard").parquet(path)
+    return path
+
+
+def stored_edges(spark, path: str) -> DataFrame:
+    """(shard, src, level, pos, dst, entry) of stored graphs."""
+    level = spark.read.parquet(path).select("shard", F.col("row").alias("src"), "entry", F.posexplode("links").alias("level", "to"))
+    return level.select("shard", "src", "level", F.posexplode("to").alias("pos", "dst"), "entry")
+
+
+def search_stored(queries: DataFrame, path: str, k: int, ef: int, limit: int = 2048) -> DataFrame:
+    """Trace events, with their shard, of a greedy layered search of every stored graph for each query (query, q).
+
+    The expansion order depends on a heap, so a query in a shard is one task's work. A task gets up to 64 queries for one
+    shard and reads that shard's graph itself; no graph passes the driver. In a shard of fewer than ``ef`` rows the
+    search is as wide as the shard. Without a ``limit`` there is an event with the results alone.
+    """
+    spark = queries.sparkSession
+    shards = sorted(r.shard for r in spark.read.parquet(path).select("shard").distinct().collect())  # one row for each shard
+    n = spark.read.parquet(path).count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(_trace_fields())
+        schema = pa.schema([("shard", pa.int32()), *_trace_fields()])
         for batch in batches:
-            rows = []
-            for query, q in zip(batch.column("query").to_pylist(), batch.column("q").to_pylist()):
-                _, events = shared.value.search(q, k, ef, limit)
-                rows += [{f: e.get(f) for f in schema.names} | {"query": query} for e in events]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for shard, asked in zip(batch.column("shard").to_pylist(), batch.column("asked").to_pylist()):
+                g, rows = _stored_graph(path, shard), []
+                own = min(ef, len(g.vectors))
+                for a in asked:
+                    found, events = g.search(a["q"], min(k, own), own, limit)
+                    if not limit:
+                        events = [{"sequence": 0, "type": "results", "level": 0, "items": [{"id": r, "distance": d} for d, r in found]}]
+                    rows += [{f: e.get(f) for f in schema.names} | {"query": a["query"], "shard": shard} for e in events]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    if not shards:
+        return spark.createDataFrame([], f"shard int, {TRACE}")
+    if len(shards) == 1 and (not 1 <= k <= ef or ef > n or not 0 <= limit <= 10_000):
+        raise ValueError("Invalid search budget")
+    blocks = queries.select("query", "q", F.floor(F.monotonically_increasing_id() / ASKED).alias("block")).groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
+    work = blocks.select("block", "asked", F.explode(F.array(*(F.lit(s) for s in shards))).alias("shard")) if len(shards) <= 1000 else blocks.crossJoin(spark.createDataFrame([(s,) for s in shards], "shard int"))
+    return work.repartition("shard", "block").sortWithinPartitions("shard").select("shard", "asked").mapInArrow(run, f"shard int, {TRACE}")
+
+
+def merged_results(trace: DataFrame, k: int) -> DataFrame:
+    """(query, rank, row, distance): the k best of the results that traces of several shards give."""
+    from pyspark.sql import Window
+
+    found = trace.filter("type = 'results'").select("query", F.inline("items")).select("query", F.col("id").alias("row"), "distance")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "row"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "row", "distance")
 
-    return queries.select("query", "q").mapInArrow(run, TRACE)
+
+def traced_search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry: int, k: int, ef: int, limit: int = 2048, max_rows: int = 200_000) -> DataFrame:
+    """Trace events of a greedy layered search of one given graph for each query (query, q).
+
+    The graph is stored in the shared folder and read by the tasks; ``max_rows`` is a bound of a worker's memory. Larger catalogs are
+    stored as shards with a graph each (``write_shards``) and give a trace for each shard (``search_stored``).
+    """
+    path = write_graph(vectors, edges, entry, f"{shared_folder(vectors.sparkSession)}/catalog/graph-{uuid.uuid4().hex}", max_rows)
+    return search_stored(queries, path, k, ef, limit).drop("shard")
 
 
 def _trace_fields():
@@ -228,54 +325,61 @@ def first_seen(edges: DataFrame) -> DataFrame:
     return own.select("a", "b", "level", F.col("first.src").alias("first_src"), F.col("first.level").alias("first_level"), F.col("first.pos").alias("first_pos"))
 
 
-def reachable(edges: DataFrame, start: int, max_links: int = 2_000_000) -> DataFrame:
+def reachable(edges: DataFrame, start: int, block: int = 512) -> DataFrame:
     """(row, hops) from ``start`` over directed level-0 links; ``start`` alone if it has none.
 
-    Up to ``max_links`` links (counted; 32 MB) one task walks them all, as a job for each hop costs more than the
-    walk. Beyond that, each hop is a join with the frontier whose new rows alone are written to the shared folder.
-    Both give the same rows.
+    Rows are dealt to blocks of ``block`` neighbouring rows. In each round the tasks of the blocks that got shorter ways walk
+    all links inside of them to the end and send what leaves them to other blocks, least hops first combined. Rounds
+    grow with the number of times that a shortest way changes its block, not with its hops. A block's links are bounded by the degree.
     """
-    zero = scratch_table(edges.filter("level = 0 and src is not null and dst is not null").select("src", "dst").distinct(), "links")
-    if zero.limit(max_links + 1).count() <= max_links:
-        own = zero.sparkSession.createDataFrame([(start, start)], "src long, dst long")
-        return zero.unionByName(own).coalesce(1).mapInArrow(lambda batches: _walk(batches, start), "row long, hops int")
-    return _frontier_joins(zero, start)
-
-
-def _walk(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[pa.RecordBatch]:
-    """Breadth-first search over batches of (src, dst), a level at a time."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    n = sum(len(s) for s, _ in parts)
-    rows, at = np.unique(np.concatenate([s for s, _ in parts] + [d for _, d in parts]), return_inverse=True)
-    order = np.argsort(at[:n], kind="stable")
-    dst = at[n:][order]
-    first = np.searchsorted(at[:n][order], np.arange(len(rows) + 1))
-    hops = np.full(len(rows), -1, np.int32)
-    frontier, step = np.searchsorted(rows, [start]), 0
-    while len(frontier):
-        hops[frontier] = step
-        step += 1
-        counts = first[frontier + 1] - first[frontier]
-        links = np.repeat(first[frontier] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        frontier = np.unique(dst[links])
-        frontier = frontier[hops[frontier] < 0]
-    seen = hops >= 0
-    yield pa.RecordBatch.from_arrays([pa.array(rows[seen]), pa.array(hops[seen])], names=["row", "hops"])
-
-
-def _frontier_joins(zero: DataFrame, start: int) -> DataFrame:
-    spark, schema = zero.sparkSession, "row long, hops int"
-    path = f"{shared_folder(spark)}/catalog/seen-{uuid.uuid4().hex}"
-    spark.createDataFrame([(start, 0)], schema).write.parquet(path)
-    hops = 0
+    spark, name = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/catalog/seen-{uuid.uuid4().hex}"
+    at = lambda c: F.floor(F.col(c) / block).alias("block")
+    links = scratch_table(edges.filter("level = 0 and src is not null and dst is not null").select(at("src"), "src", "dst").distinct(), "links")
+    seen = lambda: spark.read.schema("row long, hops int").parquet(name).groupBy("row").agg(F.min("hops").alias("hops"))
+    asked = spark.createDataFrame([(start, 0)], "row long, hops int")
+    asked.limit(0).write.parquet(name)
+    k = 0
     while True:
-        seen = spark.read.schema(schema).parquet(path)
-        frontier = seen.filter(F.col("hops") == hops).select(F.col("row").alias("src"))
-        if not frontier.limit(1).count():
-            return seen
-        hops += 1
-        step = frontier.join(zero, "src").select(F.col("dst").alias("row")).distinct()
-        step.join(seen.select("row"), "row", "left_anti").select("row", F.lit(hops).alias("hops")).write.mode("append").parquet(path)
+        live = asked.select(at("row")).distinct()
+        own = links.join(live, "block", "left_semi")
+        known = seen().select(at("row"), "row", "hops").join(live, "block", "left_semi").withColumn("sent", F.lit(False))
+        state = known.unionByName(asked.select(at("row"), "row", "hops").withColumn("sent", F.lit(True)))
+        step = own.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_block_walk, "row long, hops int, inside boolean")
+        step = scratch_table(step, f"walk-{k}")
+        k += 1
+        step.filter("inside").select("row", "hops").write.mode("append").parquet(name)
+        out = step.filter("not inside").groupBy("row").agg(F.min("hops").alias("hops"))
+        asked = scratch_table(out.join(seen().withColumnRenamed("hops", "had"), "row", "left").filter("had is null or hops < had").select("row", "hops"), f"asked-{k}")
+        if not asked.limit(1).count():
+            return seen()
+
+
+def _block_walk(links: pa.Table, state: pa.Table) -> pa.Table:
+    """Shorter ways inside a block, and the ways that leave it: (row, hops, inside)."""
+    hops, sent = {}, {}
+    for row, h, new in zip(*(state.column(c).to_pylist() for c in ("row", "hops", "sent"))):
+        into = sent if new else hops
+        into[row] = min(h, into.get(row, h))
+    to: dict[int, list[int]] = {}
+    for src, dst in zip(links.column("src").to_pylist(), links.column("dst").to_pylist()):
+        to.setdefault(src, []).append(dst)
+    heap = [(h, row) for row, h in sent.items() if h < hops.get(row, h + 1)]
+    heapq.heapify(heap)
+    inside = set(to) | set(hops) | set(sent)
+    shorter, out = {}, {}
+    while heap:
+        h, row = heapq.heappop(heap)
+        if h >= hops.get(row, h + 1):
+            continue
+        hops[row] = shorter[row] = h
+        for n in to.get(row, ()):
+            if n in inside:
+                if h + 1 < hops.get(n, h + 2):
+                    heapq.heappush(heap, (h + 1, n))
+            elif h + 1 < out.get(n, h + 2):
+                out[n] = h + 1
+    rows = [(r, h, True) for r, h in shorter.items()] + [(r, h, False) for r, h in out.items()]
+    return pa.table({"row": pa.array([r[0] for r in rows], pa.int64()), "hops": pa.array([r[1] for r in rows], pa.int32()), "inside": pa.array([r[2] for r in rows], pa.bool_())})
 
 
 def mulberry32(seed: int) -> Iterator[float]:
@@ -336,49 +440,15 @@ def build_graph(rows: list[int], vectors: list, m: int = 12, ef: int = 100, seed
     return graph
 
 
-def shard_edges(vectors: DataFrame, shards: int, m: int = 12, ef: int = 100, seed: int = 43) -> DataFrame:
-    """(shard, src, level, pos, dst, entry): one graph for each shard of rows, built in parallel."""
-
-    def run(key, part):
-        part = part.sort_by("row")
-        rows = part.column("row").to_pylist()
-        g = build_graph(rows, part.column("embedding").to_pylist(), m, ef, seed)
-        out = [(key[0].as_py(), src, x, p, dst, g.entry) for x, by in g.links.items() for src, own in by.items() for p, dst in enumerate(own)]
-        names = ["shard", "src", "level", "pos", "dst", "entry"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
-
-    dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "embedding")
-    return dealt.groupBy("shard").applyInArrow(run, "shard int, src long, level int, pos int, dst long, entry long")
-
-
 def shard_count(vectors: DataFrame, rows: int = 10_000) -> int:
     """Shards of about ``rows`` rows, two at least."""
     return max(2, -(-vectors.count() // rows))
 
 
 def shard_search(vectors: DataFrame, queries: DataFrame, shards: int, k: int, ef: int, m: int = 12, construction: int = 100, seed: int = 43) -> DataFrame:
-    """(query, rank, row, distance): the k best of a graph search in every shard.
-
-    Each shard is built and searched in one task of bounded size (choose ``shards`` by the row count); the
-    query set is stated and broadcast.
-    """
-    from pyspark.sql import Window
-
-    asked = [(r["query"], r["q"]) for r in queries.select("query", "q").toLocalIterator()]
-    shared = vectors.sparkSession.sparkContext.broadcast(asked)
-
-    def run(key, part):
-        part = part.sort_by("row")
-        g = build_graph(part.column("row").to_pylist(), part.column("embedding").to_pylist(), m, construction, seed)
-        own = min(ef, len(g.vectors))
-        found = [(q, r, d) for q, v in shared.value for d, r in g.search(v, min(k, own), own, 0)[0]]
-        return pa.table({"query": pa.array([f[0] for f in found], pa.int64()), "row": pa.array([f[1] for f in found], pa.int64()), "distance": pa.array([f[2] for f in found], pa.float64())})
-
-    dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "embedding")
-    found = dealt.groupBy("shard").applyInArrow(run, "query long, row long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "row"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "row", "distance")
+    """(query, rank, row, distance): the k best of a graph search in every shard, each stored first."""
+    path = write_shards(vectors, f"{shared_folder(vectors.sparkSession)}/catalog/shards-{uuid.uuid4().hex}", shards, m, construction, seed)
+    return merged_results(search_stored(queries, path, k, ef, 0), k)
 
 
 def csr(edges: DataFrame) -> DataFrame:

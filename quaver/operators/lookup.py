@@ -39,8 +39,11 @@ def looked_up(folded: DataFrame, query: str, served: DataFrame | None = None) ->
     return base.filter(contains_all(F.col("fold_title_artist"), q)), [(F.col("fold_title") == q.strip()).desc(), F.col("row")]
 
 
-def page_query(folded: DataFrame, query: str = "", refine: str = "", genre: str = "", offset: int = 0, limit: int = 12, served: DataFrame | None = None, available: DataFrame | None = None) -> Page:
-    """Lookup (or browse), then refinement, genre and availability, which change ``total`` and the rows only."""
+def page_query(folded: DataFrame, query: str = "", refine: str = "", genre: str = "", offset: int = 0, limit: int | None = 12, served: DataFrame | None = None, available: DataFrame | None = None) -> Page:
+    """Lookup (or browse), then refinement, genre and availability, which change ``total`` and the rows only.
+
+    Without a ``limit`` the rows are all matches, in no order.
+    """
     base, order = looked_up(folded, query, served)
     shown = base.filter(contains_all(F.col("fold_text"), fold_text(refine)))
     if genre:
@@ -48,7 +51,7 @@ def page_query(folded: DataFrame, query: str = "", refine: str = "", genre: str
     if available is not None:
         shown = shown.join(available.select("row"), "row", "left_semi")
     return Page(
-        rows=shown.orderBy(*order).offset(offset).limit(limit),
+        rows=shown if limit is None else shown.orderBy(*order).offset(offset).limit(limit),
         total=shown.agg(F.count("*").alias("total")),
         base_total=base.agg(F.count("*").alias("total")),
         genres=facets(base),
@@ -111,6 +114,55 @@ def indexed_lookup(folded: DataFrame, index: DataFrame, query: str, total: int,
     return full.join(F.broadcast(matches), "row", "left_semi"), True  # fewer than ``bound`` rows
 
 
+@dataclass(frozen=True)
+class Postings:
+    """A stored index: ``rows`` (gram, row) ranged and sorted by gram, and ``counts`` (gram, n)."""
+
+    rows: DataFrame
+    counts: DataFrame
+
+
+def write_postings(folded: DataFrame, path: str) -> Postings:
+    """Store the trigrams of ``fold_text`` below ``path``, so that a filter on grams reads only the files and row groups that may hold them."""
+    spark = folded.sparkSession
+    trigrams(folded).repartitionByRange("gram", "row").sortWithinPartitions("gram", "row").write.parquet(f"{path}/rows")
+    rows = read_postings(spark, path, rows_only=True)
+    rows.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+    return read_postings(spark, path)
+
+
+def read_postings(spark, path: str, rows_only: bool = False):
+    rows = spark.read.schema("gram string, row long").parquet(f"{path}/rows")
+    return rows if rows_only else Postings(rows, spark.read.schema("gram string, n long").parquet(f"{path}/counts"))
+
+
+def posted_lookup(folded: DataFrame, index: Postings, query: str, total: int, least: int = 64) -> tuple[DataFrame, list[str]]:
+    """Rows whose fold_text has all words, and the grams whose postings were read for it (none: the texts were scanned).
+
+    Postings are met from the rarest gram on, until fewer rows are left than max(``least``, ``total`` / 10); what is left is tested
+    against the texts, so grams that weren't needed change nothing. A gram that no row has gives no rows. If all grams together
+    leave too many rows, or the query has no gram, the texts are scanned.
+    """
+    grams = query_grams(query)
+    full = folded.filter(contains_all(F.col("fold_text"), fold_text(query)))
+    if not grams:
+        return full, []
+    # one row for each gram of the query
+    counts = {r.gram: r.n for r in index.counts.filter(F.col("gram").isin(grams)).collect()}
+    order = sorted(grams, key=lambda g: (counts.get(g, 0), g))
+    bound, used = max(least, total // 10), order[:1]
+    rows = index.rows.filter(F.col("gram") == order[0]).select("row")
+    left = counts.get(order[0], 0)
+    while left >= bound and len(used) < len(order):
+        gram = order[len(used)]
+        rows = rows.join(index.rows.filter(F.col("gram") == gram).select("row"), "row", "left_semi")
+        used.append(gram)
+        left = rows.limit(bound).count()
+    if left >= bound:
+        return full, []
+    return full.join(F.broadcast(rows), "row", "left_semi"), used  # fewer than ``bound`` rows
+
+
 def result_page(total: int, requested: int, size: int = 12) -> tuple[int, int, int, int]:
     """(page, pages, start, end), the page clamped to what there is."""
     pages = -(-total // size)

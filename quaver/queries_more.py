@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 @query("p03_equality_filter", f"WITH {X} SELECT row, genre FROM tracks WHERE genre = 'de'")
 def _(spark, d):
-    return lookup.page_query(lookup.with_folds(schema.lines(spark, d)), genre="de", limit=1 << 30).rows.select("row", "genre")
+    return lookup.page_query(lookup.with_folds(schema.lines(spark, d)), genre="de", limit=None).rows.select("row", "genre")
 
 
 @query("p04_served_filter", f"WITH {T} SELECT row FROM tracks WHERE row IN (SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0)")
@@ -59,13 +59,13 @@ def _(spark, d):
 @query("p08_client_refinement", f"WITH {X}, {FOLDED} SELECT row FROM f WHERE contains(fx, 'er') AND contains(fx, 'src1') AND genre = 'en' AND row % 2 = 0")
 def _(spark, d):
     t = lookup.with_folds(schema.texts(spark, d))
-    return lookup.page_query(t, refine="ER src1", genre="en", limit=1 << 30, available=t.filter("row % 2 = 0").select("row")).rows.select("row")
+    return lookup.page_query(t, refine="ER src1", genre="en", limit=None, available=t.filter("row % 2 = 0").select("row")).rows.select("row")
 
 
 @query("p08_client_refinement_lines", f"WITH {schema.LINES_SQL}, {FOLDED} SELECT row FROM f WHERE contains(fx, 'er') AND contains(fx, 'src1') AND genre = 'en' AND row % 2 = 0")
 def _(spark, d):
     t = lookup.with_folds(schema.lines(spark, d))
-    return lookup.page_query(t, refine="ER src1", genre="en", limit=1 << 30, available=t.filter("row % 2 = 0").select("row")).rows.select("row")
+    return lookup.page_query(t, refine="ER src1", genre="en", limit=None, available=t.filter("row % 2 = 0").select("row")).rows.select("row")
 
 
 @query("v18_projection_recall", f"WITH {schema.LAYOUT_SQL}, a AS (SELECT q.vec_id AS query, e.vec_id AS row, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D}, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id), b AS (SELECT q.row AS query, e.row, row_number() OVER (PARTITION BY q.row ORDER BY pow(e.x - q.x, 2) + pow(e.y - q.y, 2), e.row) AS r FROM layout e, layout q WHERE q.row % 20 = 0 AND q.row <> e.row), h AS (SELECT a.query, count(*) AS n FROM a JOIN b USING (query, row) WHERE a.r <= 8 AND b.r <= 8 GROUP BY a.query) SELECT round(coalesce(sum(n), 0) / (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) / 8, 6) AS mean FROM h")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quaver import schema
 from quaver.functions.text import fold, words
-from quaver.functions.vectors import is_unit, normalised, squared_norm
+from quaver.functions.vectors import cosine_distance, is_unit, normalised, squared_norm
 from quaver.operators import lookup, rerank, search, tiles
+from quaver.scratch import stored
 
 QUERIES, SQL = {}, {}
 
@@ -37,7 +38,8 @@ def _rounded(df):
 @query("v10_cosine_distance", f"SELECT e.vec_id AS row, round({D}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 7")
 def _(spark, d):
     v = schema.vectors(spark, d)
-    return _rounded(_near(v, 7, 1 << 30))
+    one = F.broadcast(search.row_vector(v, 7))  # one row
+    return v.crossJoin(one).select("row", F.round(cosine_distance(F.col("q"), F.col("embedding")), 6).alias("distance"))
 
 
 @query("v11_exact_top_k", f"SELECT row_number() OVER (ORDER BY d, row) AS rank, row, round(1 - d, 6) AS similarity FROM (SELECT e.vec_id AS row, {D} AS d FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY d, row LIMIT 16")
@@ -116,7 +118,15 @@ FOLDED = "f AS (SELECT *, lower(strip_accents(coalesce(title, ''))) AS ft, lower
 
 
 def _folded(spark, d, accents=True):
-    return lookup.with_folds(schema.texts(spark, d) if accents else schema.tracks(spark, d))
+    """A catalog with its folded names, which are stored once."""
+    tracks = schema.texts(spark, d) if accents else schema.tracks(spark, d)
+    folder = stored(spark, f"{d}/{'documents' if accents else 'part'}.parquet", "folded", lambda path: lookup.with_folds(tracks).write.parquet(path))
+    return spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in tracks.dtypes)}, fold_title string, fold_title_artist string, fold_text string").parquet(folder)
+
+
+def _postings(spark, d):
+    folded = _folded(spark, d)
+    return lookup.read_postings(spark, stored(spark, f"{d}/documents.parquet", "postings", lambda path: lookup.write_postings(folded, path)))
 
 
 @query("f01_fold", f"WITH {schema.TEXTS_SQL} SELECT row, lower(strip_accents(coalesce(title, ''))) AS folded FROM tracks")
@@ -137,7 +147,7 @@ def _sql_page(words_, refine=(), genre="", rest="SELECT row FROM r ORDER BY (ft
 
 @query("p02_all_words", _sql_page((), ("th", "an"), rest="SELECT row FROM r"))
 def _(spark, d):
-    return lookup.page_query(_folded(spark, d), refine="th AN", limit=1 << 30).rows.select("row")
+    return lookup.page_query(_folded(spark, d), refine="th AN", limit=None).rows.select("row")
 
 
 @query("l01_page_totals", _sql_page(("é",), ("la",), "fr", rest="SELECT (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM b) AS base_total").replace("'é'", "'e'"))
@@ -178,8 +188,7 @@ def _(spark, d):
 @query("l09_trigram_lookup", _sql_page((), ("tion", "ther"), rest="SELECT row FROM r"))
 def _(spark, d):
     folded = _folded(spark, d)
-    found, _used = lookup.indexed_lookup(folded, lookup.trigrams(folded), "tion ther", folded.count())
-    return found.select("row")
+    return lookup.posted_lookup(folded, _postings(spark, d), "tion ther", folded.count())[0].select("row")
 
 
 @query("l12_index_integrity", f"WITH {schema.TRACKS_SQL}, {FOLDED} SELECT gram, count(DISTINCT row) AS n FROM f, unnest(list_transform(range(1, greatest(1, length(fx) - 1)), lambda i: substr(fx, i, 3))) t(gram) GROUP BY gram")
@@ -206,7 +215,7 @@ def _(spark, d):
 
 @query("p02_all_words_lines", _sql_page((), ("th", "an"), rest="SELECT row FROM r", view=schema.LINES_SQL))
 def _(spark, d):
-    return lookup.page_query(_folded_lines(spark, d), refine="th AN", limit=1 << 30).rows.select("row")
+    return lookup.page_query(_folded_lines(spark, d), refine="th AN", limit=None).rows.select("row")
 
 
 @query("l01_page_totals_lines", _sql_page(("é",), ("la",), "fr", rest="SELECT (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM b) AS base_total", view=schema.LINES_SQL).replace("'é'", "'e'"))

@@ -54,3 +54,34 @@ def test_sharded_recall(spark):
     got = graph.shard_search(v, q, 3, 5, 60, m=6, construction=40).collect()
     want = {(i * 30, r) for i in range(10) for _, r in brute(x, x[i * 30], 5)}
     assert len(want & {(r["query"], r["row"]) for r in got}) >= 0.9 * len(want)
+
+
+def test_stored_shards(spark, tmp_path):
+    """Stored graphs equal those built in place, give a trace in every shard, and hold bounded links."""
+    x = unit(120, 6, 8)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row long, embedding array<float>")
+    path = graph.write_shards(v, str(tmp_path / "g"), 3, m=4, ef=30)
+    q = v.filter("row % 40 = 0").selectExpr("row as query", "embedding as q")
+    edges = graph.stored_edges(spark, path)
+    assert graph.structure_problems(edges.select("src", "level", "pos", "dst"), v, 4).count() == 0
+    trace = graph.search_stored(q, path, 3, 10).collect()
+    for shard in range(3):
+        rows = sorted(r["row"] for r in spark.read.parquet(path).filter(f"shard = {shard}").collect())
+        g = graph.build_graph(rows, [x[r] for r in rows], m=4, ef=30)
+        for query in (0, 40, 80):
+            own = sorted((r for r in trace if (r["shard"], r["query"]) == (shard, query)), key=lambda r: r["sequence"])
+            found, events = g.search(x[query], 3, 10)
+            assert [(r["type"], r["level"], r["id"], r["evaluations"]) for r in own] == [(e["type"], e["level"], e.get("id"), e["evaluations"]) for e in events]
+            assert [(i["distance"], i["id"]) for i in own[-1]["items"]] == found
+    merged = graph.merged_results(graph.search_stored(q, path, 3, 10, 0), 3).collect()
+    assert len(merged) == 9 and {r["row"] for r in merged if r["rank"] == 1} == {0, 40, 80}
+    assert graph.search_stored(q.limit(0), path, 3, 10).collect() == []
+
+
+def test_long_chains_over_blocks(spark):
+    edges = spark.createDataFrame([(i, 0, 0, (i * 7 + 3) % 400) for i in range(400)] + [(i, 0, 1, (i + 1) % 400) for i in range(400)], "src long, level int, pos int, dst long")
+    want, frontier = {0: 0}, [0]
+    while frontier:
+        frontier = [t for f in frontier for t in ((f * 7 + 3) % 400, (f + 1) % 400) if want.setdefault(t, want[f] + 1) == want[f] + 1]
+        frontier = sorted(set(frontier)) if len(want) < 400 else []
+    assert {r["row"]: r["hops"] for r in graph.reachable(edges, 0, 64).collect()} == want

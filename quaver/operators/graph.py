@@ -325,7 +325,7 @@ def first_seen(edges: DataFrame) -> DataFrame:
     return own.select("a", "b", "level", F.col("first.src").alias("first_src"), F.col("first.level").alias("first_level"), F.col("first.pos").alias("first_pos"))
 
 
-def reachable(edges: DataFrame, start: int, block: int = 512) -> DataFrame:
+def reachable(edges: DataFrame, start: int, block: int = 4096) -> DataFrame:
     """(row, hops) from ``start`` over directed level-0 links; ``start`` alone if it has none.
 
     Rows are dealt to blocks of ``block`` neighbouring rows. In each round the tasks of the blocks that got shorter ways walk

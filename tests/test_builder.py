@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from quaver.functions.digests import ordered_sha256, vector_sha256
+from quaver.functions.digests import ordered_document, vector_sha256
 from quaver.sources import builder, release
 
 
@@ -69,8 +69,11 @@ def _split(text):
     return out
 
 
-def test_ordered_digest(spark):
+def test_ordered_document(spark, tmp_path):
     df = spark.range(50_000).select("id", F.concat(F.lit('"x'), "id", F.lit('"')).alias("t")).repartition(6)
-    body = "[" + ",".join(f'"x{i}"' for i in range(50_000)) + "]"
-    assert ordered_sha256(df, F.col("t"), ["id"], "[", ",", "]").first()[0] == hashlib.sha256(body.encode()).hexdigest()
-    assert ordered_sha256(df.limit(0), F.col("t"), ["id"], "[", ",", "]").first()[0] == hashlib.sha256(b"[]").hexdigest()
+    body = ("[" + ",".join(f'"x{i}"' for i in range(50_000)) + "]").encode()
+    path = tmp_path / "new" / "ids.json"
+    assert ordered_document(df, F.col("t"), ["id"], "[", ",", "]", str(path)) == (hashlib.sha256(body).hexdigest(), len(body))
+    assert path.read_bytes() == body
+    assert ordered_document(df.limit(0), F.col("t"), ["id"], "[", ",", "]", str(path)) == (hashlib.sha256(b"[]").hexdigest(), 2)
+    assert path.read_bytes() == b"[]"

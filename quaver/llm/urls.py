@@ -36,8 +36,8 @@ RULES = (
     Rule("com", "/de/", "block"),
 )
 
-# Public suffixes of two labels that are known to the filter.
-TWO_LABEL_SUFFIXES = (
+# The public suffixes of two labels that the query knows; a table of all of them can be given instead.
+SUFFIXES = (
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp",
     "com.br", "com.cn", "co.in", "co.nz", "co.za", "com.mx", "com.ar", "com.tr", "co.kr", "com.tw",
 )
@@ -58,15 +58,34 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    """Suffix plus one label; the host itself if it has no more labels."""
-    labels = F.split(host, r"\.")
-    return F.concat_ws(".", F.slice(labels, -F.least(F.size(labels), F.size(F.split(url_suffix(host), r"\.")) + 1), F.lit(4)))
+def host_name(host: Column) -> Column:
+    """The host without user and port, as which pages of one host are counted together."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def url_suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def is_address(name: Column) -> Column:
+    """Whether a name is an IPv4 or a bracketed IPv6 address."""
+    return name.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$")
+
+
+def with_levels(names: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``names`` (name) with its registered ``domain`` and its ``suffix``.
+
+    The suffix is the longest of the last three, two and one labels that ``suffixes`` (suffix) lists, else the last label; the
+    domain has one label more, if there is one. An address is its own domain and suffix.
+    """
+    known = small(suffixes.select("suffix").distinct(), 100_000)
+    out = names
+    for k in (3, 2):
+        tail = F.substring_index("name", ".", -k)
+        found = known.select(F.col("suffix").alias(f"s{k}"))
+        # a name of fewer labels is its own tail, which is right: it may be a suffix itself
+        out = out.withColumn(f"t{k}", tail).join(found, F.col(f"t{k}") == F.col(f"s{k}"), "left").drop(f"t{k}")
+    suffix = F.when(is_address(F.col("name")), F.col("name")).otherwise(F.coalesce("s3", "s2", F.substring_index("name", ".", -1)))
+    labels = F.split("name", r"\.")
+    more = F.least(F.size(labels), F.size(F.split("suffix", r"\.")) + 1)
+    domain = F.when(is_address(F.col("name")), F.col("name")).otherwise(F.concat_ws(".", F.slice(labels, -more, more)))
+    return out.withColumn("suffix", suffix).withColumn("domain", domain).drop("s3", "s2")
 
 
 def match_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -93,15 +112,16 @@ def _strength(level: DataFrame, lowest: float, highest: float) -> DataFrame:
     return spread.select(F.coalesce(F.when(tau2 > 1e-9, F.least(F.greatest(raw, F.lit(lowest)), F.lit(highest))).otherwise(F.lit(highest)), F.lit(highest)).alias("m"))
 
 
-def host_posteriors(hosts: DataFrame, outcomes: DataFrame, lowest: float = 1.0, highest: float = 20.0) -> DataFrame:
-    """Posterior mean and standard deviation of the bad rate of each host of ``hosts`` (host), and the pooled rate.
+def host_posteriors(names: DataFrame, outcomes: DataFrame, suffixes: DataFrame, lowest: float = 1.0, highest: float = 20.0) -> DataFrame:
+    """Posterior mean and standard deviation of the bad rate of each of ``names`` (name), and the pooled rate.
 
-    ``outcomes`` has (host, bad) per labelled page, bad 0 or 1. Without any outcome all means are 0.5. A prior is
-    worth ``lowest`` to ``highest`` pages; where rates don't visibly differ it is worth the most.
+    ``outcomes`` has (name, bad) per labelled page, bad 0 or 1; its names are among ``names``. Without any outcome all means are 0.5.
+    A prior is worth ``lowest`` to ``highest`` pages; where rates don't visibly differ it is worth the most.
     """
-    by_host = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    by_host = Scratch(hosts.sparkSession, "hosts").table(by_host, "counts")
-    up = by_host.select("n", "bad", registered_domain(F.col("host")).alias("domain"), url_suffix(F.col("host")).alias("suffix"))
+    scratch = Scratch(names.sparkSession, "hosts")
+    levels = scratch.table(with_levels(names, suffixes), "levels")
+    by_host = scratch.table(outcomes.groupBy("name").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "counts")
+    up = by_host.join(levels, "name")
     by_domain = up.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = up.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     world = by_host.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("p_world"))
@@ -113,9 +133,7 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame, lowest: float = 1.0,
     for x, df in (("h", by_host), ("d", by_domain), ("s", by_suffix)):
         one_row = one_row.crossJoin(_strength(df, lowest, highest).withColumnRenamed("m", f"m_{x}"))  # single rows
     all_hosts = (
-        hosts.withColumn("domain", registered_domain(F.col("host")))
-        .withColumn("suffix", url_suffix(F.col("host")))
-        .join(named(by_host, "h"), "host", "left")
+        levels.join(named(by_host, "h"), "name", "left")
         .join(named(by_domain, "d"), "domain", "left")
         .join(named(by_suffix, "s"), "suffix", "left")
         .crossJoin(F.broadcast(one_row))  # one row of priors
@@ -126,31 +144,36 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame, lowest: float = 1.0,
 
     mean = shrunk("h", shrunk("d", shrunk("s", F.col("p_world"))))
     total = F.coalesce(F.col("n_h"), F.lit(0)) + F.col("m_h")
-    return all_hosts.select("host", mean.alias("mean"), total.alias("total"), "p_world").select(
-        "host", "mean", F.col("p_world").alias("pooled"), F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1)).alias("sd")
+    return all_hosts.select("name", mean.alias("mean"), total.alias("total"), "p_world").select(
+        "name", "mean", F.col("p_world").alias("pooled"), F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1)).alias("sd")
     )
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, margin: float = 1.0, z: float = 1.0, broadcast_rows: int = 100_000) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, margin: float = 1.0, z: float = 1.0, broadcast_rows: int = 100_000, suffixes: DataFrame | None = None) -> DataFrame:
     """Judge every page by rule, else by its host's posterior.
 
     ``pages`` (page_id, url), ``labels`` (doc_id, quality, toxic): a page is bad if the label of its id
     has quality 0 or toxic 1; repeated labels count once, as bad if one of them is. Returns (page_id,
     host, path, rule, verdict). A host is blocked if its mean less ``z`` deviations is over ``margin`` times the
-    pooled rate. A null url, or one without ``://``, has empty host and path, fits no
-    rule and is judged as the host ''. Repeated pages stay, other columns are ignored.
+    pooled rate. Hosts count without user and port; an address belongs to no domain but its own; ``suffixes`` (suffix) lists the
+    public suffixes of two and three labels (those of ``SUFFIXES`` unless given). A null url, or one without ``://``, has empty host
+    and path, fits no rule and is judged as the host ''. Null ids have no labels. Urls may be of any length. Repeated pages
+    stay, other columns are ignored; no pages give no rows.
     """
+    if suffixes is None:
+        suffixes = pages.sparkSession.createDataFrame([(x,) for x in SUFFIXES], "suffix string")
     scratch = Scratch(pages.sparkSession, "urls")
     seen = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     seen = seen.fillna("", ["host", "path"])
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     known = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
     known = known.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    outcomes = seen.filter(F.col("page_id").isNotNull()).select("page_id", "host").join(known, "page_id").select("host", "bad")
-    posts = host_posteriors(seen.select("host").distinct(), outcomes)
-    blocked = scratch.table(posts.filter(F.col("mean") - z * F.col("sd") > margin * F.col("pooled")).select("host"), "blocked")
+    seen = seen.withColumn("name", host_name(F.col("host")))
+    outcomes = seen.filter(F.col("page_id").isNotNull()).select("page_id", "name").join(known, "page_id").select("name", "bad")
+    posts = host_posteriors(seen.select("name").distinct(), outcomes, suffixes)
+    blocked = scratch.table(posts.filter(F.col("mean") - z * F.col("sd") > margin * F.col("pooled")).select("name"), "blocked")
     # a host can hold a third of all pages: broadcast where the count allows it, else AQE splits the hot host
-    judged = seen.join(small(blocked, broadcast_rows).withColumn("listed", F.lit(True)), "host", "left")
+    judged = seen.join(small(blocked, broadcast_rows).withColumn("listed", F.lit(True)), "name", "left")
     rule = match_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.withColumn("r", rule).select(
@@ -163,7 +186,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    twos = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+    twos = ", ".join(f"'{x}'" for x in SUFFIXES)
     rules = sorted(RULES, key=lambda r: (-len(r.name), r.name))
     fit = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     case = lambda f: "CASE " + " ".join(f"WHEN {fit(r)} THEN '{f(r)}'" for r in rules) + " END"
@@ -176,18 +199,21 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 seen AS (SELECT page_id, {lower.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
-names AS (SELECT host, CASE WHEN two IN ({twos}) THEN two ELSE l[-1] END AS suffix, array_to_string(l[-(CASE WHEN two IN ({twos}) THEN 3 ELSE 2 END):], '.') AS domain
-  FROM (SELECT DISTINCT host, string_split(host, '.') AS l, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM seen)),
-hs AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM seen JOIN known ON page_id = doc_id GROUP BY host),
-ds AS (SELECT domain, sum(n) AS n, sum(bad) AS bad FROM hs JOIN names USING (host) GROUP BY domain),
-ss AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hs JOIN names USING (host) GROUP BY suffix),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM seen),
+names AS (SELECT name, CASE WHEN address THEN name WHEN two IN ({twos}) THEN two ELSE l[-1] END AS suffix,
+    CASE WHEN address THEN name ELSE array_to_string(l[-(CASE WHEN two IN ({twos}) THEN 3 ELSE 2 END):], '.') END AS domain
+  FROM (SELECT DISTINCT name, string_split(name, '.') AS l, array_to_string(string_split(name, '.')[-2:], '.') AS two,
+    regexp_matches(name, '^([0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}$|^\\[.*\\]$') AS address FROM named)),
+hs AS (SELECT name, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM named JOIN known ON page_id = doc_id GROUP BY name),
+ds AS (SELECT domain, sum(n) AS n, sum(bad) AS bad FROM hs JOIN names USING (name) GROUP BY domain),
+ss AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hs JOIN names USING (name) GROUP BY suffix),
 one AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS p, {m('hs')} AS m_h, {m('ds')} AS m_d, {m('ss')} AS m_s FROM hs),
-a AS (SELECT names.host, p AS pooled, coalesce(hs.n, 0) + m_h AS total,
+a AS (SELECT names.name, p AS pooled, coalesce(hs.n, 0) + m_h AS total,
     (coalesce(hs.bad, 0) + m_h * ((coalesce(ds.bad, 0) + m_d * ((coalesce(ss.bad, 0) + m_s * p) / (coalesce(ss.n, 0) + m_s))) / (coalesce(ds.n, 0) + m_d))) / (coalesce(hs.n, 0) + m_h) AS mean
-  FROM names LEFT JOIN hs USING (host) LEFT JOIN ds USING (domain) LEFT JOIN ss USING (suffix), one),
-b AS (SELECT host FROM a WHERE mean - sqrt(mean * (1 - mean) / (total + 1)) > pooled)
+  FROM names LEFT JOIN hs USING (name) LEFT JOIN ds USING (domain) LEFT JOIN ss USING (suffix), one),
+b AS (SELECT name FROM a WHERE mean - sqrt(mean * (1 - mean) / (total + 1)) > pooled)
 SELECT page_id, host, path, {case(lambda r: r.name)} AS rule,
-  coalesce({case(lambda r: r.verdict)}, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM seen
+  coalesce({case(lambda r: r.verdict)}, CASE WHEN name IN (SELECT name FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM named
 """
 
 

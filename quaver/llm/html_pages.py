@@ -21,8 +21,8 @@ def _pick(rng, *options: str) -> str:
 
 
 class _Page:
-    def __init__(self, rng):
-        self.rng, self.content = rng, set()
+    def __init__(self, rng, odd: bool):
+        self.rng, self.odd, self.content = rng, odd, set()
 
     def links(self, n: int) -> str:
         r = self.rng
@@ -37,6 +37,8 @@ class _Page:
         tag, name = _pick(r, *tags.split()), _pick(r, *names.split())
         if tag in ("nav", "aside", "footer", "header", "form") and r.random() < 0.4:
             name = "-"  # the tag alone tells
+        elif self.odd and "<ul>" in inner and r.random() < 0.2:
+            name = _pick(r, "-", _word(r), f"css-{_word(r)}")  # a name of another language, or none
         if tag == "p":  # holds no blocks
             inner = inner.replace("<p>", "").replace("</p>", " ")
         attribute = "" if name == "-" else f' {_pick(r, "class", "class", "id")}="{name}"'
@@ -49,7 +51,11 @@ class _Page:
 
     def boilerplate(self) -> str:
         r = self.rng
-        k = r.integers(11)
+        k = r.integers(12 if self.odd else 11)
+        if k == 11:  # a notice that only its button gives away
+            text = self.blurb(4, 22, 2)
+            control = _pick(r, "<button>{}</button>", "<button type=button>{}</button>", "<p><button>{}</button></p>", "<select><option>{}</select>").format(_word(r).title())
+            return f'<div{_pick(r, "", f' id="{_word(r)}"', f' class="{_word(r)}"')}>{text}{control}</div>'
         if k == 9:  # without any name
             tag = _pick(r, "div", "section", "ul")
             return f"<{tag}>{self.links(r.integers(3, 9))}</{tag}>"
@@ -86,10 +92,12 @@ class _Page:
 
     def article(self) -> str:
         r = self.rng
-        blocks = []
+        blocks, n = [], r.random()
+        if self.odd and n < 0.1:  # nothing but a sentence or two
+            text = " ".join(_sentence(r, 2, 12) for _ in range(r.integers(1, 3)))
+            return f"<article><p>{self.own(text)}</p></article>" if r.random() < 0.6 else f"<main><p>{self.own(text)}</p></main>"
         if r.random() < 0.85:
             blocks.append(f"<h1>{self.own(' '.join(_word(r) for _ in range(r.integers(1, 9))).capitalize())}</h1>")
-        n = r.random()
         for _ in range(r.integers(1, 3) if n < 0.25 else r.integers(1, 11) if n < 0.96 else r.integers(20, 80)):
             k = r.random()
             if k < 0.75:
@@ -99,7 +107,9 @@ class _Page:
                     text = " ".join([_word(r) for _ in range(r.integers(1, 4))] * int(r.integers(1, 6)))
                 elif odd < 0.2:
                     text = text.rstrip(".!?") + _pick(r, " |", "***", "$$$", "")
-                if r.random() < 0.12 and " " in text:
+                if self.odd and r.random() < 0.08:
+                    blocks.append(f'<p><a href="/x">{self.own(text)}</a></p>')  # a paragraph that is all link
+                elif r.random() < 0.12 and " " in text:
                     a, _, b = text.partition(" ")
                     self.own(text)
                     blocks.append(f'<p><a href="/x">{a}</a> {b}</p>')
@@ -112,7 +122,13 @@ class _Page:
             elif k < 0.89:
                 items = "".join(f"<li>{self.own(_sentence(r, 2, 12))}</li>" for _ in range(r.integers(2, 5)))
                 blocks.append(f"<ul>{items}</ul>")
-            elif k < 0.93:
+            elif self.odd and k < 0.91:
+                items = "".join(f"<dt>{self.own(_word(r).capitalize())}{_pick(r, '', '</dt>')}<dd>{self.own(_sentence(r, 3, 20))}{_pick(r, '', '</dd>')}" for _ in range(r.integers(1, 5)))
+                blocks.append(f"<dl>{items}</dl>")
+            elif self.odd and k < 0.93:
+                picture = _pick(r, '<img src="/a.jpg">', "", f'<a href="/big"><img src="/{_word(r)}.png" alt="{_word(r)}"></a>')
+                blocks.append(f"<figure>{picture}<figcaption>{self.own(_sentence(r, 3, 14))}</figcaption></figure>")
+            elif k < (0.945 if self.odd else 0.93):
                 blocks.append(f"<blockquote>{self.own(_sentence(r, 5, 25))}</blockquote>")
             elif k < 0.96:
                 blocks.append(f"<p>{self.own(_word(r).capitalize() + '.')}</p>")
@@ -120,6 +136,11 @@ class _Page:
                 blocks.append(f"<table><tr><td>{self.own(_sentence(r, 1, 5))}</td><td>{self.own(_sentence(r, 1, 5))}</td></tr></table>")
         for _ in range(r.integers(0, 2)):
             blocks.insert(int(r.integers(len(blocks) + 1)), self.boilerplate())
+        if self.odd and blocks[0].startswith("<h1>") and r.random() < 0.15:  # a heading of the article's own
+            blocks[0] = f"<header{_pick(r, '', ' class=entry-header')}>{blocks[0]}</header>"
+        if self.odd and len(blocks) > 2 and r.random() < 0.15:  # parts
+            cut = int(r.integers(1, len(blocks)))
+            blocks = ["<section>" + "".join(part) + "</section>" for part in (blocks[:cut], blocks[cut:])]
         inner = "".join(blocks)
         if r.random() < 0.2 and "<p><b>" not in inner:  # paragraphs that aren't called so
             open_, close = ("<div><span>", "</span></div>") if r.random() < 0.5 else ("<div>", "</div>")
@@ -159,9 +180,13 @@ class _Page:
         return f"<article>{body}</article>" if k > 2 and r.random() < 0.2 else body
 
 
-def labelled_page(rng) -> tuple[str, set[str]]:
-    """A page and the texts of its article's blocks."""
-    p = _Page(rng)
+def labelled_page(rng, odd: bool = False) -> tuple[str, set[str]]:
+    """A page and the texts of its article's blocks.
+
+    ``odd`` pages also have names that say nothing, notices without a name, articles of one sentence or in parts, paragraphs
+    that are one link, definitions and captions.
+    """
+    p = _Page(rng, odd)
     parts = []
     if rng.random() < 0.4:
         parts.append(p.named("header div header", "header masthead site-header top", _pick(rng, f"<h1>{_word(rng).title()}</h1>", f"<a href='/'>{_word(rng).title()}</a>", p.blurb(2, 8)) + (f"<nav>{p.links(rng.integers(2, 7))}</nav>" if rng.random() < 0.5 else "")))

@@ -30,13 +30,18 @@ FEATURES = {
 }
 
 
+def _quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines, n_upper, n_marks.
 
     A null text has no words. Repeated rows stay. ``keep`` names further columns of ``docs`` to pass on, prefixed ``in_``.
     """
-    k = [F.col(c).alias(f"in_{c}") for c in keep]
-    kept = [f"in_{c}" for c in keep]
+    k = [F.col(_quoted(c)).alias(f"in_{c}") for c in keep]
+    kept = [_quoted(f"in_{c}") for c in keep]
     base = docs.select(F.col(id_col).alias("doc_id"), *k, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     words = base.select(
         "doc_id",
@@ -188,8 +193,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> lis
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     mine = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
     rows = _with_features(statistics(mine, keep=("bad",))).filter(~base_failed())
-    found = {r["doc_id"]: r for r in rows.select("doc_id", F.col("in_bad").alias("bad"), *FEATURES).collect()}
-    return [found[k].asDict() for k in sorted(found)]
+    # of several texts under one id, the one whose features come first
+    one = rows.groupBy("doc_id").agg(F.first("in_bad").alias("bad"), F.min(F.struct(*FEATURES)).alias("f"))
+    found = {r["doc_id"]: {"doc_id": r["doc_id"], "bad": r["bad"], **r["f"].asDict()} for r in one.collect()}  # at most ``sample`` rows
+    return [found[k] for k in sorted(found)]
 
 
 def apply_rules(docs: DataFrame, rules: list[list[Condition]], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -209,7 +216,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
 def quality_filter(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     judged = apply_rules(docs, learn_rules(labelled_rows(docs, labels, sample)), keep=tuple(docs.columns))
-    return judged.filter("kept").select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+    return judged.filter("kept").select(*(F.col(_quoted(f"in_{c}")).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

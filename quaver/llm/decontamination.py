@@ -140,13 +140,12 @@ class Table:
 
 
 def tables_of(items: list[tuple[str, str]], size: int) -> list[Table]:
-    """One table for the full windows, and one for each power of two of the bytes of shorter ones."""
+    """A table for each power of two of the windows' bytes, so that a short window doesn't shorten the shifts of long ones."""
     classes: dict[int, list[bytes]] = {}
     windows = windows_of(items, size)
     for w in windows:
-        full = w.count(b" ") - 1 >= size
-        classes.setdefault(0 if full else len(w).bit_length(), []).append(w)
-    return [Table(sorted(c), [windows[w] for w in sorted(c)]) for c in classes.values()]
+        classes.setdefault(len(w).bit_length(), []).append(w)
+    return [Table(sorted(c), [windows[w] for w in sorted(c)]) for _, c in sorted(classes.items())]
 
 
 def search_batch(texts, tables: list[Table], block: int = 4 << 20):

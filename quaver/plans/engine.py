@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions.text import html_escape, query_limits
 from quaver.operators import graph, lookup, rerank, search, tiles
+from quaver.scratch import scratch_table
 
 
 class Engine:
@@ -62,7 +63,7 @@ class Engine:
     def tile(self, z: int, x: int, y: int) -> DataFrame:
         if self._points is None:
             shown = self.layout if self._served is None else self.layout.join(self._served.select("row"), "row", "left_semi")
-            self._points = tiles.coded(shown).select("row", "code").cache()
+            self._points = scratch_table(tiles.coded(shown).select("row", "code"), "points")
         return tiles.tile(self._points, z, x, y)
 
     def links(self, row: int) -> DataFrame:
@@ -120,13 +121,10 @@ def credit_article():
 
 
 def scope_text(channel: str, catalog: int, candidates: int, start: int, end: int, total: int) -> str:
-    """What a list shows, in a sentence."""
-    shown = f"Showing {start + 1:,}–{end:,} of {total:,}" if total else "Showing 0"
-    if channel in ("sound", "neighbors"):
-        return f"{shown} from {candidates:,} retrieved sound candidates · searched {catalog:,} recordings. Refinements apply to these candidates, not the full collection."
-    if channel == "browse":
-        return f"{shown} recordings · {candidates:,} recordings in the collection. Refinements use recorded metadata."
-    return f"{shown} name matches · {candidates:,} title / artist matches across {catalog:,} recordings. Refinements use recorded metadata."
+    """What a list holds: its kind, the rows shown, and how many of the catalog's tracks a refinement chooses from."""
+    kind = {"sound": "Nearest by sound", "neighbors": "Nearest by sound", "browse": "Catalog"}.get(channel, "Names that match")
+    rows = f"{start + 1:,} to {end:,} of {total:,}" if total else "none"
+    return f"{kind}: {rows} (chosen from {candidates:,} of {catalog:,} tracks)"
 
 
 def parameters(query_string: str, allowed: set[str]) -> dict[str, str]:

@@ -55,9 +55,9 @@ def test_request_parameters():
 
 def test_pages_and_scopes():
     assert lookup.result_page(25, 9) == (2, 3, 24, 25) and lookup.result_page(0, 3) == (0, 0, 0, 0) and lookup.result_page(25, -1)[0] == 0
-    assert scope_text("browse", 2000, 2000, 0, 12, 2000).startswith("Showing 1–12 of 2,000 recordings")
-    assert scope_text("lookup", 2000, 0, 0, 0, 0).startswith("Showing 0 name matches")
-    assert "searched 2,000 recordings" in scope_text("sound", 2000, 64, 0, 12, 64)
+    assert scope_text("browse", 2000, 2000, 0, 12, 2000) == "Catalog: 1 to 12 of 2,000 (chosen from 2,000 of 2,000 tracks)"
+    assert scope_text("lookup", 2000, 0, 0, 0, 0) == "Names that match: none (chosen from 0 of 2,000 tracks)"
+    assert scope_text("sound", 2000, 64, 12, 24, 64) == "Nearest by sound: 13 to 24 of 64 (chosen from 64 of 2,000 tracks)"
 
 
 @pytest.mark.parametrize("links", [[], [(0, 1), (1, 2), (2, 0), (0, 2), (5, 6)], [(i, i + 1) for i in range(12)] + [(3, 9), (9, 0), (4, 4)]])

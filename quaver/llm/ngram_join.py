@@ -320,18 +320,29 @@ class _Join:
             found = found.unionByName(comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
         return components(found, self.scratch, f"components-{name}")
 
+    def own_pairs(self) -> tuple[int, int]:
+        """How many pairs of different components groups hold inside of them, and how many members those groups have."""
+        each = self.known.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g")
+        each = each.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside")).filter("c * c > inside")
+        sums = each.agg(F.sum(F.col("c") * F.col("c") - F.col("inside")).alias("pairs"), F.sum("c").alias("rows")).first()
+        return sums["pairs"] or 0, sums["rows"] or 0
+
     def components(self) -> DataFrame:
         """(node, comp) of the nodes with links.
 
-        Leaders have another round while the pairs left are many for the postings and the last round has
-        cut them by three tenths.
+        Leaders have another round while the pairs left, of groups that share shingles or inside of groups, are many for
+        their rows and the last round has cut them by three tenths.
         """
-        (post, of_groups, n_pairs, n_rows), comps, before, r = self.first_look(), None, math.inf, 0
-        while n_pairs > 8 * n_rows and n_pairs <= 0.7 * before:
-            comps = self.merged(comps, self.leader_pairs(post, of_groups, r), str(r))
-            before, r = n_pairs, r + 1
-            post, of_groups, n_pairs, n_rows = self.look(comps, post, str(r))
-        return self.merged(comps, self.all_pairs(post, of_groups), "all")
+        (post, of_groups, *between), comps, r = self.first_look(), None, 0
+        inside, before = self.own_pairs(), (math.inf, math.inf)
+        while True:
+            met, own = (pairs > 8 * rows and pairs <= 0.7 * last for (pairs, rows), last in zip((between, inside), before))
+            if not met and not own:
+                return self.merged(comps, self.all_pairs(post, of_groups), "all")
+            comps = self.merged(comps, self.leader_pairs(post if met else post.filter("false"), of_groups, r), str(r))
+            before, r = (between[0], inside[0]), r + 1
+            post, of_groups, *between = self.look(comps, post, str(r))
+            inside = self.own_pairs()
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

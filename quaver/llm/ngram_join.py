@@ -301,6 +301,7 @@ class _Join:
         open_ = self.scratch.table(each.select("token", "c", (F.col("c") * F.col("c") - F.col("inside")).alias("pairs")), f"tokens-{name}")
         post = self.scratch.table(of.join(open_.select("token", F.col("c").cast("int").alias("c")), "token").select("token", "g", "n", "pos", "c", "comp"), f"open-{name}")
         sums = open_.agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
+        self.drop(f"tokens-{name}", "shared", "post", f"open-{int(name) - 1}", "of-groups", f"of-groups-{int(name) - 1}")
         self.known = self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
 
@@ -318,7 +319,14 @@ class _Join:
         found = self.links(pairs, self.sets(pairs, name), name)
         if comps is not None:
             found = found.unionByName(comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        return components(found, self.scratch, f"components-{name}")
+        out = components(found, self.scratch, f"components-{name}")
+        # the components are written, so nothing reads what led to them any more
+        self.drop(*(f"{t}-{name}" for t in ("pairs", "ends", "sets", "links", "groups")), "sketched", "met", "met-groups", "fronts")
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.scratch.drop(name)
 
     def own_pairs(self) -> tuple[int, int]:
         """How many pairs of different components groups hold inside of them, and how many members those groups have."""

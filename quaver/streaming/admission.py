@@ -30,28 +30,33 @@ class SlidingAllowance:
 
 
 class DualAllowance:
-    """Searches and controls have allowances of their own; searches also an hourly one, re-anchored at the first event after an hour."""
+    """Searches and controls have allowances of their own; searches also an hourly one, re-anchored at the first event after an hour.
 
-    def __init__(self, searches: int, controls: int, hourly: int, window: float = 60.0, hour: float = 3600.0):
+    The first hour begins at ``start``, or else at the first event. What is admitted costs seconds of CPU; once an hour has
+    used ``cpu`` of them, its searches are refused too.
+    """
+
+    def __init__(self, searches: int, controls: int, hourly: int, window: float = 60.0, hour: float = 3600.0, cpu: float = math.inf, start: float | None = None):
         self.limits = {True: searches, False: controls}
-        self.hourly, self.window, self.hour = hourly, window, hour
+        self.hourly, self.window, self.hour, self.cpu = hourly, window, hour, cpu
         self.held = {True: deque(), False: deque()}
-        self.anchor: float | None = None
-        self.count = 0
+        self.anchor = start
+        self.count, self.used = 0, 0.0
 
-    def admit(self, now: float, search: bool) -> int:
+    def admit(self, now: float, search: bool, cost: float = 0.0) -> int:
         if self.anchor is None or now - self.anchor >= self.hour:
-            self.anchor, self.count = now, 0
+            self.anchor, self.count, self.used = now, 0, 0.0
         for own in self.held.values():
             while own and now - own[0] >= self.window:
                 own.popleft()
         own = self.held[search]
         if len(own) >= self.limits[search]:
             return max(1, math.ceil(self.window - (now - own[0])))
-        if search and self.count >= self.hourly:
+        if search and (self.count >= self.hourly or self.used >= self.cpu):
             return max(1, math.ceil(self.hour - (now - self.anchor)))
         own.append(now)
         self.count += search
+        self.used += cost
         return 0
 
 

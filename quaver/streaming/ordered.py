@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import TimestampNTZType
 
 from quaver.streaming.admission import DualAllowance
 
@@ -143,7 +144,10 @@ def _names(rule) -> list[str]:
 
 
 def _plain(events: DataFrame, names: list[str]) -> DataFrame:
-    return events.filter("ts is not null and user_id is not null").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *names)
+    """Events with ``us``, the microseconds of their times; times without a zone are read as UTC, whatever the session's zone."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") if isinstance(events.schema["ts"].dataType, TimestampNTZType) else F.unix_micros("ts")
+    timed = events.filter("ts is not null and user_id is not null").select("user_id", "event_id", us.alias("us"), *names)
+    return timed.withColumn("ts", F.timestamp_micros("us"))
 
 
 def _answered(judged: DataFrame, answer: list[Column]) -> DataFrame:
@@ -152,7 +156,7 @@ def _answered(judged: DataFrame, answer: list[Column]) -> DataFrame:
 
 def _stream(events: DataFrame, make: Callable, delay: str) -> DataFrame:
     names = _names(make())
-    marked = _plain(events.withWatermark("ts", delay), names)
+    marked = _plain(events, names).withWatermark("ts", delay)
     return marked.groupBy("user_id").transformWithStateInPandas(_InOrder(make, names), _JUDGED, "append", "eventTime")
 
 

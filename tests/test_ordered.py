@@ -116,3 +116,15 @@ def test_odd_rows(spark):
     assert ordered.dual_table(spark.createDataFrame([], DUAL), 5, 5, 5).count() == 0
     cancels = [(1, 1, T0, True, None, None), (1, 2, T0, False, None, None), (1, 3, T0, None, "a", None)]
     assert [r.cancelled for r in sorted(ordered.cancel_table(spark.createDataFrame(cancels, CANCEL)).collect(), key=lambda r: r.event_id)] == [False, True, False]
+
+
+def test_streamed_query_equals_table_form(spark, small):
+    from pyspark.sql import functions as F
+
+    from quaver import queries_streams, schema
+
+    events = schema.table(spark, small, "events").select("user_id", "event_id", "ts", (F.col("event_type") != "view").alias("search"), F.col("value").alias("cost"))
+    want = {(r.user_id, r.event_id, r.ts, r.admitted, r.retry) for r in ordered.dual_table(events, 2, 1, 5, window=3600.0, hour=86400.0, cpu=200.0).collect()}
+    got = queries_streams.QUERIES["w02_streamed_admission"](spark, small).collect()
+    assert {tuple(r.asDict()[c] for c in ("user_id", "event_id", "ts", "admitted", "retry")) for r in got} == want and len(got) == len(want)
+    assert {r.admitted for r in got} == {True, False}

@@ -294,14 +294,15 @@ class _Join:
     def look(self, comps: DataFrame, post: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int, int]:
         """Open postings with components, groups, and how many pairs and postings are open."""
         of_groups = self.scratch.table(self.group_components(comps), f"of-groups-{name}")
-        of = post.drop("comp", "c").join(small(of_groups.select("g", "comp"), 200_000), "g")
+        # written, since two tables are made of it
+        of = self.scratch.table(post.drop("comp", "c").join(small(of_groups.select("g", "comp"), 200_000), "g"), f"labelled-{name}")
         # a shingle whose holders are one component has nothing more to tell
         each = of.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
         each = each.agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside")).filter("comps > 1")
         open_ = self.scratch.table(each.select("token", "c", (F.col("c") * F.col("c") - F.col("inside")).alias("pairs")), f"tokens-{name}")
         post = self.scratch.table(of.join(open_.select("token", F.col("c").cast("int").alias("c")), "token").select("token", "g", "n", "pos", "c", "comp"), f"open-{name}")
         sums = open_.agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
-        self.drop(f"tokens-{name}", "shared", "post", f"open-{int(name) - 1}", "of-groups", f"of-groups-{int(name) - 1}")
+        self.drop(f"tokens-{name}", f"labelled-{name}", "shared", "post", f"open-{int(name) - 1}", "of-groups", f"of-groups-{int(name) - 1}")
         self.known = self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
 

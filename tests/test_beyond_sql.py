@@ -9,3 +9,10 @@ def test_routes_of_seven_digits_stay_apart(spark):
     t = spark.createDataFrame([(n, f"fma:{n}") for n in (7, 100000, 1000000, 1000001)], "row long, id string")
     routes = {r["row"]: r["route"] for r in release.delivery(t, t.filter("row = 7")).collect()}
     assert routes == {7: "/audio/000007.mp3", 100000: "/audio/100000.mp3", 1000000: "/audio/1000000.mp3", 1000001: "/audio/1000001.mp3"}
+
+
+def test_a_ring_whose_size_is_not_a_multiple_of_ten_has_a_problem_of_its_own(spark, tmp_path):
+    spark.range(206).selectExpr("id as vec_id", "array(cast(1 as float)) as embedding", "0 as label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {tuple(r) for r in cq.QUERIES["g07_structure_problems"](spark, str(tmp_path)).collect()}
+    # row 200 links to (200 + 10) % 206 = 4 in level 1, which row 4 lacks
+    assert ("neighbour lacks the level", 200, 1) in found and len(found) == 5

@@ -16,3 +16,9 @@ def test_a_ring_whose_size_is_not_a_multiple_of_ten_has_a_problem_of_its_own(spa
     found = {tuple(r) for r in cq.QUERIES["g07_structure_problems"](spark, str(tmp_path)).collect()}
     # row 200 links to (200 + 10) % 206 = 4 in level 1, which row 4 lacks
     assert ("neighbour lacks the level", 200, 1) in found and len(found) == 5
+
+
+def test_rows_beyond_120_hops_are_reached(spark, tmp_path):
+    spark.range(1000).selectExpr("id as vec_id", "array(cast(1 as float)) as embedding", "0 as label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    hops = {r["row"]: r["hops"] for r in cq.QUERIES["g08_reachability"](spark, str(tmp_path)).collect()}
+    assert len(hops) == schema.vectors(spark, str(tmp_path)).count() and max(hops.values()) > 120

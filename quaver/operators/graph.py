@@ -27,42 +27,49 @@ class LocalGraph:
     """A graph that fits in one process: ``links[level][row]`` and the vectors by row."""
 
     def __init__(self, vectors: dict[int, np.ndarray], links: dict[int, dict[int, list[int]]], entry: int):
-        self.vectors = {r: np.asarray(v, np.float32).astype(np.float64) for r, v in vectors.items()}
+        self.place = {r: i for i, r in enumerate(vectors)}
+        self.vectors = np.array(list(vectors.values()), np.float32).astype(np.float64)
         self.links, self.entry = links, entry
         self.top = max(links, default=0)
 
+    def vector(self, row: int) -> np.ndarray:
+        return self.vectors[self.place[row]]
+
     def distances(self, q: np.ndarray, rows: list[int]) -> list[float]:
         if not rows:
             return []
-        block = np.stack([self.vectors[r] for r in rows])
-        # cumsum adds strictly in dimension order
-        return np.clip(1 - np.cumsum(block * q, axis=1)[:, -1], 0, 2).tolist()
+        # accumulation adds strictly in dimension order
+        dots = np.add.accumulate(self.vectors[[self.place[r] for r in rows]] * q, axis=1)[:, -1]
+        return [0.0 if d < 0 else 2.0 if d > 2 else d for d in (1 - dots).tolist()]
 
     def layer(self, q, entries: list[int], ef: int, level: int, known: dict[int, float], note) -> list[tuple[float, int]]:
-        """Best-first search of one layer: the ef nearest (distance, row) found, in order."""
+        """Best-first search of one layer: the ef nearest (distance, row) found, in order. ``note`` gets its events, if any are wanted."""
 
         def measure(rows: list[int]) -> None:
             fresh = [r for r in rows if r not in known]
             known.update(zip(fresh, self.distances(q, fresh)))
 
+        links = self.links.get(level, {})
         measure(entries)
         frontier = [(known[r], r) for r in entries]
         heapq.heapify(frontier)
         kept = [(-d, -r) for d, r in frontier]
         heapq.heapify(kept)
         seen = set(entries)
-        note("enter", level, entries=list(entries))
+        if note:
+            note("enter", level, entries=list(entries))
         while frontier:
             d, row = heapq.heappop(frontier)
             worst = (-kept[0][0], -kept[0][1])
             if len(kept) >= ef and (d, row) > worst:
-                note("stop", level, id=row, distance=worst[0])
+                if note:
+                    note("stop", level, id=row, distance=worst[0])
                 break
-            near = [n for n in self.links.get(level, {}).get(row, []) if n not in seen]
+            near = [n for n in links.get(row, ()) if n not in seen]
             seen.update(near)
+            measure(near)
             considered = []
             for n in near:
-                measure([n])
                 item = (known[n], n)
                 accepted = len(kept) < ef or item < (-kept[0][0], -kept[0][1])
                 evicted = None
@@ -71,8 +78,10 @@ class LocalGraph:
                     heapq.heappush(kept, (-item[0], -item[1]))
                     if len(kept) > ef:
                         evicted = -heapq.heappop(kept)[1]
-                considered.append({"id": n, "distance": item[0], "accepted": accepted, "evicted": evicted, "via": row})
-            note("expand", level, id=row, distance=d, considered=considered)
+                if note:
+                    considered.append({"id": n, "distance": item[0], "accepted": accepted, "evicted": evicted, "via": row})
+            if note:
+                note("expand", level, id=row, distance=d, considered=considered)
         return sorted((-d, -r) for d, r in kept)
 
     def search(self, q, k: int, ef: int, limit: int = 2048) -> tuple[list[tuple[float, int]], list[dict]]:
@@ -87,17 +96,18 @@ class LocalGraph:
             if len(events) < limit:
                 events.append({"sequence": len(events), "type": kind, "level": level, **more, "evaluations": len(known)})
 
-        entries = [self.entry]
+        entries, told = [self.entry], note if limit else None
         for level in range(self.top, 0, -1):
-            entries = [self.layer(q, entries, 1, level, known, note)[0][1]]
+            entries = [self.layer(q, entries, 1, level, known, told)[0][1]]
             note("descend", level, id=entries[0])
-        found = self.layer(q, entries, ef, 0, known, note)[:k]
+        found = self.layer(q, entries, ef, 0, known, told)[:k]
         note("results", 0, items=[{"id": r, "distance": d} for d, r in found])
         return found, events
 
 
-#: Queries that one task searches in one shard.
+#: Queries of a row of work, and about how many of them a task searches in its shard, whose graph it reads once.
 ASKED = 64
+ASKED_OF_TASK = 1024
 
 _loaded: dict[tuple[str, int], LocalGraph] = {}
 
@@ -155,7 +165,8 @@ def write_shards(vectors: DataFrame, path: str, shards: int, m: int = 12, ef: in
         )
 
     dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "embedding")
-    built = dealt.groupBy("shard").applyInArrow(run, "shard int, row long, embedding array<float>, links array<array<long>>, entry long")
+    # ranges far smaller than a shard put each into a task of its own, which hashes of so few keys don't
+    built = dealt.repartitionByRange(4 * shards, "shard").groupBy("shard").applyInArrow(run, "shard int, row long, embedding array<float>, links array<array<long>>, entry long")
     built.write.partitionBy("shard").parquet(path)
     return path
 
@@ -169,8 +180,8 @@ def stored_edges(spark, path: str) -> DataFrame:
 def search_stored(queries: DataFrame, path: str, k: int, ef: int, limit: int = 2048) -> DataFrame:
     """Trace events, with their shard, of a greedy layered search of every stored graph for each query (query, q).
 
-    The expansion order depends on a heap, so a query in a shard is one task's work. A task gets up to 64 queries for one
-    shard and reads that shard's graph itself; no graph passes the driver. In a shard of fewer than ``ef`` rows the
+    The expansion order depends on a heap, so a query in a shard is one task's work. Work is ranged by shard and block of queries, so
+    a task has about a thousand queries for one shard and reads that shard's graph itself; no graph passes the driver. In a shard of fewer than ``ef`` rows the
     search is as wide as the shard. Without a ``limit`` there is an event with the results alone.
     """
     spark = queries.sparkSession
@@ -196,7 +207,8 @@ def search_stored(queries: DataFrame, path: str, k: int, ef: int, limit: int = 2
         raise ValueError("Invalid search budget")
     blocks = queries.select("query", "q", F.floor(F.monotonically_increasing_id() / ASKED).alias("block")).groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
     work = blocks.select("block", "asked", F.explode(F.array(*(F.lit(s) for s in shards))).alias("shard")) if len(shards) <= 1000 else blocks.crossJoin(spark.createDataFrame([(s,) for s in shards], "shard int"))
-    return work.repartition("shard", "block").sortWithinPartitions("shard").select("shard", "asked").mapInArrow(run, f"shard int, {TRACE}")
+    tasks = len(shards) * max(1, -(-queries.count() // ASKED_OF_TASK))
+    return work.repartitionByRange(tasks, "shard", "block").sortWithinPartitions("shard").select("shard", "asked").mapInArrow(run, f"shard int, {TRACE}")
 
 
 def merged_results(trace: DataFrame, k: int) -> DataFrame:
@@ -395,25 +407,29 @@ def mulberry32(seed: int) -> Iterator[float]:
 
 def diverse(graph: LocalGraph, candidates: list[tuple[float, int]], most: int) -> list[int]:
     """Candidates in order that are no nearer to a chosen one than to the query."""
-    chosen: list[int] = []
-    for d, r in sorted(candidates):
-        if all(x >= d for x in graph.distances(graph.vectors[r], chosen)):
+    own = sorted(candidates)
+    limit = np.array([d for d, _ in own])
+    block = graph.vectors[[graph.place[r] for _, r in own]]
+    free, chosen = np.ones(len(own), bool), []
+    for i, (_, r) in enumerate(own):
+        if free[i]:
             chosen.append(r)
             if len(chosen) == most:
                 break
+            # each chosen row is held against all later ones at once
+            dots = np.add.accumulate(block[i + 1 :] * block[i], axis=1)[:, -1]
+            free[i + 1 :] &= np.clip(1 - dots, 0, 2) >= limit[i + 1 :]
     return chosen
 
 
 def build_graph(rows: list[int], vectors: list, m: int = 12, ef: int = 100, seed: int = 43) -> LocalGraph:
     """Sequential insertion with seeded levels; deterministic in the order of ``rows``."""
     draws = mulberry32(seed)
-    graph = LocalGraph({}, {0: {}}, rows[0] if rows else 0)
+    graph = LocalGraph(dict(zip(rows, vectors)), {0: {}}, rows[0] if rows else 0)
     top = -1
-    quiet = lambda *a, **b: None
-    for row, vector in zip(rows, vectors):
+    for row in rows:
         level = min(24, int(-math.log(max(next(draws), 2.0**-52)) / math.log(m)))
-        q = np.asarray(vector, np.float32).astype(np.float64)
-        graph.vectors[row] = q
+        q = graph.vector(row)
         for x in range(level + 1):
             graph.links.setdefault(x, {})[row] = []
         if top < 0:
@@ -422,9 +438,9 @@ def build_graph(rows: list[int], vectors: list, m: int = 12, ef: int = 100, seed
         known: dict[int, float] = {}
         entries = [graph.entry]
         for x in range(top, level, -1):
-            entries = [graph.layer(q, entries, 1, x, known, quiet)[0][1]]
+            entries = [graph.layer(q, entries, 1, x, known, None)[0][1]]
         for x in range(min(level, top), -1, -1):
-            found = graph.layer(q, entries, ef, x, known, quiet)
+            found = graph.layer(q, entries, ef, x, known, None)
             chosen = diverse(graph, found, m)
             graph.links[x][row] = chosen
             for n in chosen:
@@ -432,7 +448,7 @@ def build_graph(rows: list[int], vectors: list, m: int = 12, ef: int = 100, seed
                 own.append(row)
                 most = 2 * m if x == 0 else m
                 if len(own) > most:
-                    graph.links[x][n] = diverse(graph, list(zip(graph.distances(graph.vectors[n], own), own)), most)
+                    graph.links[x][n] = diverse(graph, list(zip(graph.distances(graph.vector(n), own), own)), most)
             entries = [r for _, r in found]
         if level > top:
             graph.entry, top = row, level

@@ -85,3 +85,21 @@ def test_long_chains_over_blocks(spark):
         frontier = [t for f in frontier for t in ((f * 7 + 3) % 400, (f + 1) % 400) if want.setdefault(t, want[f] + 1) == want[f] + 1]
         frontier = sorted(set(frontier)) if len(want) < 400 else []
     assert {r["row"]: r["hops"] for r in graph.reachable(edges, 0, 64).collect()} == want
+
+
+def test_an_expansion_measures_its_neighbours_at_once(monkeypatch):
+    x = unit(300, 8, 6)
+    g = graph.build_graph(list(range(300)), list(x), m=6, ef=40)
+    calls, own = [], g.distances
+    monkeypatch.setattr(g, "distances", lambda q, rows: calls.append(len(rows)) or own(q, rows))
+    found, events = g.search(x[7], 5, 40)
+    assert len(calls) <= sum(e["type"] in ("enter", "expand") for e in events) and sum(calls) == events[-1]["evaluations"]
+    assert g.search(x[7], 5, 40, 0)[0] == found
+
+
+def test_every_shard_is_built_in_a_task_of_its_own(spark, tmp_path):
+    x = unit(240, 4, 7)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row long, embedding array<float>")
+    path = graph.write_shards(v, str(tmp_path / "g"), 8, m=4, ef=20)
+    tasks = spark.read.parquet(path).selectExpr("shard", "regexp_extract(input_file_name(), 'part-([0-9]+)', 1) as task").distinct().collect()
+    assert len(tasks) == len({t.task for t in tasks}) == 8

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.text import contains_all, fold, fold_text
 
+#: Pieces that a task holds before it hands them on, one row's aside.
+GRAMS = 65_536
+
 
 def with_folds(tracks: DataFrame) -> DataFrame:
     """Adds fold_title, fold_title_artist and fold_text; done once, when a catalog is written."""
@@ -83,9 +88,22 @@ def credits_pages(tracks: DataFrame, served: DataFrame | None = None, size: int
 
 
 def trigrams(folded: DataFrame, column: str = "fold_text") -> DataFrame:
-    """The inverted table (gram, row) of all three-character pieces."""
-    grams = F.expr(f"if(length({column}) < 3, array(), array_distinct(transform(sequence(1, length({column}) - 2), i -> substring({column}, i, 3))))")
-    return folded.select(F.explode(grams).alias("gram"), "row")
+    """The inverted table (gram, row) of all three-character pieces, each once for a row, in time linear in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams, rows = [], []
+            for row, text in zip(b.column("row"), b.column(column)):
+                own = text.as_py() or ""
+                pieces = dict.fromkeys(own[i : i + 3] for i in range(len(own) - 2))
+                grams += pieces
+                rows += [row.as_py()] * len(pieces)
+                if len(grams) >= GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(rows, b.column("row").type)], ["gram", "row"])
+                    grams, rows = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(rows, b.column("row").type)], ["gram", "row"])
+
+    return folded.select("row", column).mapInArrow(run, f"gram string, row {dict(folded.dtypes)['row']}")
 
 
 def query_grams(query: str) -> list[str]:

@@ -1,6 +1,7 @@
 """The stored index against scans, and what it reads."""
 
 import io
+import time
 from contextlib import redirect_stdout
 
 import pytest
@@ -39,3 +40,13 @@ def test_filter_reaches_the_files(catalog):
     with redirect_stdout(out):
         lookup.posted_lookup(folded, index, "quokka", 3002)[0].explain("formatted")
     assert "PushedFilters: [IsNotNull(gram), EqualTo(gram," in out.getvalue()
+
+
+def test_grams_of_long_texts_take_linear_time(spark):
+    """A text of 200,000 characters: a substring from the start for each piece would walk 20,000,000,000 characters."""
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(199_990)) + "é🙂ab\x00"
+    texts = [(1, long), (2, None), (3, "ab"), (4, "🙂🙂🙂🙂"), (5, "abcabc")]
+    began = time.perf_counter()
+    got = {(r.gram, r.row) for r in lookup.trigrams(spark.createDataFrame(texts, "row long, fold_text string")).collect()}
+    assert time.perf_counter() - began < 20
+    assert got == {(t[i : i + 3], row) for row, t in texts if t for i in range(len(t) - 2)}

@@ -14,6 +14,14 @@ from quaver.functions.text import contains_all, fold, fold_text
 #: Pieces that a task holds before it hands them on, one row's aside.
 GRAMS = 65_536
 
+#: Rows of a catalog whose pieces one task holds.
+PART_ROWS = 40_000
+
+
+def row_parts(folded: DataFrame) -> int:
+    """Parts of a catalog, dealt by row, whose pieces a task can hold at any size."""
+    return max(1, -(-folded.count() // PART_ROWS))
+
 
 def with_folds(tracks: DataFrame) -> DataFrame:
     """Adds fold_title, fold_title_artist and fold_text; done once, when a catalog is written."""
@@ -194,8 +202,12 @@ def credit_redirects(tracks: DataFrame, served: DataFrame | None = None, size: i
 
 
 def index_problems(folded: DataFrame, index: DataFrame) -> DataFrame:
-    """(gram, row, problem) where a stored index isn't that of the folded texts: missing, extra or repeated."""
-    want = trigrams(folded).withColumn("want", F.lit(True))
-    have = index.groupBy("gram", "row").agg(F.count("*").alias("n"))
-    problem = F.when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("n") > 1, "repeated")
-    return want.join(have, ["gram", "row"], "full_outer").select("gram", "row", problem.alias("problem")).filter("problem is not null")
+    """(gram, row, problem) where a stored index isn't that of the folded texts: missing, extra or repeated.
+
+    Both sides are dealt by row to parts of bounded size and counted there; nothing is counted before, where a task could have any number of pieces.
+    """
+    want = trigrams(folded).withColumn("want", F.lit(1)).withColumn("have", F.lit(0))
+    have = index.select("gram", "row").withColumn("want", F.lit(0)).withColumn("have", F.lit(1))
+    each = want.unionByName(have).repartition(row_parts(folded), "row").groupBy("row", "gram").agg(F.max("want").alias("want"), F.sum("have").alias("n"))
+    problem = F.when(F.col("n") == 0, "missing").when(F.col("want") == 0, "extra").when(F.col("n") > 1, "repeated")
+    return each.select("gram", "row", problem.alias("problem")).filter("problem is not null")

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from quaver.functions.text import audio_route
-from quaver.operators.lookup import trigrams, with_folds
+from quaver.operators.lookup import row_parts, trigrams, with_folds
+
+#: Rows of a file of a release; a file is hashed whole by one task.
+FILE_ROWS = 1_000_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -33,8 +36,8 @@ def asset_pins(spark: SparkSession, path: str) -> DataFrame:
 def write_release(tables: dict[str, DataFrame], path: str, release_id: str) -> str:
     """Stage the tables, prove them, publish with one rename; returns the manifest's digest.
 
-    Tables are written below ``path``.staging and compared row by row with what was asked for. An existing
-    release is never changed.
+    Tables are written below ``path``.staging and compared with what was asked for (``same_rows``). An existing release
+    is never changed.
     """
     spark = next(iter(tables.values())).sparkSession
     fs, target = _fs(spark, path)
@@ -43,7 +46,7 @@ def write_release(tables: dict[str, DataFrame], path: str, release_id: str) -> s
     staging = f"{path}.staging"
     pins: list[dict] = []
     for name, df in sorted(tables.items()):
-        df.write.mode("overwrite").parquet(f"{staging}/{name}")
+        df.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{staging}/{name}")
         if not same_rows(df, spark.read.parquet(f"{staging}/{name}")):
             raise ValueError(f"{name} differs after it was written")
         pins += [r.asDict() for r in asset_pins(spark, f"{staging}/{name}").orderBy("path").collect()]  # one row for each file
@@ -76,13 +79,16 @@ def open_release(spark: SparkSession, path: str, expected_sha256: str) -> dict[s
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows as often, by counts per row hash and then by row."""
+    """Whether two tables hold the same rows as often: by their count and sums of 128 bits of hashes of whole rows, so no task holds rows."""
     if a.schema.simpleString() != b.schema.simpleString():
         return False
-    both = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(-1)))
-    keys = [F.to_json(F.struct(c)) if "array" in t or "struct" in t or "map" in t else F.col(c) for c, t in a.dtypes]
-    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    return not both.select(*named, "__side").groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.sum("__side").alias("d")).filter("d <> 0").limit(1).count()
+
+    def digest(df: DataFrame):
+        row = df.select(F.to_json(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(df.columns)))).alias("row"))
+        sums = (F.sum(F.xxhash64(F.lit(salt), "row").cast("decimal(20,0)")).alias(f"h{salt}") for salt in (1, 2))
+        return row.agg(F.count("*").alias("n"), *sums).first()
+
+    return digest(a) == digest(b)
 
 
 def rows_by_position(tracks: DataFrame, rows: list[int]) -> DataFrame:
@@ -154,8 +160,11 @@ def decode_matrix(files: DataFrame, dimensions: int) -> DataFrame:
 
 
 def write_catalog(tracks: DataFrame, path: str, release_id: str) -> str:
-    """A release of ``tracks`` with folded names, stored once, and ``grams``, their trigram index; returns its digest."""
-    folded = with_folds(tracks)
+    """A release of ``tracks`` with folded names, stored once, and ``grams``, their trigram index; returns its digest.
+
+    Rows are dealt to tasks by count first, as a small file of many rows would be one task's, with all of its grams.
+    """
+    folded = with_folds(tracks.repartition(row_parts(tracks), "row"))
     return write_release({"tracks": folded, "grams": trigrams(folded)}, path, release_id)
 
 

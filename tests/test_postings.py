@@ -7,6 +7,7 @@ from contextlib import redirect_stdout
 import pytest
 
 from quaver.operators import lookup
+from quaver.sources import release
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +51,28 @@ def test_grams_of_long_texts_take_linear_time(spark):
     got = {(r.gram, r.row) for r in lookup.trigrams(spark.createDataFrame(texts, "row long, fold_text string")).collect()}
     assert time.perf_counter() - began < 20
     assert got == {(t[i : i + 3], row) for row, t in texts if t for i in range(len(t) - 2)}
+
+
+def test_a_catalog_in_one_file_becomes_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A small file of many rows is one task's; its grams, their check and their comparison are not."""
+    monkeypatch.setattr(lookup, "PART_ROWS", 100)
+    monkeypatch.setattr(release, "FILE_ROWS", 1500)
+    tracks = spark.range(1000).repartition(1).selectExpr("id as row", "concat('title number ', id) as title", "'a' as artist", "cast(null as string) as album")
+    path = str(tmp_path / "r")
+    own = release.open_release(spark, path, release.write_catalog(tracks, path, "demo"))
+    files = own["grams"].selectExpr("input_file_name() as f").groupBy("f").count().collect()
+    assert len(files) >= 10 and max(f["count"] for f in files) <= 1500
+    assert own["grams"].count() == lookup.trigrams(own["tracks"]).count()
+    broken = own["grams"].filter("row <> 7").unionByName(own["grams"].filter("row = 8")).unionByName(spark.createDataFrame([("zzz", 9)], "gram string, row long"))
+    found = lookup.index_problems(own["tracks"], broken)
+    assert found.rdd.getNumPartitions() == 10
+    grams = {n: {r.gram for r in own["grams"].filter(f"row = {n}").collect()} for n in (7, 8)}
+    want = {(g, 7, "missing") for g in grams[7]} | {(g, 8, "repeated") for g in grams[8]} | {("zzz", 9, "extra")}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_same_rows_sees_nulls_and_places(spark):
+    of = lambda *rows: spark.createDataFrame(rows, "a string, b string")
+    assert release.same_rows(of(("x", None), ("y", "z")), of(("y", "z"), ("x", None)))
+    for other in (of((None, "x"), ("y", "z")), of(("x", None)), of(("x", None), ("y", "z"), ("y", "z")), of(("x", ""), ("y", "z"))):
+        assert not release.same_rows(of(("x", None), ("y", "z")), other)

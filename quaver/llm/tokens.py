@@ -3,7 +3,7 @@
 A text is cut before every white space character that stands alone between two others. The public
 tokenizers here never join a token over such a border, so the ids of a text are those of its units one
 after another. Units repeat a lot, so their ids are kept in a dictionary of bounded size; those that
-are new are encoded together.
+are new are encoded together, as one text of many units, and its ids are dealt to the units by the bytes that tokens stand for.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ import numpy as np
 from tokenizers import Tokenizer
 
 _BORDER = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f]\S)")
-#: Marks that can end a word.
-_MARKS = ",.;:!?#*$%&|"
 #: What Python takes for white space and the tokenizers don't.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -38,6 +36,9 @@ class UnitEncoder:
         self.entries = entries
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        #: Bytes of text that a token stands for: its letters, one a byte, without the end of word that some vocabularies mark.
+        self.widths = np.array([len(names.get(i, "").removesuffix("</w>" if not spaced else "")) for i in range(max(names, default=0) + 1)], np.int64)
 
     def units(self, text: str) -> list[str]:
         words = text.split()
@@ -75,31 +76,38 @@ class UnitEncoder:
                 known[u] = ids
             else:
                 fresh.append(u)
-        pairs = [self._halves(u) for u in fresh]
-        parts = {p for pair in pairs for p in pair}
-        parts = list(parts.difference(known))
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[part] = np.array(e.ids, self.dtype).tobytes()
-        for u, (word, marks) in zip(fresh, pairs):
-            known[u] = known[word] + known[marks]
+        joint = [u for u in fresh if self._plain(u)]
+        for i in range(0, len(joint), 4096):
+            self._learn(joint[i : i + 4096])
+        rest = [u for u in fresh if u not in known]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[u] = np.array(e.ids, self.dtype).tobytes()
         get = known.__getitem__
         return [b"".join(map(get, g)) for g in group]
 
-    def _halves(self, unit: str) -> tuple[str, str]:
-        """A word and the marks that follow it, which are always tokens of their own after a letter.
-
-        A letter that grows a combining mark in lower case isn't one: the mark joins those that follow.
+    def _plain(self, unit: str) -> bool:
+        """Whether a unit can stand among others: one word of Latin-1 letters and marks, which the tokenizers' changes of case
+        and form leave as many bytes as they are, behind one white space if tokens may hold it; no "<", with which special tokens begin.
         """
-        word = unit.rstrip(_MARKS)
-        last = word[-1:].lower()
-        if len(last) == 1 and last.isalpha():
-            marks = unit[len(word) :]
-        else:
-            word, marks = unit, ""
-        # a string that looks like a special token keeps its case
-        return (word.lower() if not self.spaced and word.isascii() and "<" not in word else word), marks
+        word = unit[1:] if self.spaced else unit
+        return word.split() == [word] and (not self.spaced or unit[0] in " \n") and "<" not in unit and (unit.isascii() or max(unit) < "\u0100")
+
+    def _learn(self, units: list[str]) -> None:
+        """Keep the ids of units, encoded as one text. None of them is kept if ids don't end where units do."""
+        text = ("" if self.spaced else " ").join(units)
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        reach = np.cumsum(self.widths[ids])
+        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        at = np.searchsorted(reach, ends, side="right")
+        if not len(reach) or reach[-1] != ends[-1] or (reach[at - 1] != ends).any():
+            return
+        size = self.dtype.itemsize
+        data, known, a = np.array(ids, self.dtype).tobytes(), self.known, 0
+        for u, b in zip(units, (at * size).tolist()):
+            known[u] = data[a:b]
+            a = b
 
 
 @lru_cache(maxsize=2)

@@ -228,6 +228,26 @@ def test_unit_ids_equal_the_tokenizers():
             assert np.frombuffer(ids, "<u4").tolist() == e.ids, text
 
 
+def test_new_units_are_encoded_together():
+    from quaver.llm.tokens import UnitEncoder, is_spaced
+
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("abcdeéüñß.,") for _ in range(9)) for _ in range(3000))
+    for path in (WORDS, BYTES):
+        coder = UnitEncoder(path, "<u4", is_spaced(path))
+        whole, asked = coder.tokenizer, []
+
+        class Counted:
+            def encode_batch_fast(self, texts, **options):
+                asked.append(len(texts))
+                return whole.encode_batch_fast(texts, **options)
+
+        coder.tokenizer = Counted()
+        ids = np.frombuffer(coder.encode([text])[0], "<u4").tolist()
+        assert ids == whole.encode(text, add_special_tokens=False).ids
+        assert sum(asked) <= 3  # not one text for each new word
+
+
 def test_shards(odd):
     df, docs = odd
     rows = sorted(sharding.shard_by_bytes(df, 5).collect(), key=lambda r: r.doc_id)

@@ -1,20 +1,23 @@
-"""Exact Jaccard join on word n-grams by grouped prefixes, for connected components.
+"""Exact Jaccard join on word n-grams by parts of sets, for connected components.
 
-Every text becomes a set of shingle hashes, ordered by how common a shingle is in the corpus (a count
-sketch of fixed size over all documents gives the order; any order is correct, a rare-first one is fast).
-Two sets that reach the threshold share a shingle among the first few of both, their prefixes.
+Every text becomes a set of shingle hashes. Hashing deals the shingles to parts, more than the shingles in which sets
+that reach the threshold can differ, so such sets have equal parts. A part's shingles together are one token, which hardly any text has
+that is no near copy, however often its shingles occur; so tokens stay as rare when the corpus grows. Tokens are
+ordered by how common the rarest of their shingles is in the corpus (a count sketch of fixed size over all
+documents gives the order; any order is correct, a rare-first one is fast), and sets that reach the threshold
+share one among the first few of both, their prefixes.
 
 1. Equal sets are one node; nodes of equal prefix and size are one group.
-2. Only groups are posted under their prefix shingles, as narrow rows (shingle, group, size, position).
-   Group pairs meet at a shingle and pass if sizes and positions still allow the threshold; they are made distinct.
+2. Only groups are posted under their prefix tokens, as narrow rows (token, group, size).
+   Group pairs meet at a token and pass if sizes still allow the threshold; they are made distinct.
 3. Group pairs are expanded to members, whose odd sketches (parities of shingles, with a distance that never
    exceeds that of the sets) are compared once for each pair, and the sets of the rest are compared exactly.
 
 Components need no full list of pairs, and a large group of near copies must not become all its pairs. So
-leaders go first: a few groups of each shingle, those of the least hashes, meet all others there, and each member
+leaders go first: a few groups of each token, those of the least hashes, meet all others there, and each member
 keeps two of the leaders that it may link with. What they join counts as one afterwards. Rounds of leaders follow as long as the pairs that are left
 outnumber the postings by far and each round cuts them down. The last round looks at all group pairs between different
-components, the smaller set through a shorter prefix and within size bands. Nothing is left out: a link
+components, within size bands. Nothing is left out: a link
 between two components is found there, and pairs inside a component can't change it.
 """
 
@@ -33,9 +36,9 @@ from quaver.llm.components import components
 
 #: The count sketch has 2**BITS cells, sent in CHUNKS parts.
 BITS, CHUNKS = 22, 64
-#: Leaders of a shingle in a round.
+#: Leaders of a token in a round.
 LEADERS = 4
-#: Groups that make a shingle a crowded one.
+#: Groups that make a token a crowded one.
 CROWD = 16
 #: 64-bit words of the odd sketch, a power of two.
 SKETCH = 8
@@ -98,6 +101,51 @@ def common_ranks(docs: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def differences(n: int, percent: int) -> int:
+    """In how many shingles a set of ``n`` can differ from one with which it reaches the threshold."""
+    return (100 - percent) * n // percent
+
+
+def _parts(n: int, percent: int) -> int:
+    """Parts of a set of ``n`` shingles, a power of two, so that most of more sizes have as many."""
+    return 1 << ((7 * differences(n, percent) + 20) // 5).bit_length()
+
+
+def prefix_tokens(s: np.ndarray, m: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens under which a set of shingles ``s`` is posted; ``m`` mixes them, ``rank`` is how common they are.
+
+    A pair is looked for among the parts of its larger set's size, so a set has the parts of all sizes up to
+    the largest that it can link with. Both have at most ``differences`` tokens that the other lacks, so of
+    each order the first ones, one more than that, share one. If both sets have fewer tokens they share one of
+    the first shingles.
+    """
+    size, out, few = len(s), [], percent <= 50
+    need = differences(size, percent) + 1
+    parts, last = _parts(size, percent), _parts(100 * size // percent, percent)
+    mixed = mix(m)
+    while percent > 50 and parts <= last:
+        of = (m & np.uint64(parts - 1)).astype(np.int64)
+        sums, low = np.zeros(parts, np.uint64), np.full(parts, 255, np.uint8)
+        np.add.at(sums, of, mixed)
+        np.minimum.at(low, of, rank)
+        held = np.flatnonzero(np.bincount(of, minlength=parts))
+        token = mix(sums[held] + np.uint64(parts))
+        out.append(_first(token, low[held], token, need))
+        few |= len(held) < need
+        parts *= 2
+    if few:
+        # sharing no shingle among the first size - ceil(percent * size) + 1 makes the threshold unreachable
+        out.append(_first(s, rank, m, size - -(-percent * size // 100) + 1))
+    return np.concatenate(out)
+
+
+def _first(values: np.ndarray, rank: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` values by rank, and by ``tie`` among equal ones."""
+    if n >= len(values):
+        return values
+    return values[np.argpartition((rank.astype(np.uint64) << np.uint64(56)) | (tie >> np.uint64(8)), n - 1)[:n]]
+
+
 def _describe(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
@@ -110,14 +158,11 @@ def _describe(k: int, percent: int, shared):
                 m = mix(s)
                 fa.append(_xor(m))
                 fb.append(_sum(m))
-                # sharing no shingle among the first size - ceil(percent * size) + 1 makes the threshold unreachable
-                p = size - -(-percent * size // 100) + 1 if size else 0
-                order = (ranks[_cell(s)].astype(np.uint64) << np.uint64(56)) | (m >> np.uint64(8))
-                front = np.argpartition(order, p - 1)[:p] if p < size else np.arange(size)
-                front = front[np.argsort(order[front])]
-                ga.append(_xor(m[front]))
-                gb.append(_sum(m[front]))
-                prefixes.append(s[front].view(np.int64))
+                prefix = prefix_tokens(s, m, ranks[_cell(s)], percent) if size else s
+                mixed = mix(prefix)
+                ga.append(_xor(mixed))
+                gb.append(_sum(mixed))
+                prefixes.append(prefix.view(np.int64))
                 odd = np.bincount((m & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketch[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             columns = {"doc_id": batch.column("doc_id")}
@@ -164,11 +209,6 @@ def _sizes_meet(percent: int):
     return F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
 
 
-def _positions_meet(percent: int):
-    """Whether a first shared shingle at these positions leaves enough shingles behind it in both sets."""
-    return F.expr(f"{100 + percent} * least(x_n - x_pos, y_n - y_pos) >= {percent} * (x_n + y_n)")
-
-
 _DISTANCE = " + ".join(f"bit_count(x_{s} ^ y_{s})" for s in _SKETCHES)
 #: The sketch folded to half its width, for postings: parities of twice as many shingles each.
 _HALVES = [f"s{j} ^ s{j + SKETCH // 2} as t{j}" for j in range(SKETCH // 2)]
@@ -206,10 +246,10 @@ class _Join:
         self.members = table(named.select("node", "g", "n", *_SKETCHES), "members")
 
     def postings(self) -> DataFrame:
-        """(token, g, n, pos) of the prefix shingles that more than one group has."""
-        all_ = self.groups.select("g", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+        """(token, g, n, c) of the prefix tokens that more than one group has."""
+        all_ = self.groups.select("g", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
         shared = self.scratch.table(all_.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-        return self.scratch.table(all_.join(shared, "token").select("token", "g", "n", "pos", F.col("c").cast("int").alias("c")), "post")
+        return self.scratch.table(all_.join(shared, "token").select("token", "g", "n", F.col("c").cast("int").alias("c")), "post")
 
     def group_components(self, comps: DataFrame) -> DataFrame:
         """(g, comp, mixed) of each group; a group whose members are of different components has a number of its own."""
@@ -221,11 +261,11 @@ class _Join:
 
     def leader_pairs(self, post: DataFrame, of_groups: DataFrame, r: int) -> DataFrame:
         """Candidate (a, b) of nodes: each member with two of the leaders that it meets, those of the least and the greatest hash."""
-        picks = [F.min(F.struct(F.xxhash64(F.lit(r * LEADERS + j), "g").alias("h"), "g", "n", "pos", "comp")).alias(f"l{j}") for j in range(LEADERS)]
-        columns = ["g", "n", "pos", "comp"]
+        picks = [F.min(F.struct(F.xxhash64(F.lit(r * LEADERS + j), "g").alias("h"), "g", "n", "comp")).alias(f"l{j}") for j in range(LEADERS)]
+        columns = ["g", "n", "comp"]
         heads = post.groupBy("token").agg(*picks).select("token", F.explode(F.array(*(F.struct(*(F.col(f"l{j}.{c}") for c in columns)) for j in range(LEADERS)))).alias("l"))
         heads = heads.select("token", *(F.col(f"l.{c}").alias(f"x_{c}") for c in columns))
-        met = heads.join(_sided(post, "y", "token"), [heads.token == post.token, F.col("x_comp") != F.col("y_comp"), _sizes_meet(self.percent), _positions_meet(self.percent)])
+        met = heads.join(_sided(post, "y", "token"), [heads.token == post.token, F.col("x_comp") != F.col("y_comp"), _sizes_meet(self.percent)])
         own = of_groups.filter("mixed").select(F.col("g").alias("x_g"), F.col("g").alias("y_g"))
         pairs = self.scratch.table(met.select("x_g", "y_g").distinct().unionByName(own), f"groups-{r}")
         # a leader is one member of its group
@@ -238,9 +278,9 @@ class _Join:
         return two.select(F.explode(F.array_distinct(F.array("lo.a", "hi.a"))).alias("a"), F.col("y_node").alias("b"))
 
     def all_pairs(self, post: DataFrame, of_groups: DataFrame) -> DataFrame:
-        """Candidate (a, b) of nodes of different components: all that groups, sizes, positions and sketches allow.
+        """Candidate (a, b) of nodes of different components: all that tokens, sizes and sketches allow.
 
-        At a crowded shingle, groups of one member also bring their sketches, so that pairs that can't link aren't made there.
+        At a crowded token, groups of one member also bring their sketches, so that pairs that can't link aren't made there.
         """
         lone = self.members.groupBy("g").agg(F.count("*").alias("m"), *(F.first(s).alias(s) for s in _SKETCHES)).filter("m = 1").selectExpr("g", *_HALVES)
         crowded = post.filter(F.col("c") > CROWD).join(lone, "g", "left")
@@ -249,30 +289,16 @@ class _Join:
         # a little wider than the ratio of sizes, so that rounding can't move a pair over two borders
         band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / self.percent) * 1.0001)).cast("int") if self.percent < 100 else F.col("n")
         y = _sided(post.withColumn("band", band), "y", "token", "band")
-        enough = F.expr(f"n - (2 * {self.percent} * n + {99 + self.percent}) div {100 + self.percent}")
-        x = post.filter(F.col("pos") <= enough).withColumn("band", F.explode(F.array(band, band + 1)))
+        x = post.withColumn("band", F.explode(F.array(band, band + 1)))
         x = _sided(x, "x", "token", "band")
         order = F.expr("x_n < y_n or x_n = y_n and x_g < y_g") & (F.col("x_comp") != F.col("y_comp"))
-        met = x.join(y, [x.token == y.token, x.band == y.band, order, _sizes_meet(self.percent), _positions_meet(self.percent), F.coalesce(_sketches_meet(self.percent, _HALF_DISTANCE), F.lit(True))])
+        met = x.join(y, [x.token == y.token, x.band == y.band, order, _sizes_meet(self.percent), F.coalesce(_sketches_meet(self.percent, _HALF_DISTANCE), F.lit(True))])
         own = of_groups.filter("mixed").select(F.col("g").alias("x_g"), F.col("g").alias("y_g"))
         pairs = self.scratch.table(met.select("x_g", "y_g").distinct().unionByName(own), "groups-all")
         left = pairs.join(_sided(self.known, "x"), "x_g").withColumnRenamed("y_g", "with_g")
         once = F.expr("x_g <> y_g or x_node < y_node")
         both = left.join(_sided(self.known, "y"), [F.col("with_g") == F.col("y_g"), once, F.col("x_comp") != F.col("y_comp"), _sketches_meet(self.percent)])
-        return self.prefixes_meet(both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_g", "x_n", "y_g", "y_n"))
-
-    def prefixes_meet(self, pairs: DataFrame) -> DataFrame:
-        """Candidates whose prefixes share enough: what is behind the prefix that ends first adds no more than its set's rest.
-
-        Halves of the hashes do: shingles that look alike only add to what seems shared, or are added as repeats of one front.
-        """
-        pairs = self.scratch.table(pairs, "met")
-        of = self.scratch.table(pairs.select(F.col("x_g").alias("g")).unionByName(pairs.select(F.col("y_g").alias("g"))).distinct(), "met-groups")
-        fronts = self.groups.join(small(of, 200_000), "g").select("g", F.expr("transform(prefix, x -> cast((x & 4294967295) - 2147483648 as int))").alias("front"))
-        fronts = self.scratch.table(fronts, "fronts")
-        both = pairs.join(fronts.withColumnsRenamed({"g": "x_g", "front": "x_front"}), "x_g").join(fronts.withColumnsRenamed({"g": "y_g", "front": "y_front"}), "y_g")
-        behind = "greatest(x_n - size(x_front), y_n - size(y_front))"
-        return both.filter(f"{100 + self.percent} * (size(array_intersect(x_front, y_front)) + size(x_front) - size(array_distinct(x_front)) + {behind}) >= {self.percent} * (x_n + y_n)").select("a", "b")
+        return both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
     def sets(self, pairs: DataFrame, name: str) -> DataFrame:
         """(node, set) of all nodes of ``pairs``, which is written."""
@@ -296,14 +322,16 @@ class _Join:
         of_groups = self.scratch.table(self.group_components(comps), f"of-groups-{name}")
         # written, since two tables are made of it
         of = self.scratch.table(post.drop("comp", "c").join(small(of_groups.select("g", "comp"), 200_000), "g"), f"labelled-{name}")
-        # a shingle whose holders are one component has nothing more to tell
+        # a token whose holders are one component has nothing more to tell
         each = of.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
         each = each.agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside")).filter("comps > 1")
         open_ = self.scratch.table(each.select("token", "c", (F.col("c") * F.col("c") - F.col("inside")).alias("pairs")), f"tokens-{name}")
-        post = self.scratch.table(of.join(open_.select("token", F.col("c").cast("int").alias("c")), "token").select("token", "g", "n", "pos", "c", "comp"), f"open-{name}")
+        post = self.scratch.table(of.join(open_.select("token", F.col("c").cast("int").alias("c")), "token").select("token", "g", "n", "c", "comp"), f"open-{name}")
         sums = open_.agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
         self.drop(f"tokens-{name}", f"labelled-{name}", "shared", "post", f"open-{int(name) - 1}", "of-groups", f"of-groups-{int(name) - 1}")
-        self.known = self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # written, since a round reads it several times
+        self.known = self.scratch.table(self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"known-{name}")
+        self.drop(f"known-{int(name) - 1}")
         return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
 
     def first_look(self) -> tuple[DataFrame, DataFrame, int, int]:
@@ -322,7 +350,7 @@ class _Join:
             found = found.unionByName(comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
         out = components(found, self.scratch, f"components-{name}")
         # the components are written, so nothing reads what led to them any more
-        self.drop(*(f"{t}-{name}" for t in ("pairs", "ends", "sets", "links", "groups")), "sketched", "met", "met-groups", "fronts")
+        self.drop(*(f"{t}-{name}" for t in ("pairs", "ends", "sets", "links", "groups")), "sketched")
         return out
 
     def drop(self, *names: str) -> None:
@@ -339,7 +367,7 @@ class _Join:
     def components(self) -> DataFrame:
         """(node, comp) of the nodes with links.
 
-        Leaders have another round while the pairs left, of groups that share shingles or inside of groups, are many for
+        Leaders have another round while the pairs left, of groups that share tokens or inside of groups, are many for
         their rows and the last round has cut them by three tenths.
         """
         (post, of_groups, *between), comps, r = self.first_look(), None, 0
@@ -382,11 +410,13 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_
     in every pass.
     """
     at, as_ = free_names(docs, "place", "key")
-    placed = Scratch(docs.sparkSession, "kept").table(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
+    scratch = Scratch(docs.sparkSession, "kept")
+    placed = scratch.table(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
     keyed = placed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(at).alias("place")).alias(as_), text_col)
     comps = jaccard_components(keyed, k, percent, as_, text_col)
-    best = comps.filter("doc_id.place = component_id.place").select(F.col("doc_id.place").alias(at))
-    return placed.join(best, at, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # those that go are few, so whole rows mostly needn't be shuffled
+    gone = scratch.table(comps.filter("doc_id.place <> component_id.place").select(F.col("doc_id.place").alias(at)), "gone")
+    return placed.join(small(gone, 500_000), at, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

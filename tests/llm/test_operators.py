@@ -248,6 +248,32 @@ def test_new_units_are_encoded_together():
         assert sum(asked) <= 3  # not one text for each new word
 
 
+@pytest.mark.parametrize("percent", [30, 51, 80, 90, 100])
+def test_linked_sets_share_a_prefix_token(percent):
+    from quaver.llm.common import mix
+
+    r = np.random.default_rng(percent)
+    for n in [*range(1, 60), *range(60, 700, 20)]:
+        pool = mix(r.integers(0, 2**62, 4 * n).astype(np.uint64))
+        far = ngram_join.differences(n, percent)
+        for lost in {0, far // 2, min(far, n - 1)}:
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[lost:n], pool[n : n + min(far - lost, 3 * n)]]))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                tokens = [ngram_join.prefix_tokens(s, mix(s), (s >> np.uint64(60)).astype(np.uint8), percent) for s in (a, b)]
+                assert len(np.intersect1d(*tokens)), (n, lost)
+
+
+def test_texts_of_common_shingles_share_few_tokens(spark):
+    """Texts of a small vocabulary meet at every shingle, but not at whole parts of sets."""
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice("abcdefghijklmnopqrst") for _ in range(250))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert ngram_join._Join(df, "bigint", 3, 90).postings().count() < 1_000
+    rows = ngram_join.jaccard_components(df).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.components(docs)
+
+
 def test_shards(odd):
     df, docs = odd
     rows = sorted(sharding.shard_by_bytes(df, 5).collect(), key=lambda r: r.doc_id)

@@ -251,11 +251,9 @@ class _Join:
         shared = self.scratch.table(all_.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
         return self.scratch.table(all_.join(shared, "token").select("token", "g", "n", F.col("c").cast("int").alias("c")), "post")
 
-    def group_components(self, comps: DataFrame) -> DataFrame:
+    def group_components(self) -> DataFrame:
         """(g, comp, mixed) of each group; a group whose members are of different components has a number of its own."""
-        of = self.members.select("node", "g").join(small(comps, 200_000), "node", "left")
-        own = F.coalesce("comp", "node")
-        each = of.groupBy("g").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+        each = self.known.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         mixed = F.col("lo") < F.col("hi")
         return each.select("g", F.when(mixed, -1 - F.col("g")).otherwise(F.col("lo")).alias("comp"), mixed.alias("mixed"))
 
@@ -319,7 +317,10 @@ class _Join:
 
     def look(self, comps: DataFrame, post: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int, int]:
         """Open postings with components, groups, and how many pairs and postings are open."""
-        of_groups = self.scratch.table(self.group_components(comps), f"of-groups-{name}")
+        # written, since a round reads it several times
+        self.known = self.scratch.table(self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"known-{name}")
+        self.drop(f"known-{int(name) - 1}")
+        of_groups = self.scratch.table(self.group_components(), f"of-groups-{name}")
         # written, since two tables are made of it
         of = self.scratch.table(post.drop("comp", "c").join(small(of_groups.select("g", "comp"), 200_000), "g"), f"labelled-{name}")
         # a token whose holders are one component has nothing more to tell
@@ -329,9 +330,6 @@ class _Join:
         post = self.scratch.table(of.join(open_.select("token", F.col("c").cast("int").alias("c")), "token").select("token", "g", "n", "c", "comp"), f"open-{name}")
         sums = open_.agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
         self.drop(f"tokens-{name}", f"labelled-{name}", "shared", "post", f"open-{int(name) - 1}", "of-groups", f"of-groups-{int(name) - 1}")
-        # written, since a round reads it several times
-        self.known = self.scratch.table(self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"known-{name}")
-        self.drop(f"known-{int(name) - 1}")
         return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
 
     def first_look(self) -> tuple[DataFrame, DataFrame, int, int]:

@@ -7,8 +7,10 @@ ordered by how common the rarest of their shingles is in the corpus (a count ske
 documents gives the order; any order is correct, a rare-first one is fast), and sets that reach the threshold
 share one among the first few of both, their prefixes.
 
-1. Equal sets are one node; nodes of equal prefix and size are one group.
-2. Only groups are posted under their prefix tokens, as narrow rows (token, group, size).
+1. Equal sets are one node; nodes of equal prefix and size are one group, whose number is a hash of both. If a number
+   stood for two groups, they would be one with more members, whose pairs are compared like any others.
+2. Only groups are posted under their prefix tokens, as narrow rows (token, group, size), once for each task that
+   finds one. They are shuffled once, and sorted runs of one group are dropped on the way.
    Group pairs meet at a token and pass if sizes still allow the threshold; they are made distinct.
 3. Group pairs are expanded to members, whose odd sketches (parities of shingles, with a distance that never
    exceeds that of the sets) are compared once for each pair, and the sets of the rest are compared exactly.
@@ -147,10 +149,12 @@ def _first(values: np.ndarray, rank: np.ndarray, tie: np.ndarray, n: int) -> np.
 
 
 def _describe(k: int, percent: int, shared):
+    """What is kept of each text; a task gives the prefix of a group once, and null for its other texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
+        ranks, seen = shared.value, set()
         for batch in batches:
-            n, fa, fb, ga, gb, prefixes = [], [], [], [], [], []
+            n, fa, fb, g, prefixes = [], [], [], [], []
             sketch = np.zeros((batch.num_rows, SKETCH), np.int64)
             for i, s in enumerate(shingle_sets(batch.column("text"), k)):
                 size = len(s)
@@ -160,13 +164,14 @@ def _describe(k: int, percent: int, shared):
                 fb.append(_sum(m))
                 prefix = prefix_tokens(s, m, ranks[_cell(s)], percent) if size else s
                 mixed = mix(prefix)
-                ga.append(_xor(mixed))
-                gb.append(_sum(mixed))
-                prefixes.append(prefix.view(np.int64))
+                shape = size, _xor(mixed), _sum(mixed)
+                g.append(_number(*shape))
+                prefixes.append(None if shape in seen or not size else prefix.view(np.int64))
+                seen.add(shape)
                 odd = np.bincount((m & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketch[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             columns = {"doc_id": batch.column("doc_id")}
-            columns |= {c: pa.array(v, pa.int64()) for c, v in zip(("n", "fa", "fb", "ga", "gb"), (n, fa, fb, ga, gb))}
+            columns |= {c: pa.array(v, pa.int64()) for c, v in zip(("n", "fa", "fb", "g"), (n, fa, fb, g))}
             columns["prefix"] = pa.array(prefixes, pa.list_(pa.int64()))
             columns |= {f"s{j}": pa.array(sketch[:, j]) for j in range(SKETCH)}
             yield pa.RecordBatch.from_pydict(columns)
@@ -182,6 +187,36 @@ def _sum(m: np.ndarray) -> int:
     return int(m.sum(dtype=np.uint64).astype(np.int64))
 
 
+def _number(*values: int) -> int:
+    """A hash of 63 bits."""
+    h = np.zeros(1, np.uint64)
+    for v in values:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.array([v], np.int64).view(np.uint64))
+    return int(h[0] >> np.uint64(1))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different rows (token, g, n) of tokens that have more than one, of rows in order."""
+    columns = ("token", "g", "n")
+    held, out = None, False  # the last row, and whether it was given out
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if held is not None:
+            rows = [np.concatenate(pair) for pair in zip(held, rows)]
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = np.any([r[1:] != r[:-1] for r in rows], axis=0)
+        rows = [r[new] for r in rows]
+        if not len(rows[0]):
+            continue
+        same = rows[0][1:] == rows[0][:-1]
+        met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        last = bool(met[-1]) if len(met) > 1 else out
+        met[0] &= not out
+        held, out = [r[-1:] for r in rows], last
+        if met.any():
+            yield pa.RecordBatch.from_pydict({c: pa.array(r[met]) for c, r in zip(columns, rows)})
+
+
 def _full_sets(k: int, limit: int = 1 << 20):
     """(n, fa, fb, set) of each text, in batches of about ``limit`` shingles."""
 
@@ -233,23 +268,26 @@ class _Join:
         self.source, self.k, self.percent, self.scratch = source, k, percent, Scratch(spark, "jaccard")
         table = self.scratch.table
         shared = spark.sparkContext.broadcast(common_ranks(source, k))
-        schema = f"doc_id {kind}, n long, fa long, fb long, ga long, gb long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES)
-        self.described = table(source.mapInArrow(_describe(k, percent, shared), schema), "described")
+        schema = f"doc_id {kind}, n long, fa long, fb long, g long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCHES)
+        whole = table(source.mapInArrow(_describe(k, percent, shared), schema), "whole")
+        self.described = table(whole.select("doc_id", *_SET), "described")
 
-        # equal sets are one node; node and group numbers are written once, so they never change
-        first = [F.first(c).alias(c) for c in ("ga", "gb", *_SKETCHES)]
-        equal = self.described.filter("n > 0").groupBy(*_SET).agg(F.min("doc_id").alias("low"), *first)
+        # equal sets are one node; node numbers are written once, so they never change
+        first = [F.first(c).alias(c) for c in ("g", *_SKETCHES)]
+        equal = whole.filter("n > 0").groupBy(*_SET).agg(F.min("doc_id").alias("low"), *first)
         self.nodes = table(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        shapes = self.described.filter("n > 0").groupBy("n", "ga", "gb").agg(F.first("prefix").alias("prefix"))
-        self.groups = table(shapes.withColumn("g", F.monotonically_increasing_id()), "groups")
-        named = self.nodes.select("node", "n", "ga", "gb", *_SKETCHES).join(self.groups.select("n", "ga", "gb", "g"), ["n", "ga", "gb"])
-        self.members = table(named.select("node", "g", "n", *_SKETCHES), "members")
+        self.members = self.nodes.select("node", "g", "n", *_SKETCHES)
 
     def postings(self) -> DataFrame:
         """(token, g, n, c) of the prefix tokens that more than one group has."""
-        all_ = self.groups.select("g", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-        shared = self.scratch.table(all_.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-        return self.scratch.table(all_.join(shared, "token").select("token", "g", "n", F.col("c").cast("int").alias("c")), "post")
+        each = self.scratch.read("whole").select(F.explode("prefix").alias("token"), "g", F.col("n").cast("int").alias("n"))
+        dealt = each.repartition("token").sortWithinPartitions("token", "g", "n")
+        met = self.scratch.table(dealt.mapInArrow(_met, "token long, g long, n int"), "met")
+        self.drop("whole")
+        shared = self.scratch.table(met.groupBy("token").agg(F.count("*").cast("int").alias("c")), "shared")
+        post = self.scratch.table(met.join(shared, "token").select("token", "g", "n", "c"), "post")
+        self.drop("met")
+        return post
 
     def group_components(self) -> DataFrame:
         """(g, comp, mixed) of each group; a group whose members are of different components has a number of its own."""
@@ -335,7 +373,7 @@ class _Join:
     def first_look(self) -> tuple[DataFrame, DataFrame, int, int]:
         """The same before anything is joined: every node is a component, every group has a number of its own."""
         post = self.postings().withColumn("comp", -1 - F.col("g"))
-        sums = self.scratch.read("shared").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"), F.sum("c").alias("rows")).first()
+        sums = self.scratch.read("shared").agg(F.sum(F.col("c").cast("long") * (F.col("c") - 1)).alias("pairs"), F.sum("c").alias("rows")).first()
         of_groups = self.scratch.table(self.members.groupBy("g").agg(F.count("*").alias("m")).select("g", (F.col("m") > 1).alias("mixed")), "of-groups")
         self.known = self.members.withColumn("comp", F.col("node"))
         return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
@@ -404,15 +442,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 def keep_one(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every component, that of the least id (of equal ids, the first row; null ids come last); all columns stay.
 
-    Rows without words all stay. The rows are written once with their places, so that a place names the same row
-    in every pass.
+    Rows without words all stay. Where ids repeat or are null, the rows are written once with their places, so that a place names the same row
+    in every pass; else the ids do, and no copy is made.
     """
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("c"))
+    if not ids.filter("c > 1 or id is null").limit(1).count():
+        comps = jaccard_components(docs, k, percent, id_col, text_col)
+        gone = Scratch(docs.sparkSession, "kept").table(comps.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "gone")
+        # those that go are few, so whole rows mostly needn't be shuffled
+        return docs.join(small(gone, 500_000), id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     at, as_ = free_names(docs, "place", "key")
     scratch = Scratch(docs.sparkSession, "kept")
     placed = scratch.table(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
     keyed = placed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(at).alias("place")).alias(as_), text_col)
     comps = jaccard_components(keyed, k, percent, as_, text_col)
-    # those that go are few, so whole rows mostly needn't be shuffled
     gone = scratch.table(comps.filter("doc_id.place <> component_id.place").select(F.col("doc_id.place").alias(at)), "gone")
     return placed.join(small(gone, 500_000), at, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 

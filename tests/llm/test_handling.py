@@ -72,3 +72,26 @@ def test_near_copies_in_one_group(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, 5, 80).collect()}
     assert got == brute.components(docs, 5, 80)
+
+
+def test_unique_ids_need_no_copy(spark, monkeypatch):
+    """Rows that ids name are not written again, and a token's groups are met in one pass over sorted rows."""
+    written = []
+    table = ngram_join.Scratch.table
+    monkeypatch.setattr(ngram_join.Scratch, "table", lambda self, df, name: (written.append(name), table(self, df, name))[1])
+    docs = [(i, words(i // 2, 40)) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in ngram_join.keep_one(df).collect()} == set(range(0, 20, 2))
+    assert "placed" not in written and "groups" not in written
+
+
+def test_met_rows_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    rows = sorted((r.randrange(30), r.randrange(4), 7) for _ in range(60))
+    want = sorted({x for x in rows if len({y for y in rows if y[0] == x[0]}) > 1})
+    for size in (1, 2, 3, 7, 60):
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows[i : i + size])], ["token", "g", "n"]) for i in range(0, 60, size)]
+        assert [tuple(x.values()) for b in ngram_join._met(iter(batches)) for x in b.to_pylist()] == want

@@ -4,6 +4,7 @@ A text is cut before every white space character that stands alone between two o
 tokenizers here never join a token over such a border, so the ids of a text are those of its units one
 after another. Units repeat a lot, so their ids are kept in a dictionary of bounded size; those that
 are new are encoded together, as one text of many units, and its ids are dealt to the units by the bytes that tokens stand for.
+A new unit of a word and marks behind it takes the ids of both, where the tokenizer sets marks apart from letters.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ _BORDER = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f]\S)")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Marks that may stand behind a word, whose last letter is Latin-1: changes of case can end others in a mark.
+_MARKS = ".,;:!?$%&#"
+
+
 class UnitEncoder:
     """Encodes texts to little-endian id bytes, equal to the tokenizer's own encoding of each whole text.
 
@@ -38,6 +43,11 @@ class UnitEncoder:
         self.old: dict[str, bytes] = {}
         names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         #: Bytes of text that a token stands for: its letters, one a byte, without the end of word that some vocabularies mark.
+        # one word of Latin-1 letters and marks, behind one white space if tokens may hold it; no "<", with which special tokens begin
+        self._plain = re.compile(r"%s[!-;=-~\xa1-\xac\xae-\xff]+" % ("[ \n]" if spaced else "")).fullmatch
+        #: A unit behind which marks are encoded, for their ids.
+        self.letter = " a" if spaced else "a"
+        self.marks_apart = self._marks_apart()
         self.widths = np.array([len(names.get(i, "").removesuffix("</w>" if not spaced else "")) for i in range(max(names, default=0) + 1)], np.int64)
 
     def units(self, text: str) -> list[str]:
@@ -70,12 +80,21 @@ class UnitEncoder:
         if len(self.known) > self.entries:  # bounded: units that aren't used again go after a while
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        fresh = []
+        fresh, marked = set(), []
+        apart, latest, letter = self.marks_apart, old.get, self.letter
         for u in wanted.difference(known):
-            if (ids := old.get(u)) is not None:
+            if (ids := latest(u)) is not None:
+                known[u] = ids
+            elif apart and len(word := u.rstrip(_MARKS)) < len(u) and word[-1:].isalpha() and word[-1] < "\u0100" and word != letter:
+                marked.append((u, word, letter + u[len(word) :]))
+            else:
+                fresh.add(u)
+        parts = {part for _, *both in marked for part in both}
+        for u in (parts | {letter} if parts else parts).difference(known):
+            if (ids := latest(u)) is not None:
                 known[u] = ids
             else:
-                fresh.append(u)
+                fresh.add(u)
         joint = [u for u in fresh if self._plain(u)]
         for i in range(0, len(joint), 4096):
             self._learn(joint[i : i + 4096])
@@ -84,27 +103,36 @@ class UnitEncoder:
             some = rest[i : i + 4096]
             for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 known[u] = np.array(e.ids, self.dtype).tobytes()
+        if marked:
+            begin = len(known[letter])
+            for u, word, marks in marked:
+                known[u] = known[word] + known[marks][begin:]
         get = known.__getitem__
         return [b"".join(map(get, g)) for g in group]
 
-    def _plain(self, unit: str) -> bool:
-        """Whether a unit can stand among others: one word of Latin-1 letters and marks, which the tokenizers' changes of case
-        and form leave as many bytes as they are, behind one white space if tokens may hold it; no "<", with which special tokens begin.
-        """
-        word = unit[1:] if self.spaced else unit
-        return word.split() == [word] and (not self.spaced or unit[0] in " \n") and "<" not in unit and (unit.isascii() or max(unit) < "\u0100")
+    def _marks_apart(self) -> bool:
+        """Whether marks have the same ids behind other words as behind a letter, and no added token holds one."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if any(c in t.content for t in self.tokenizer.get_added_tokens_decoder().values() for c in _MARKS):
+            return False
+        tails = [*_MARKS, *(a + b for a in _MARKS for b in _MARKS), "...", "$$$", "%%%", "&&&", "###", "?!.,"]
+        begin = len(ids(self.letter))
+        return all(ids(w + t) == ids(w) + ids(self.letter + t)[begin:] for w in ("b", " ab", "É", " it's") for t in tails)
 
     def _learn(self, units: list[str]) -> None:
-        """Keep the ids of units, encoded as one text. None of them is kept if ids don't end where units do."""
+        """Keep the ids of plain units, encoded as one text. None of them is kept if ids don't end where units do."""
         text = ("" if self.spaced else " ").join(units)
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
         reach = np.cumsum(self.widths[ids])
-        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        gaps = np.flatnonzero((raw == 32) | (raw == 10))
+        # a gap is a unit's own first byte, or belongs to none
+        ends = np.append(gaps[1:], len(raw)) if self.spaced else np.append(gaps, len(raw)) - np.arange(len(units))
         at = np.searchsorted(reach, ends, side="right")
         if not len(reach) or reach[-1] != ends[-1] or (reach[at - 1] != ends).any():
             return
         size = self.dtype.itemsize
-        data, known, a = np.array(ids, self.dtype).tobytes(), self.known, 0
+        data, known, a = ids.tobytes(), self.known, 0
         for u, b in zip(units, (at * size).tolist()):
             known[u] = data[a:b]
             a = b

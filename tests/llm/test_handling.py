@@ -95,3 +95,27 @@ def test_met_rows_over_batches():
     for size in (1, 2, 3, 7, 60):
         batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows[i : i + size])], ["token", "g", "n"]) for i in range(0, 60, size)]
         assert [tuple(x.values()) for b in ngram_join._met(iter(batches)) for x in b.to_pylist()] == want
+
+
+def test_words_with_marks_take_known_ids():
+    import numpy as np
+    import public_tokenizers
+
+    from quaver.llm.tokens import UnitEncoder, is_spaced
+
+    r = random.Random(6)
+    own = ["".join(r.choice("abcdeéü") for _ in range(9)) for _ in range(500)]
+    text = "x " + " ".join(w + m for m in ("", ".", "$$$", "?!", "9,", "';") for w in own)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        coder = UnitEncoder(path, "<u4", is_spaced(path))
+        whole, asked = coder.tokenizer, []
+
+        class Counted:
+            def encode_batch_fast(self, texts, **options):
+                asked.append(sum(map(len, texts)))
+                return whole.encode_batch_fast(texts, **options)
+
+        coder.tokenizer = Counted()
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert sum(asked) < 0.6 * len(text)  # "w", "w9," and "w';" of six forms of each word

@@ -8,13 +8,17 @@ import numpy as np
 def suffix_array(seq: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array by prefix doubling, and the rank of each position's first ``seed`` symbols (a power of two)."""
     n = len(seq)
-    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
+    dense = n and 0 <= seq.min() and seq.max() < n
+    rank = seq.astype(np.int64) if dense and seed > 1 else np.unique(seq, return_inverse=True)[1].astype(np.int64)
     seeds = rank if seed == 1 else None
     h = 1
+    base = int(rank.max(initial=0)) + 2
+    if seed > 2 and base**4 < 1 << 62:  # two symbols are one number, so the first sort tells four of them apart
+        rank, h = rank * base + np.append(rank[1:] + 1, np.zeros(min(n, 1), np.int64)), 2
     while True:
         second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] + 1 if h < n else 0
-        key = rank * (n + 1) + second
+        second[: max(n - h, 0)] = rank[h:] + 1
+        key = rank * (int(rank.max(initial=0)) + 2) + second
         order = np.argsort(key)
         sorted_key = key[order]
         new = np.empty(n, np.int64)

@@ -226,7 +226,7 @@ def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column("repeats")
-            for i, j, _, first, (raw, w_start, w_end) in word_blocks(batch.column("text")):
+            for i, j, _, first, (raw, w_start, w_end) in word_blocks(batch.column("text"), hashed=False):
                 counts = np.diff(first)
                 keep = np.ones(len(w_start), bool)
                 spans: list[list[dict]] = [[] for _ in range(i, j)]

@@ -119,3 +119,20 @@ def test_words_with_marks_take_known_ids():
         coder.tokenizer = Counted()
         assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
         assert sum(asked) < 0.6 * len(text)  # "w", "w9," and "w';" of six forms of each word
+
+
+def test_suffix_array():
+    import numpy as np
+
+    from quaver.llm.fm_index import suffix_array
+
+    r = random.Random(7)
+    for n in (0, 1, 2, 3, 5, 8, 40, 200):
+        for most in (1, 3, n, 100_000):
+            seq = [r.randint(0, most) for _ in range(n)]
+            want = sorted(range(n), key=lambda i: seq[i:])
+            for seed in (1, 2, 4, 8, 16):
+                order, rank = suffix_array(np.array(seq, np.int64), seed)
+                assert order.tolist() == want
+                heads = [seq[i : i + seed] for i in range(n)]
+                assert [rank[i] <= rank[j] for i in range(0, n, 7) for j in range(n)] == [heads[i] <= heads[j] for i in range(0, n, 7) for j in range(n)]

@@ -16,9 +16,10 @@ share one among the first few of both, their prefixes.
    exceeds that of the sets) are compared once for each pair, and the sets of the rest are compared exactly.
 
 Components need no full list of pairs, and a large group of near copies must not become all its pairs. So
-leaders go first: a few groups of each token, those of the least hashes, meet all others there, and each member
-keeps two of the leaders that it may link with. What they join counts as one afterwards. Rounds of leaders follow as long as the pairs that are left
-outnumber the postings by far and each round cuts them down. The last round looks at all group pairs between different
+leaders go first: a few groups of each crowded token, those of the least hashes, meet all others there, and each member
+keeps two of the leaders that it may link with, the nearest by sketch and one more. What they join counts as one afterwards. Rounds of leaders
+follow as long as the pairs that are left at crowded tokens outnumber the postings there by far and each round cuts them
+down; other tokens have a bounded number of pairs for each posting. The last round looks at all group pairs between different
 components, within size bands. Nothing is left out: a link
 between two components is found there, and pairs inside a component can't change it.
 """
@@ -38,8 +39,8 @@ from quaver.llm.components import components
 
 #: The count sketch has 2**BITS cells, sent in CHUNKS parts.
 BITS, CHUNKS = 22, 64
-#: Leaders of a token in a round.
-LEADERS = 4
+#: Leaders of a crowded token in a round.
+LEADERS = 12
 #: Groups that make a token a crowded one.
 CROWD = 16
 #: 64-bit words of the odd sketch, a power of two.
@@ -296,7 +297,7 @@ class _Join:
         return each.select("g", F.when(mixed, -1 - F.col("g")).otherwise(F.col("lo")).alias("comp"), mixed.alias("mixed"))
 
     def leader_pairs(self, post: DataFrame, of_groups: DataFrame, r: int) -> DataFrame:
-        """Candidate (a, b) of nodes: each member with two of the leaders that it meets, those of the least and the greatest hash."""
+        """Candidate (a, b) of nodes: each member with two of the leaders that it meets, the nearest one and that of the greatest hash."""
         picks = [F.min(F.struct(F.xxhash64(F.lit(r * LEADERS + j), "g").alias("h"), "g", "n", "comp")).alias(f"l{j}") for j in range(LEADERS)]
         columns = ["g", "n", "comp"]
         heads = post.groupBy("token").agg(*picks).select("token", F.explode(F.array(*(F.struct(*(F.col(f"l{j}.{c}") for c in columns)) for j in range(LEADERS)))).alias("l"))
@@ -310,7 +311,8 @@ class _Join:
         left = pairs.join(_sided(one, "x"), "x_g").withColumnRenamed("y_g", "with_g")
         both = left.join(_sided(self.known, "y"), [F.col("with_g") == F.col("y_g"), F.col("x_comp") != F.col("y_comp"), _sketches_meet(self.percent)])
         by = F.struct(F.xxhash64(F.lit(r), "x_node").alias("h"), F.col("x_node").alias("a"))
-        two = both.groupBy("y_node").agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
+        near = F.struct(F.expr(f"({_DISTANCE}) / (x_n + y_n)").alias("d"), *(by.getField(c).alias(c) for c in ("h", "a")))
+        two = both.groupBy("y_node").agg(F.min(near).alias("lo"), F.max(by).alias("hi"))
         return two.select(F.explode(F.array_distinct(F.array("lo.a", "hi.a"))).alias("a"), F.col("y_node").alias("b"))
 
     def all_pairs(self, post: DataFrame, of_groups: DataFrame) -> DataFrame:
@@ -354,7 +356,7 @@ class _Join:
         return self.scratch.table(shared.filter(f"100 * i >= {self.percent} * (u - i)").select("a", "b"), f"links-{name}")
 
     def look(self, comps: DataFrame, post: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int, int]:
-        """Open postings with components, groups, and how many pairs and postings are open."""
+        """Open postings with components, groups, and how many pairs and postings are open at crowded tokens."""
         # written, since a round reads it several times
         self.known = self.scratch.table(self.members.join(small(comps, 200_000), "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"known-{name}")
         self.drop(f"known-{int(name) - 1}")
@@ -366,14 +368,14 @@ class _Join:
         each = each.agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside")).filter("comps > 1")
         open_ = self.scratch.table(each.select("token", "c", (F.col("c") * F.col("c") - F.col("inside")).alias("pairs")), f"tokens-{name}")
         post = self.scratch.table(of.join(open_.select("token", F.col("c").cast("int").alias("c")), "token").select("token", "g", "n", "c", "comp"), f"open-{name}")
-        sums = open_.agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
+        sums = open_.filter(F.col("c") > CROWD).agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
         self.drop(f"tokens-{name}", f"labelled-{name}", "shared", "post", f"open-{int(name) - 1}", "of-groups", f"of-groups-{int(name) - 1}")
         return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
 
     def first_look(self) -> tuple[DataFrame, DataFrame, int, int]:
         """The same before anything is joined: every node is a component, every group has a number of its own."""
         post = self.postings().withColumn("comp", -1 - F.col("g"))
-        sums = self.scratch.read("shared").agg(F.sum(F.col("c").cast("long") * (F.col("c") - 1)).alias("pairs"), F.sum("c").alias("rows")).first()
+        sums = self.scratch.read("shared").filter(F.col("c") > CROWD).agg(F.sum(F.col("c").cast("long") * (F.col("c") - 1)).alias("pairs"), F.sum("c").alias("rows")).first()
         of_groups = self.scratch.table(self.members.groupBy("g").agg(F.count("*").alias("m")).select("g", (F.col("m") > 1).alias("mixed")), "of-groups")
         self.known = self.members.withColumn("comp", F.col("node"))
         return post, of_groups, sums["pairs"] or 0, sums["rows"] or 0
@@ -403,16 +405,16 @@ class _Join:
     def components(self) -> DataFrame:
         """(node, comp) of the nodes with links.
 
-        Leaders have another round while the pairs left, of groups that share tokens or inside of groups, are many for
-        their rows and the last round has cut them by three tenths.
+        Leaders have another round while the pairs left, of groups that share crowded tokens or inside of groups, are many for
+        their rows and the last round has cut them by a tenth.
         """
         (post, of_groups, *between), comps, r = self.first_look(), None, 0
         inside, before = self.own_pairs(), (math.inf, math.inf)
         while True:
-            met, own = (pairs > 8 * rows and pairs <= 0.7 * last for (pairs, rows), last in zip((between, inside), before))
+            met, own = (pairs > 8 * rows and pairs <= 0.9 * last for (pairs, rows), last in zip((between, inside), before))
             if not met and not own:
                 return self.merged(comps, self.all_pairs(post, of_groups), "all")
-            comps = self.merged(comps, self.leader_pairs(post if met else post.filter("false"), of_groups, r), str(r))
+            comps = self.merged(comps, self.leader_pairs(post.filter(F.col("c") > CROWD) if met else post.filter("false"), of_groups, r), str(r))
             before, r = (between[0], inside[0]), r + 1
             post, of_groups, *between = self.look(comps, post, str(r))
             inside = self.own_pairs()

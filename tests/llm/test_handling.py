@@ -136,3 +136,22 @@ def test_suffix_array():
                 assert order.tolist() == want
                 heads = [seq[i : i + seed] for i in range(n)]
                 assert [rank[i] <= rank[j] for i in range(0, n, 7) for j in range(n)] == [heads[i] <= heads[j] for i in range(0, n, 7) for j in range(n)]
+
+
+def test_crowded_tokens_among_many_rare_ones(spark, monkeypatch):
+    """Near copies are joined through leaders however many pairs of texts the rest of the corpus has, so their candidates don't grow with their square."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(60):
+        v = list(base)
+        v[r.randrange(200)] = f"x{i}"
+        docs.append((i, " ".join(v)))
+    docs += [(1000 + i, words(i // 2, 100) + (" end" if i % 2 else "")) for i in range(1200)]
+    made = {}
+    merged = ngram_join._Join.merged
+    monkeypatch.setattr(ngram_join._Join, "merged", lambda self, comps, pairs, name: (made.update({name: pairs.filter("a < b").unionByName(pairs.filter("a > b")).count()}), merged(self, comps, pairs, name))[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, 5, 80).collect()}
+    assert got == brute.components(docs, 5, 80)
+    assert list(made)[-1] == "all" and made["all"] < 600 + 5 * 60, made

@@ -91,7 +91,7 @@ class FMIndex:
             self._least = rows
         k = np.floor(np.log2(right - left)).astype(np.int64)
         out = np.empty(len(left), np.int64)
-        for level in np.unique(k):
+        for level in np.flatnonzero(np.bincount(k)):
             of = k == level
             row = self._least[level]
             out[of] = np.minimum(row[left[of]], row[right[of] - (1 << level)])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import FOLD, SPACES, Scratch, free_names, gram_hashes, mix, small, word_blocks
+from quaver.llm.common import FOLD, SPACES, Scratch, distinct, free_names, gram_hashes, mix, small, word_blocks
 from quaver.llm.components import components
 
 #: The count sketch has 2**BITS cells, sent in CHUNKS parts.
@@ -54,7 +54,7 @@ def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             n = b - a
             if n >= k:
-                yield np.unique(grams[a : b - k + 1])
+                yield distinct(grams[a : b - k + 1])
             elif n:
                 short = np.array([n], np.uint64)
                 for w in words[a:b]:

@@ -155,3 +155,27 @@ def test_crowded_tokens_among_many_rare_ones(spark, monkeypatch):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, 5, 80).collect()}
     assert got == brute.components(docs, 5, 80)
     assert list(made)[-1] == "all" and made["all"] < 600 + 5 * 60, made
+
+
+def test_words_at_text_borders_without_hashing(monkeypatch):
+    """Words of texts that touch are cut, and shingles made distinct, without numpy's sets, which hash every value."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quaver.llm import common
+
+    def refuse(*_, **__):
+        raise AssertionError("hashes every value")
+
+    monkeypatch.setattr(np, "union1d", refuse)
+    monkeypatch.setattr(np, "unique", refuse)
+    r = random.Random(8)
+    for _ in range(60):
+        texts = [None if r.random() < 0.2 else "".join(r.choice("ab \n") for _ in range(r.randrange(7))) for _ in range(9)]
+        raw, start, end = common.text_bytes(pa.array(texts, pa.string()))
+        begin, stop, first = common.word_spans(raw, start, end, common.SPACES)
+        got = [raw[a:b].tobytes().decode() for a, b in zip(begin.tolist(), stop.tolist())]
+        assert [got[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())] == [re.findall(r"\S+", t or "") for t in texts]
+        assert [len(s) for s in ngram_join.shingle_sets(pa.array(texts, pa.string()), 2)] == [len(set(zip(w, w[1:])) or w[:1]) for w in (re.findall(r"\S+", t or "") for t in texts)]

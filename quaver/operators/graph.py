@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +31,22 @@ class LocalGraph:
         self.place = {r: i for i, r in enumerate(vectors)}
         self.vectors = np.array(list(vectors.values()), np.float32).astype(np.float64)
         self.links, self.entry = links, entry
-        self.top = max(links, default=0)
+        self.top, self.size = max(links, default=0), len(vectors)
 
     def vector(self, row: int) -> np.ndarray:
         return self.vectors[self.place[row]]
 
+    def values(self, rows: list[int]) -> np.ndarray:
+        return self.vectors[[self.place[r] for r in rows]]
+
+    def linked(self, row: int, level: int) -> list[int] | tuple[()]:
+        return self.links.get(level, {}).get(row, ())
+
     def distances(self, q: np.ndarray, rows: list[int]) -> list[float]:
         if not rows:
             return []
         # accumulation adds strictly in dimension order
-        dots = np.add.accumulate(self.vectors[[self.place[r] for r in rows]] * q, axis=1)[:, -1]
+        dots = np.add.accumulate(self.values(rows) * q, axis=1)[:, -1]
         return [0.0 if d < 0 else 2.0 if d > 2 else d for d in (1 - dots).tolist()]
 
     def layer(self, q, entries: list[int], ef: int, level: int, known: dict[int, float], note) -> list[tuple[float, int]]:
@@ -49,7 +56,6 @@ class LocalGraph:
             fresh = [r for r in rows if r not in known]
             known.update(zip(fresh, self.distances(q, fresh)))
 
-        links = self.links.get(level, {})
         measure(entries)
         frontier = [(known[r], r) for r in entries]
         heapq.heapify(frontier)
@@ -65,7 +71,7 @@ class LocalGraph:
                 if note:
                     note("stop", level, id=row, distance=worst[0])
                 break
-            near = [n for n in links.get(row, ()) if n not in seen]
+            near = [n for n in self.linked(row, level) if n not in seen]
             seen.update(near)
             measure(near)
             considered = []
@@ -86,7 +92,7 @@ class LocalGraph:
 
     def search(self, q, k: int, ef: int, limit: int = 2048) -> tuple[list[tuple[float, int]], list[dict]]:
         """The k nearest (distance, row) found and the trace of at most ``limit`` events."""
-        if not 1 <= k <= ef or ef > len(self.vectors) or not 0 <= limit <= 10_000:
+        if not 1 <= k <= ef or ef > self.size or not 0 <= limit <= 10_000:
             raise ValueError("Invalid search budget")
         q = np.asarray(q, np.float32).astype(np.float64)
         known: dict[int, float] = {}
@@ -109,43 +115,109 @@ class LocalGraph:
 ASKED = 64
 ASKED_OF_TASK = 1024
 
+#: Rows of a block of a whole graph, about, and bytes of such blocks that a worker keeps.
+BLOCK_ROWS, KEPT_BYTES = 4096, 256 << 20
+
+
+def _tables(folder: str) -> Iterator[pa.Table]:
+    """The tables of the Parquet files in a folder."""
+    store, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    for info in store.get_file_info(pafs.FileSelector(root)):
+        if info.base_name.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                yield pq.read_table(f)
+
+
+class BlockGraph(LocalGraph):
+    """A graph of any size in stored blocks of neighbouring rows: a search reads those that it touches, and the last used ``kept`` bytes stay.
+
+    ``blocks`` has the first row and the number of each block, in order.
+    """
+
+    def __init__(self, path: str, blocks: list[tuple[int, int]], entry: int, top: int, size: int, kept: int = KEPT_BYTES):
+        self.path, self.entry, self.top, self.size, self.kept = path, entry, top, size, kept
+        self.starts, self.numbers = [start for start, _ in blocks], [number for _, number in blocks]
+        self.held: dict[int, tuple[np.ndarray, ...]] = {}
+        self.bytes = 0
+
+    def _block(self, number: int) -> tuple[np.ndarray, ...]:
+        """Rows, vectors, and the links: where each row's levels, each level's links begin, and the links."""
+        if number in self.held:
+            self.held[number] = self.held.pop(number)  # the last used are last
+            return self.held[number]
+        part = pa.concat_tables(_tables(f"{self.path}/shard=0/part={number}")).sort_by("row").combine_chunks()
+        links = part.column("links").combine_chunks()
+        values = part.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float32, copy=False).reshape(part.num_rows, -1)
+        block = (part.column("row").to_numpy(), values, links.offsets.to_numpy(), links.values.offsets.to_numpy(), links.values.values.to_numpy())
+        self.held[number] = block
+        self.bytes += sum(a.nbytes for a in block)
+        while self.bytes > self.kept and len(self.held) > 1:
+            self.bytes -= sum(a.nbytes for a in self.held.pop(next(iter(self.held))))
+        return block
+
+    def _find(self, row: int) -> tuple[tuple[np.ndarray, ...], int]:
+        i = bisect_right(self.starts, row) - 1
+        block = self._block(self.numbers[i]) if i >= 0 else None
+        at = int(np.searchsorted(block[0], row)) if block else 0
+        if not block or at == len(block[0]) or block[0][at] != row:
+            raise KeyError(row)
+        return block, at
+
+    def vector(self, row: int) -> np.ndarray:
+        block, at = self._find(row)
+        return block[1][at].astype(np.float64)
+
+    def values(self, rows: list[int]) -> np.ndarray:
+        return np.array([block[1][at] for block, at in map(self._find, rows)]).astype(np.float64)
+
+    def linked(self, row: int, level: int) -> list[int] | tuple[()]:
+        (_, _, levels, begins, links), at = self._find(row)
+        own = levels[at] + level
+        return links[begins[own] : begins[own + 1]].tolist() if own < levels[at + 1] else ()
+
+
 _loaded: dict[tuple[str, int], LocalGraph] = {}
 
 
-def _stored_graph(path: str, shard: int) -> LocalGraph:
-    """A shard's graph, read from its files by the task that needs it; a worker keeps the last one."""
+def _shard_graph(path: str, shard: int) -> LocalGraph:
+    vectors, links, head = {}, {}, {}
+    for part in _tables(f"{path}/shard={shard}"):
+        values = part.column("embedding").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+        for row, v, own in zip(part.column("row").to_pylist(), values, part.column("links").to_pylist()):
+            vectors[row] = v
+            for level, to in enumerate(own):
+                links.setdefault(level, {})[row] = to
+        head = {"entry": part.column("entry")[0].as_py()}
+    return LocalGraph(vectors, links, head["entry"])
+
+
+def _stored_graph(path: str, shard: int, whole: tuple | None = None) -> LocalGraph:
+    """A shard's graph, read from its files by the task that needs it, or a ``whole`` one read by block; a worker keeps the last one."""
     if (path, shard) not in _loaded:
         _loaded.clear()
-        store, root = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        vectors, links, head = {}, {}, {}
-        for info in store.get_file_info(pafs.FileSelector(f"{root}/shard={shard}")):
-            if info.base_name.endswith(".parquet"):
-                with store.open_input_file(info.path) as f:
-                    part = pq.read_table(f)
-                values = part.column("embedding").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
-                for row, v, own in zip(part.column("row").to_pylist(), values, part.column("links").to_pylist()):
-                    vectors[row] = v
-                    for level, to in enumerate(own):
-                        links.setdefault(level, {})[row] = to
-                head = {"entry": part.column("entry")[0].as_py()}
-        _loaded[path, shard] = LocalGraph(vectors, links, head["entry"])
+        _loaded[path, shard] = BlockGraph(path, *whole) if whole else _shard_graph(path, shard)
     return _loaded[path, shard]
 
 
-def write_graph(vectors: DataFrame, edges: DataFrame, entry: int, path: str, max_rows: int = 200_000) -> str:
-    """Store one given graph as shard 0: (row, embedding, links by level, entry). ``max_rows`` is what a worker's memory holds."""
-    n = vectors.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError("The graph is over a worker's bound; search shards")
+def write_graph(vectors: DataFrame, edges: DataFrame, entry: int, path: str, block: int = BLOCK_ROWS) -> str:
+    """Store one given graph as shard 0: (row, embedding, links by level, entry), by parts of about ``block`` neighbouring rows."""
     level = edges.groupBy("src", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("to"))
     top = level.groupBy(F.col("src").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("level", "to"))).alias("by"), F.max("level").alias("top"))
     none = F.array().cast("array<bigint>")
     links = F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda x: F.coalesce(F.try_element_at("by", x), none))
     stored = vectors.select("row", "embedding").join(top, "row", "left").select("row", "embedding", links.alias("links"), F.lit(entry).cast("long").alias("entry"), F.lit(0).alias("shard"))
-    stored.write.partitionBy("shard").parquet(path)
+    dealt = stored.repartitionByRange(max(1, -(-vectors.count() // block)), "row").withColumn("part", F.spark_partition_id())
+    dealt.write.partitionBy("shard", "part").parquet(path)
     return path
 
 
+def _blocks_of(stored: DataFrame) -> tuple[list[tuple[int, int]], int, int, int]:
+    """First row and number of each block of a whole graph, its entry, highest level and rows."""
+    own = stored.groupBy("part").agg(F.min("row").alias("start"), F.max(F.size("links")).alias("levels"), F.first("entry").alias("entry"), F.count("*").alias("n"))
+    found = sorted(own.collect(), key=lambda r: r.start)  # one row for each block
+    return [(r.start, r.part) for r in found], found[0].entry, max(r.levels for r in found) - 1, sum(r.n for r in found)
+
+
 def write_shards(vectors: DataFrame, path: str, shards: int, m: int = 12, ef: int = 100, seed: int = 43) -> str:
     """Build a graph for each shard of rows, in parallel, and store them below ``path`` as ``write_graph`` does."""
 
@@ -181,19 +253,21 @@ def search_stored(queries: DataFrame, path: str, k: int, ef: int, limit: int = 2
     """Trace events, with their shard, of a greedy layered search of every stored graph for each query (query, q).
 
     The expansion order depends on a heap, so a query in a shard is one task's work. Work is ranged by shard and block of queries, so
-    a task has about a thousand queries for one shard and reads that shard's graph itself; no graph passes the driver. In a shard of fewer than ``ef`` rows the
+    a task has about a thousand queries for one shard and reads that shard's graph itself, of a whole graph the blocks that it touches; no graph passes the driver. In a shard of fewer than ``ef`` rows the
     search is as wide as the shard. Without a ``limit`` there is an event with the results alone.
     """
     spark = queries.sparkSession
-    shards = sorted(r.shard for r in spark.read.parquet(path).select("shard").distinct().collect())  # one row for each shard
-    n = spark.read.parquet(path).count()
+    stored = spark.read.parquet(path)
+    shards = sorted(r.shard for r in stored.select("shard").distinct().collect())  # one row for each shard
+    n = stored.count()
+    whole = _blocks_of(stored) if "part" in stored.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), *_trace_fields()])
         for batch in batches:
             for shard, asked in zip(batch.column("shard").to_pylist(), batch.column("asked").to_pylist()):
-                g, rows = _stored_graph(path, shard), []
-                own = min(ef, len(g.vectors))
+                g, rows = _stored_graph(path, shard, whole), []
+                own = min(ef, g.size)
                 for a in asked:
                     found, events = g.search(a["q"], min(k, own), own, limit)
                     if not limit:
@@ -220,13 +294,12 @@ def merged_results(trace: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "row", "distance")
 
 
-def traced_search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry: int, k: int, ef: int, limit: int = 2048, max_rows: int = 200_000) -> DataFrame:
-    """Trace events of a greedy layered search of one given graph for each query (query, q).
+def traced_search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry: int, k: int, ef: int, limit: int = 2048) -> DataFrame:
+    """Trace events of a greedy layered search of one given graph, of any size, for each query (query, q).
 
-    The graph is stored in the shared folder and read by the tasks; ``max_rows`` is a bound of a worker's memory. Larger catalogs are
-    stored as shards with a graph each (``write_shards``) and give a trace for each shard (``search_stored``).
+    The graph is stored by blocks in the shared folder; a task reads the blocks that its searches touch and keeps a bounded share of them.
     """
-    path = write_graph(vectors, edges, entry, f"{shared_folder(vectors.sparkSession)}/catalog/graph-{uuid.uuid4().hex}", max_rows)
+    path = write_graph(vectors, edges, entry, f"{shared_folder(vectors.sparkSession)}/catalog/graph-{uuid.uuid4().hex}")
     return search_stored(queries, path, k, ef, limit).drop("shard")
 
 

@@ -1,15 +1,18 @@
 """A whole graph that no worker holds: blocks of it give the same traces, at any size."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quaver.operators import graph
+from quaver.plans.engine import Engine
+from quaver.sources import release
 
 LARGE = 200_500
 
 
 def ring(spark, n):
-    """Vectors on a quarter of a circle and links to the next two rows."""
-    v = spark.range(n).selectExpr("id as row", f"array(cast(cos(id / {n}) as float), cast(sin(id / {n}) as float)) as embedding")
+    """Twelve vectors on an arc, all others far from it, and links to the next two rows."""
+    v = spark.range(n).selectExpr("id as row", "if(id < 12, id * 0.05D, 1.5D) as a").selectExpr("row", "array(cast(cos(a) as float), cast(sin(a) as float)) as embedding")
     edges = v.selectExpr("row as src", "0 as level", f"posexplode(array((row + 1) % {n}, (row + 2) % {n})) as (pos, dst)")
     return v, edges
 
@@ -47,5 +50,11 @@ def test_a_search_reads_the_blocks_that_it_touches(spark, tmp_path):
 def test_a_whole_graph_of_any_size_is_searched(spark):
     v, edges = ring(spark, LARGE)
     asked = v.filter("row = 2").selectExpr("row as query", "embedding as q")
-    found = {r["row"] for r in graph.results_of(graph.traced_search(v, edges, asked, 0, 3, 8)).collect()}
-    assert len(found) == 3 and found <= set(range(20))
+    assert {r["row"] for r in graph.results_of(graph.traced_search(v, edges, asked, 0, 3, 8)).collect()} == {1, 2, 3}
+
+
+def test_examples_are_replayed_at_any_size(spark):
+    v, edges = ring(spark, LARGE)
+    tracks = v.selectExpr("row", "'a' as title", "'b' as artist", "cast(null as string) as album", "'c' as genre")
+    examples = v.filter("row in (2, 3)").select(F.col("row").alias("query"), F.col("embedding").alias("q"), F.sha2(F.unbase64(release.packed(F.col("embedding"))), 256).alias("vector_sha256"))
+    assert sorted(map(tuple, Engine(tracks, v, edges=edges).replay(examples).collect())) == [(2, True, 1.0), (3, True, 1.0)]
